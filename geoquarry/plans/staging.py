@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local["):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="geoquarry-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
