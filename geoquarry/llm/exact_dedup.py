@@ -7,10 +7,11 @@ is finished and leaves; the others go on with the bytes behind.  Two texts end
 in the same group exactly when all their bytes are equal, so no digest decides.
 
 At scale: a round moves only what is still undecided, and the digit widths grow
-(32, 256, ... bytes), so most documents leave in the first round and copies of a
+(128, 1024, ... bytes), so most documents leave in the first round and copies of a
 long text need a handful of rounds.  Group sizes are partial counts of narrow
-rows; only groups of two or more are written and joined back, where adaptive
-execution splits a hot group's rows over tasks (a group is never gathered).
+rows; only groups of two or more are written and joined back, by a merge join
+(their number has no bound to broadcast under) whose hot keys adaptive execution
+splits over tasks, so a group is never gathered.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from geoquarry.llm.words import WHITE, whole
 from geoquarry.plans.staging import Staging
 
 #: Bytes of each round's digit; the last width serves all later rounds.
-WIDTHS = (32, 256, 2048, 16384, 131072)
+WIDTHS = (128, 1024, 8192, 65536)
 
 
 def exact_classes(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
@@ -56,7 +57,7 @@ def exact_classes(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFram
             "shared",
         )
         on = F.col("next").isNotNull() & ~F.col("ended")
-        split = step.join(shared, ["gid", "digit", "ended"], "left").select(
+        split = step.join(shared.hint("merge"), ["gid", "digit", "ended"], "left").select(
             "doc_id",
             F.when(on, F.col("points")).alias("points"),
             "sha",
@@ -83,5 +84,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id cannot be told apart; they stay unless byte-equal.
     """
     kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    stay = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])
