@@ -24,10 +24,10 @@ def components(edges: DataFrame, staging: Staging) -> DataFrame:
         "labels",
     )
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("up"))
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        stepped = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("up"))
         up = labels.select(F.col("id").alias("up"), F.col("component").alias("top"))
-        jumped = stepped.join(up, "up", "left").select("id", "old", F.least("up", F.coalesce("top", "up")).alias("component"))
+        jumped = stepped.join(up.hint("merge"), "up", "left").select("id", "old", F.least("up", F.coalesce("top", "up")).alias("component"))
         new = staging.cut(jumped, "labels")
         changed = new.where("component <> old").limit(1).count()
         staging.drop(labels)
