@@ -3,14 +3,53 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
-
-from geoquarry.llm import bpe, exact_dedup
+from geoquarry.llm import bpe, decontam, exact_dedup, minhash
 from geoquarry.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op5_decontamination(spark, sf_dir):
+    """Every document's words inside benchmark windows, by the positional index."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs.select("doc_id", "text"), bench.select("item_id", "text"))
+
+
+OP5_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS q
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS q
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, p, dw.n FROM dw JOIN iw ON dw.q = iw.q AND dw.n = iw.n),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS x FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(cast(item_id AS VARCHAR), ',' ORDER BY cast(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def op6_minhash_dedup(spark, sf_dir):
+    """Every document's near-duplicate component on 4-word shingles at 0.8, by b-bit MinHash."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash.near_components(docs.select("doc_id", "text"), k=4, threshold=0.8)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS q FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.q = b.q AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT e.b AS id, r.c FROM r JOIN e ON e.a = r.id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+
 def op8_byte_bpe(spark, sf_dir):
     """Every document's tokens by tree-reduced byte-level BPE, and the round trip."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,10 +70,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 
 def queries():
     return {
+        "op5_decontamination": op5_decontamination,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
