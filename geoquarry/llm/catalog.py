@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from geoquarry.llm import bpe, decontam, exact_dedup, minhash
+from pyspark.sql import functions as F
+from geoquarry.llm import bpe, decontam, exact_dedup, minhash, toxicity
+from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op4_toxicity(spark, sf_dir):
+    """Every document's toxicity by a subword-bag softmax, fitted on two thirds of the labelled ids."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, id_bucket(3) != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (id_bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark, sf_dir):
     """Every document's words inside benchmark windows, by the positional index."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -68,8 +78,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 """
 
 
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
+        "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op8_byte_bpe": op8_byte_bpe,

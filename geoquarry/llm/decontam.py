@@ -155,3 +155,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows in which a window of the benchmark occurs; all columns stay."""
+    staging = Staging(docs.sparkSession, "decontam")
+    hit = phrase_matches(docs, bench, staging, window).select(*KEY).distinct()
+    hit = staging.cut(hit.select(F.col("doc_id").alias("d2"), F.col("fp").alias("f2")), "hit")
+    return docs.join(hit.hint("merge"), docs["doc_id"].eqNullSafe(hit["d2"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["f2"]), "left_anti")
