@@ -10,10 +10,11 @@ chance of 5e-8, and falls below the estimate's margin with one of about 1e-7.
 
 Groups of any size stay linear where they can: equal sets are one node; a
 bucket of at most ``ALL_PAIRS`` sets compares them all; a larger one compares
-its sets with a growing sample of hubs (1, 2, 4, ... by hash), and leaves as
-soon as its sets are one component.  Only a bucket whose sets are truly apart
-goes on until every pair across components was compared, so no link is lost
-and no group is capped.  Joins of tables that grow with the input are merge
+its sets with one hub, and leaves as soon as its sets are one component.  A
+bucket with sets outside its main component compares all pairs across
+components once these are at most ``LINEAR`` for each set; until then a growing
+sample of hubs (1, 4, 16, ... by hash) is compared, at last all.  So no link is
+lost and no group is capped.  Joins of tables that grow with the input are merge
 joins, which adaptive execution splits where a key is hot.
 """
 
@@ -33,6 +34,7 @@ from geoquarry.plans.staging import Staging
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 ALL_PAIRS = 16
+LINEAR = 64
 #: Standard deviations of the estimate that a pair may lie below the threshold.
 MARGIN = 5.5
 BLOCK = 1 << 16
@@ -219,25 +221,23 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     stars = many.join(y.hint("merge"), similar & (F.col("x.sid") != F.col("y.sid"))).select("x.sid", "y.sid")
     edges = confirmed(_named(pairs).unionByName(_named(stars)))
     labels = components(edges, staging)
-    level = 0
-    tallest = members.where(F.col("count") > ALL_PAIRS).agg(F.max("height")).first()[0] or 0
-    while level <= tallest:
-        split = members.where(F.col("count") > ALL_PAIRS).join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        apart = split.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("lo") < F.col("hi"))).select("key")
-        open_ = staging.cut(split.join(apart.hint("merge"), "key", "left_semi").where(F.col("height") >= level), "open")
+    open_, level = members.where(F.col("count") > ALL_PAIRS), 0
+    while True:
+        split = open_.drop("component").join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        parts = split.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        across = (F.col("all") * F.col("all") - F.col("squares")) / 2
+        apart = parts.where(across > 0).select("key", (across <= LINEAR * F.col("all")).alias("finish"))
+        split = staging.cut(split.join(apart.hint("merge"), "key"), "open")
+        x, y = split.alias("x"), split.alias("y")
+        drawn = F.col("x.finish") | _hub("x", level) | _hub("y", level)
+        more = x.join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & drawn)
+        more = staging.cut(more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "more")
+        if more.limit(1).count():
+            labels = joined(labels, confirmed(_named(more)), staging)
+        open_ = split.where(~F.col("finish") & (F.col("height") > level)).drop("finish")
         if open_.limit(1).count() == 0:
             break
-        x, y = open_.alias("x"), open_.alias("y")
-        new = _hub("x", level)
-        if level:
-            new &= ~_hub("x", level - 1) & ~_hub("y", level - 1)
-        more = x.join(y.hint("merge"), similar & (F.col("x.sid") != F.col("y.sid")) & new & (F.col("x.component") != F.col("y.component")))
-        added = confirmed(_named(more.select("x.sid", "y.sid")))
-        if added.limit(1).count():
-            edges = edges.union(added)
-            labels = components(edges, staging)
-        staging.drop(open_)
-        level += 1
+        level += 2
 
     of_set = sets.select("sid", "digest", "doc_id").join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     of_set = staging.cut(of_set, "of_set")
@@ -248,6 +248,17 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def joined(labels: DataFrame, added: DataFrame, staging: Staging) -> DataFrame:
+    """``labels`` (id, component) after more links: only components are nodes of the graph that is searched."""
+    at = labels.withColumnRenamed("component", "c")
+    ends = added.join(at.select(F.col("id").alias("a"), F.col("c").alias("ca")).hint("merge"), "a", "left").join(at.select(F.col("id").alias("b"), F.col("c").alias("cb")).hint("merge"), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    up = components(ends, staging).select(F.col("id").alias("c"), F.col("component").alias("top"))
+    old = at.join(up.hint("merge"), "c", "left").select("id", F.coalesce("top", "c").alias("component"))
+    new = up.select(F.col("c").alias("id"), F.col("top").alias("component"))  # nodes that had no links before
+    return staging.cut(old.union(new).groupBy("id").agg(F.min("component").alias("component")), "labels")
+
+
 def _named(pairs: DataFrame) -> DataFrame:
     return pairs.toDF("a", "b").select(F.struct(F.col("a").alias("sid")).alias("x"), F.struct(F.col("b").alias("sid")).alias("y"))
 

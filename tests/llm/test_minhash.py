@@ -48,6 +48,8 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_components(df, 4).collect()) == want
     monkeypatch.setattr(minhash, "ALL_PAIRS", 1)  # all buckets by hubs
     assert sorted(tuple(r) for r in near_components(df, 4).collect()) == want
+    monkeypatch.setattr(minhash, "LINEAR", 0)  # to the last level
+    assert sorted(tuple(r) for r in near_components(df, 4).collect()) == want
 
 
 def test_estimate_is_corrected_for_chance():
