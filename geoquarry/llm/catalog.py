@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, decontam, exact_dedup, minhash, toxicity
+from geoquarry.llm import bpe, decontam, exact_dedup, kd_shards, minhash, toxicity
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_kd_shards(spark, sf_dir):
+    """All documents in 40 shards of near equal bytes, by a K-d tree over their metadata."""
+    return kd_shards.shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
 def op4_toxicity(spark, sf_dir):
     """Every document's toxicity by a subword-bag softmax, fitted on two thirds of the labelled ids."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -88,6 +93,7 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "pipeline": pipeline,
+        "op2_kd_shards": op2_kd_shards,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_minhash_dedup": op6_minhash_dedup,
