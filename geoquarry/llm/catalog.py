@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, decontam, exact_dedup, kd_shards, minhash, toxicity
+from geoquarry.llm import bpe, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
@@ -65,6 +65,11 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(c) AS c FROM r
 """
 
 
+def op7_html_text(spark, sf_dir):
+    """Every page's main text by line-block distribution."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     """Every document's tokens by tree-reduced byte-level BPE, and the round trip."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +88,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 """
 
 
+def op10_perspectives(spark, sf_dir):
+    """Every conversation from each participant's perspective, message by message."""
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP10_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
+w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+e AS (SELECT t.*, w.perspective, t.speaker = w.perspective AS own FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
+h AS (SELECT *, CASE WHEN own THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+  CASE WHEN NOT own AND speaker <> 'system' THEN speaker END AS name FROM e),
+m AS (SELECT *, '<|im_start|>' || role || coalesce(' ' || name, '') || chr(10) AS head FROM h)
+SELECT conv_id, perspective, turn, role, name, head || said || '<|im_end|>' || chr(10) AS message, own AS trained,
+  length(head) AS span_from, length(head) + CASE WHEN own THEN length(said) + 10 ELSE 0 END AS span_to FROM m
+"""
+
+
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -97,10 +119,12 @@ def queries():
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_html_text": op7_html_text,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_perspectives": op10_perspectives,
     }
 
 
 def oracle_sql():
-    return {"op5_decontamination": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_perspectives": OP10_SQL}

@@ -16,7 +16,7 @@ partial sums, and once to number slots.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
@@ -33,17 +33,20 @@ DIMS = ("size", "lang", "source", "first_id")
 
 @dataclass
 class Node:
-    """A box of the tree: shards first .. first + k - 1; ``cuts`` are (dimension, upper half?, cut value)."""
+    """A box of the tree that is to hold shards first .. first + k - 1; once cut, ``low`` holds what is at most ``cut``."""
 
     first: int
     k: int
-    cuts: list[tuple[str, bool, int]] = field(default_factory=list)
     dim: str = ""
     lo: int = 0
     hi: int = 0
     want: float = 0.0
     below: float = 0.0
+    unit: float = 0.0
     weight: float = 0.0
+    cut: int = 0
+    low: Node | None = None
+    high: Node | None = None
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -72,15 +75,11 @@ def _along(dim: str) -> Column:
     return F.col(f"x_{dim}") * F.lit(1 << 32) + F.col("crc")
 
 
-def _within(nodes: list[Node]) -> Column:
-    """Index of the row's node: a decision list of the nodes' cuts."""
-    out = F.lit(None).cast("int")
-    for i, n in enumerate(nodes):
-        inside = F.lit(True)
-        for dim, upper, cut in n.cuts:
-            inside = inside & (_along(dim) > cut if upper else _along(dim) <= cut)
-        out = F.when(inside, F.lit(i)).otherwise(out)
-    return out
+def _route(node: Node, label: dict[int, int]) -> Column:
+    """The label of the box that holds a row (by its first shard; null where it has none): the tree as nested conditions."""
+    if node.low is None:
+        return F.lit(label.get(node.first)).cast("int")
+    return F.when(_along(node.dim) <= node.cut, _route(node.low, label)).otherwise(_route(node.high, label))
 
 
 def _of_node(values: list, kind: str = "long") -> Column:
@@ -88,15 +87,12 @@ def _of_node(values: list, kind: str = "long") -> Column:
     return F.array(*[F.lit(v).cast(kind) for v in values])[F.col("node")]
 
 
-def grow(points: DataFrame, shards: int, bins: int = BINS) -> list[Node]:
-    """Leaves of the tree over ``scaled`` units, one a shard, in order."""
-    leaves, open_ = [], [Node(0, shards)]
-    while True:
-        leaves += [n for n in open_ if n.k == 1]
-        open_ = [n for n in open_ if n.k > 1]
-        if not open_:
-            return sorted(leaves, key=lambda n: n.first)
-        placed = points.withColumn("node", _within(open_)).where("node IS NOT NULL")
+def grow(points: DataFrame, shards: int, bins: int = BINS) -> Node:
+    """The tree over ``scaled`` units; its leaves are the shards."""
+    root = Node(0, shards)
+    open_ = [root] if shards > 1 else []
+    while open_:
+        placed = points.withColumn("node", _route(root, {n.first: i for i, n in enumerate(open_)})).where("node IS NOT NULL")
         ends = [f(f"x_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]
         stats = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("weight").alias("w"), *ends).collect()}
         for i, n in enumerate(open_):
@@ -104,12 +100,12 @@ def grow(points: DataFrame, shards: int, bins: int = BINS) -> list[Node]:
                 n.dim = max(DIMS, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"], -DIMS.index(d)))
                 n.lo, n.hi, n.weight = s[f"lo_{n.dim}"] << 32, ((s[f"hi_{n.dim}"] + 1) << 32) - 1, s["w"]
             else:
-                n.dim, n.lo, n.hi, n.weight = DIMS[0], 0, 0, 0.0
-            n.want, n.below = n.weight * (n.k // 2) / n.k, 0.0
+                n.dim = DIMS[0]
+            n.want = n.weight * (n.k // 2) / n.k
         along = F.lit(None).cast("long")
         for d in DIMS:
-            mine = [i for i, n in enumerate(open_) if n.dim == d]
-            along = F.when(F.col("node").isin(mine), _along(d)).otherwise(along) if mine else along
+            if mine := [i for i, n in enumerate(open_) if n.dim == d]:
+                along = F.when(F.col("node").isin(mine), _along(d)).otherwise(along)
         placed = placed.select("node", "weight", along.alias("at"))
         while any(n.hi > n.lo for n in open_):
             step = [max(-(-(n.hi - n.lo + 1) // bins), 1) for n in open_]
@@ -121,20 +117,17 @@ def grow(points: DataFrame, shards: int, bins: int = BINS) -> list[Node]:
             for i, n in enumerate(open_):
                 if n.hi > n.lo and i in met:
                     x = met[i]
-                    n.below += x["upto"] - x["w"]
+                    n.below, n.unit = n.below + x["upto"] - x["w"], x["w"]
                     n.lo, n.hi = n.lo + x["cell"] * step[i], min(n.hi, n.lo + (x["cell"] + 1) * step[i] - 1)
                 else:
                     n.lo = n.hi  # found, or no weight left to cross by rounding
-        at_cut = placed.where(F.col("at") == _of_node([n.lo for n in open_])).groupBy("node").agg(F.sum("weight").alias("w"))
-        unit = {r["node"]: r["w"] for r in at_cut.collect()}
-        nxt = []
-        for i, n in enumerate(open_):
-            with_unit = n.below + unit.get(i, 0.0)
-            takes = n.below == 0 or with_unit - n.want <= n.want - n.below
-            low, cut = (with_unit, n.lo) if takes else (n.below, n.lo - 1)
-            k = min(max(round(n.k * low / n.weight) if n.weight else n.k // 2, 1), n.k - 1)
-            nxt += [Node(n.first, k, [*n.cuts, (n.dim, False, cut)]), Node(n.first + k, n.k - k, [*n.cuts, (n.dim, True, cut)])]
-        open_ = nxt
+        for n in open_:  # the unit at the cut goes to the side that is then nearer to its share
+            takes = n.below == 0 or n.below + n.unit - n.want <= n.want - n.below
+            held, n.cut = (n.below + n.unit, n.lo) if takes else (n.below, n.lo - 1)
+            k = min(max(round(n.k * held / n.weight) if n.weight else n.k // 2, 1), n.k - 1)
+            n.low, n.high = Node(n.first, k), Node(n.first + k, n.k - k)
+        open_ = [m for n in open_ for m in (n.low, n.high) if m.k > 1]
+    return root
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -151,8 +144,8 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     staging = Staging(docs.sparkSession, "kd")
     points = staging.cut(units(docs), "units")
     points = staging.cut(scaled(points), "points")
-    leaves = grow(points, shards)
-    placed = staging.cut(points.select("crc", "size", _within(leaves).alias("shard")), "placed")
+    shard = _route(grow(points, shards), {i: i for i in range(shards)})
+    placed = staging.cut(points.select("crc", "size", shard.alias("shard")), "placed")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
