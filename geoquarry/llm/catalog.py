@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity
+from geoquarry.llm import bpe, class_lm, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_class_lm(spark, sf_dir):
+    """Every document's log probability by a Brown class bigram model and by unigrams."""
+    return class_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_kd_shards(spark, sf_dir):
     """All documents in 40 shards of near equal bytes, by a K-d tree over their metadata."""
     return kd_shards.shard_documents(table(spark, sf_dir, "documents"), 40)
@@ -115,6 +120,7 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "pipeline": pipeline,
+        "op1_class_lm": op1_class_lm,
         "op2_kd_shards": op2_kd_shards,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
