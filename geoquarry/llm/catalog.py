@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, class_lm, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity
+from geoquarry.llm import bpe, class_lm, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity, warc_index
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
@@ -21,6 +21,11 @@ def op2_kd_shards(spark, sf_dir):
     return kd_shards.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_warc_index(spark, sf_dir):
+    """Every page written to WARC archives and looked up again through the two-level index."""
+    return warc_index.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark, sf_dir):
     """Every document's toxicity by a subword-bag softmax, fitted on two thirds of the labelled ids."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -122,6 +127,7 @@ def queries():
         "pipeline": pipeline,
         "op1_class_lm": op1_class_lm,
         "op2_kd_shards": op2_kd_shards,
+        "op3_warc_index": op3_warc_index,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_minhash_dedup": op6_minhash_dedup,
