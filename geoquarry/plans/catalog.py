@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from geoquarry.plans import territory  # noqa: E402,F401  registers its queries
+from geoquarry.plans import territory, semantics, analysis  # noqa: E402,F401,I001  they register their queries
