@@ -13,8 +13,9 @@ bucket of at most ``ALL_PAIRS`` sets compares them all; a larger one compares
 its sets with one hub, and leaves as soon as its sets are one component.  A
 bucket with sets outside its main component compares all pairs across
 components once these are at most ``LINEAR`` for each set; until then a growing
-sample of hubs (1, 4, 16, ... by hash) is compared, at last all.  So no link is
-lost and no group is capped.  Joins of tables that grow with the input are merge
+sample of hubs (1, 4, 16, ... by hash) is compared, at last all.  A pair is
+handed on from the first band that it shares, and only if its estimate allows.
+So no link is lost and no group is capped.  Joins of tables that grow with the input are merge
 joins, which adaptive execution splits where a key is hot.
 """
 
@@ -34,7 +35,7 @@ from geoquarry.plans.staging import Staging
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 ALL_PAIRS = 16
-LINEAR = 64
+LINEAR = 4096
 #: Standard deviations of the estimate that a pair may lie below the threshold.
 MARGIN = 5.5
 BLOCK = 1 << 16
@@ -160,6 +161,16 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
 
+def met_before(left: str, right: str) -> Column:
+    """Whether two sets share a band before the one in which they meet here, by 32-bit prints of the keys."""
+    same = F.lit(False)
+    for i in range(BANDS // 2):
+        x = F.col(f"{left}.p{i}").bitwiseXOR(F.col(f"{right}.p{i}"))
+        low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)) == 0, F.shiftrightunsigned(x, 32) == 0
+        same = same | (low & (F.col(f"{left}.no") > 2 * i)) | (high & (F.col(f"{left}.no") > 2 * i + 1))
+    return same
+
+
 def _hub(side: str, level: Column | int) -> Column:
     """Whether a set is among its bucket's hubs once 2**level are drawn (of a bucket of 2**height)."""
     left_over = F.greatest(F.col(f"{side}.height") - level, F.lit(0))
@@ -185,10 +196,12 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     sets = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), held.alias("x"))
     sets = staging.cut(sets.select(F.monotonically_increasing_id().alias("sid"), "digest", "doc_id", "x.*"), "sets")
 
-    band = sets.select("sid", F.explode("bands").alias("key"))
+    band = sets.select("sid", F.posexplode("bands").alias("no", "key"))
+    prints = [f"p{i}" for i in range(BANDS // 2)]
+    two = [F.shiftrightunsigned(F.col("bands")[2 * i], 32).bitwiseOR(F.col("bands")[2 * i + 1].bitwiseAND(F.lit(-(1 << 32)))).alias(f"p{i}") for i in range(BANDS // 2)]
     live = staging.cut(band.groupBy("key").count().where("count > 1"), "live")
     members = staging.cut(
-        band.join(live.hint("merge"), "key").join(sets.select("sid", "n", *bits).hint("merge"), "sid").withColumn("height", F.ceil(F.log2("count")).cast("int")),
+        band.join(live.hint("merge"), "key").join(sets.select("sid", "n", *bits, *two).hint("merge"), "sid").withColumn("height", F.ceil(F.log2("count")).cast("int")),
         "members",
     )
     staging.drop(live)
@@ -223,18 +236,19 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     labels = components(edges, staging)
     open_, level = members.where(F.col("count") > ALL_PAIRS), 0
     while True:
-        split = open_.drop("component").join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        split = open_.join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        split = staging.cut(split, "split")
         parts = split.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"))
         across = (F.col("all") * F.col("all") - F.col("squares")) / 2
         apart = parts.where(across > 0).select("key", (across <= LINEAR * F.col("all")).alias("finish"))
-        split = staging.cut(split.join(apart.hint("merge"), "key"), "open")
+        split = staging.cut(split.join(apart.hint("merge"), "key").select("key", "no", "sid", "n", *bits, *prints, "height", "finish", "component"), "open")
         x, y = split.alias("x"), split.alias("y")
         drawn = F.col("x.finish") | _hub("x", level) | _hub("y", level)
-        more = x.join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & drawn)
+        more = x.join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & drawn & ~met_before("x", "y"))
         more = staging.cut(more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "more")
         if more.limit(1).count():
             labels = joined(labels, confirmed(_named(more)), staging)
-        open_ = split.where(~F.col("finish") & (F.col("height") > level)).drop("finish")
+        open_ = split.where(~F.col("finish") & (F.col("height") > level)).drop("finish", "component")
         if open_.limit(1).count() == 0:
             break
         level += 2
