@@ -28,3 +28,31 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
     return F.lit(2 * EARTH_RADIUS) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
+
+
+def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Initial bearing in degrees from -180 to 180."""
+    dlon = F.radians(lon2 - lon1)
+    y = F.sin(dlon) * F.cos(F.radians(lat2))
+    x = F.cos(F.radians(lat1)) * F.sin(F.radians(lat2)) - F.sin(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(dlon)
+    return F.pmod(F.degrees(F.atan2(y, x)) + 540, F.lit(360.0)) - 180
+
+
+def destination(lon: Column, lat: Column, metres: Column, bearing_deg: Column) -> Column:
+    """Struct (lon, lat) of the point that many metres away; longitude normalised to -180..180."""
+    d, b = metres / F.lit(EARTH_RADIUS), F.radians(bearing_deg)
+    phi = F.radians(lat)
+    sin2 = F.sin(phi) * F.cos(d) + F.cos(phi) * F.sin(d) * F.cos(b)
+    lam = F.radians(lon) + F.atan2(F.sin(b) * F.sin(d) * F.cos(phi), F.cos(d) - F.sin(phi) * sin2)
+    return F.struct((F.pmod(F.degrees(lam) + 540, F.lit(360.0)) - 180).alias("lon"), F.degrees(F.asin(sin2)).alias("lat"))
+
+
+def box_union(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    return {"west": F.least(a["west"], b["west"]), "south": F.least(a["south"], b["south"]), "east": F.greatest(a["east"], b["east"]), "north": F.greatest(a["north"], b["north"])}
+
+
+def box_intersection(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Common box; null where they don't meet (touching edges give a degenerate box)."""
+    c = {"west": F.greatest(a["west"], b["west"]), "south": F.greatest(a["south"], b["south"]), "east": F.least(a["east"], b["east"]), "north": F.least(a["north"], b["north"])}
+    meet = (c["west"] <= c["east"]) & (c["south"] <= c["north"])
+    return {k: F.when(meet, v) for k, v in c.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geoquarry.functions import geo, semantics as S
+from geoquarry.operators import spatial
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.semantics import AGE_SQL, HEIGHT_SQL, with_area
@@ -77,11 +78,11 @@ def roads(spark, sf_dir):
       round(100*coalesce(sum(area), 0)/max(territory), 6) AS gsi FROM j GROUP BY territory_id""",
 )
 def buildings_by_territory(spark, sf_dir):
-    """Territories are a grid of fixed cells, so the range join is an equi-join on the cell."""
+    """Buildings meet territories on grid cells (no broadcast of a side whose size isn't known)."""
     b = with_area(fixtures.buildings(spark, sf_dir))
     t = with_area(fixtures.territories(spark, sf_dir)).withColumnRenamed("area", "territory")
     b = b.select(*[F.col(c) for c in ("building_id", "area", "levels", "height", "year", "usage")], F.col("west").alias("x"), F.col("south").alias("y"))
-    j = F.broadcast(t).join(b, (F.col("x") >= F.col("west")) & (F.col("x") < F.col("east")) & (F.col("y") >= F.col("south")) & (F.col("y") < F.col("north")), "inner")
+    j = spatial.points_in_boxes(b, t, 0.04, "x", "y")
     n, floor = F.count("building_id"), F.col("area") * F.coalesce("levels", F.lit(1.0))
     share = lambda c: F.round(100.0 * c / n, 6)
     got = j.groupBy("territory_id").agg(
