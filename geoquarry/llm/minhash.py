@@ -14,9 +14,11 @@ its sets with one hub, and leaves as soon as its sets are one component.  A
 bucket with sets outside its main component compares all pairs across
 components once these are at most ``LINEAR`` for each set; until then a growing
 sample of hubs (1, 4, 16, ... by hash) is compared, at last all.  A pair is
-handed on from the first band that it shares, and only if its estimate allows.
-So no link is lost and no group is capped.  Joins of tables that grow with the input are merge
-joins, which adaptive execution splits where a key is hot.
+handed on from the first band that it shares, and only if its estimate and an
+exact bound allow: two sets differ by at least as many shingles as their 512-bit
+maps (a bit a shingle, by hash) differ by bits.  So no link is lost and no group
+is capped.  Joins of tables that grow with the input are merge joins, which
+adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from geoquarry.plans.staging import Staging
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
+#: Bits of the map that bounds how near two sets can be.
+MAP = 512
 ALL_PAIRS = 16
 LINEAR = 4096
 #: Standard deviations of the estimate that a pair may lie below the threshold.
@@ -84,9 +88,18 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return packed, key
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit for each shingle, at its hash modulo ``MAP``: (n, MAP / 64)."""
+    on = np.zeros((len(sets), MAP), np.uint8)
+    for row, s in zip(on, sets, strict=True):
+        row[(s % np.uint64(MAP)).astype(np.int64)] = 1
+    return np.packbits(on, axis=1).view(np.uint64)
+
+
 SIGNED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
     + [T.StructField(f"s{i}", T.LongType()) for i in range(HASHES * BITS // 64)]
+    + [T.StructField(f"m{i}", T.LongType()) for i in range(MAP // 64)]
     + [T.StructField("bands", T.ArrayType(T.LongType()))]
 )
 
@@ -96,7 +109,7 @@ def _longs(a: np.ndarray) -> pa.Array:
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set (null if empty), packed bits s0.., band keys: one row a document."""
+    """doc_id, n (set size), digest of the set (null if empty), packed bits s0.., map m0.., band keys: one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,11 +127,12 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
         packed, bands = np.zeros((len(sets), HASHES * BITS // 64), np.uint64), np.zeros((0, BANDS), np.uint64)
         if full.any():
             packed[full], bands = signatures([s for s in sets if len(s)])
+        maps = bitmaps(sets)
         digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
         offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), _longs(bands.ravel()))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), digests, *[_longs(packed[:, i]) for i in range(packed.shape[1])], lists],
+            [ids, pa.array([len(s) for s in sets], pa.int64()), digests, *[_longs(packed[:, i]) for i in range(packed.shape[1])], *[_longs(maps[:, i]) for i in range(maps.shape[1])], lists],
             names=SIGNED.names,
         )
 
@@ -156,6 +170,14 @@ def estimate(left: str, right: str) -> Column:
     return (agreeing(left, right) / HASHES - chance) / (1 - chance)
 
 
+def most_common(left: str, right: str) -> Column:
+    """At least twice as many shingles as two sets can have in common, from their sizes and maps."""
+    apart = F.lit(0)
+    for i in range(MAP // 64):
+        apart = apart + F.bit_count(F.col(f"{left}.m{i}").bitwiseXOR(F.col(f"{right}.m{i}")))
+    return F.col(f"{left}.n") + F.col(f"{right}.n") - apart
+
+
 def least_estimate(threshold: float) -> float:
     p = 2.0**-BITS + (1 - 2.0**-BITS) * threshold
     return threshold - MARGIN * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
@@ -189,7 +211,7 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     An empty table gives no rows; other columns are not read.
     """
     staging = Staging(docs.sparkSession, "minhash")
-    bits = [f"s{i}" for i in range(HASHES * BITS // 64)]
+    bits = [f"s{i}" for i in range(HASHES * BITS // 64)] + [f"m{i}" for i in range(MAP // 64)]
     pct = round(100 * threshold)
     signed = staging.cut(sign(docs, k), "signed")
     held = F.min_by(F.struct("n", *bits, "bands"), F.struct(F.col("doc_id").isNull(), "doc_id"))
@@ -226,6 +248,7 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     similar = (
         (F.col("x.key") == F.col("y.key"))
         & (100 * F.least("x.n", "y.n") >= pct * F.greatest("x.n", "y.n"))
+        & ((100 + pct) * most_common("x", "y") >= 2 * pct * (F.col("x.n") + F.col("y.n")))
         & (estimate("x", "y") >= least_estimate(threshold))
     )
     lead = members.where(F.col("count") > ALL_PAIRS).groupBy("key").agg(F.min("sid").alias("first"))

@@ -69,6 +69,18 @@ def test_estimate_is_corrected_for_chance():
         assert abs(np.mean(err)) < 0.025
 
 
+def test_maps_never_part_what_is_near():
+    rnd = np.random.default_rng(2)
+    for n in (1, 5, 40, 200, 3000):
+        pool = rnd.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        for both in range(0, n + 1, max(1, n // 7)):
+            x, y = pool[:n], pool[n - both : 2 * n - both]
+            a, b = minhash.bitmaps([x, y])
+            apart = sum(int(v).bit_count() for v in a ^ b)
+            assert 2 * n - apart >= 2 * both
+    assert len(minhash.bitmaps([])) == 0
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t u"), (None, "q r s t u"), (None, "z")], "doc_id long, text string")
     got = sorted((tuple(r) for r in near_components(df).collect()), key=str)
