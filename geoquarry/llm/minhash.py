@@ -10,7 +10,7 @@ chance of 5e-8, and falls below the estimate's margin with one of about 1e-7.
 
 Groups of any size stay linear where they can: equal sets are one node; a
 bucket of at most ``ALL_PAIRS`` sets compares them all; a larger one compares
-its sets with one hub, and leaves as soon as its sets are one component.  A
+its sets with one hub (another in each bucket, by hash), and leaves as soon as its sets are one component.  A
 bucket with sets outside its main component compares all pairs across
 components once these are at most ``LINEAR`` for each set; until then a growing
 sample of hubs (1, 4, 16, ... by hash) is compared, at last all.  A pair is
@@ -248,10 +248,10 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     similar = (
         (F.col("x.key") == F.col("y.key"))
         & (100 * F.least("x.n", "y.n") >= pct * F.greatest("x.n", "y.n"))
-        & ((100 + pct) * most_common("x", "y") >= 2 * pct * (F.col("x.n") + F.col("y.n")))
         & (estimate("x", "y") >= least_estimate(threshold))
+        & ((100 + pct) * most_common("x", "y") >= 2 * pct * (F.col("x.n") + F.col("y.n")))
     )
-    lead = members.where(F.col("count") > ALL_PAIRS).groupBy("key").agg(F.min("sid").alias("first"))
+    lead = members.where(F.col("count") > ALL_PAIRS).groupBy("key").agg(F.min_by("sid", F.xxhash64("key", "sid")).alias("first"))
     few, many = x.where(F.col("x.count") <= ALL_PAIRS), x.join(lead.withColumnRenamed("key", "k").hint("merge"), (F.col("x.key") == F.col("k")) & (F.col("x.sid") == F.col("first")))
     pairs = few.join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid"))).select("x.sid", "y.sid")
     stars = many.join(y.hint("merge"), similar & (F.col("x.sid") != F.col("y.sid"))).select("x.sid", "y.sid")
