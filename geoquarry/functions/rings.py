@@ -22,26 +22,31 @@ def length(points: Column) -> Column:
     return _sum(edges(points), lambda e: geo.haversine(e["x1"], e["y1"], e["x2"], e["y2"]))
 
 
+def from_first(points: Column, x=lambda v: v, y=lambda v: v) -> Column:
+    """Points after ``x`` and ``y``, relative to the first one: products of small offsets keep their digits."""
+    first = F.get(points, F.lit(0))
+    return F.transform(points, lambda p: F.struct((x(p["lon"]) - x(first["lon"])).alias("lon"), (y(p["lat"]) - y(first["lat"])).alias("lat")))
+
+
 def mercator_area(ring: Column) -> Column:
     """Shoelace in the mercator plane, in square metres; 0 for fewer than four points."""
-    x, y = (lambda v: F.radians(v)), geo.mercator_y
-    twice = _sum(edges(ring), lambda e: x(e["x1"]) * y(e["y2"]) - x(e["x2"]) * y(e["y1"]))
-    return F.when(F.size(ring) >= 4, F.abs(twice) / 2 * F.lit(geo.EARTH_RADIUS**2)).otherwise(0.0)
+    return F.when(F.size(ring) >= 4, planar_area(from_first(ring, F.radians, geo.mercator_y)) * F.lit(geo.EARTH_RADIUS**2)).otherwise(0.0)
 
 
 def planar_area(ring: Column) -> Column:
     """Shoelace in square degrees."""
-    return F.abs(_sum(edges(ring), lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2
+    return F.abs(_sum(edges(from_first(ring)), lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2
 
 
 def centroid(ring: Column) -> Column:
     """Area centroid of a ring in degrees; the vertex mean if it has no area."""
     cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    a = _sum(edges(ring), cross)
-    cx, cy = _sum(edges(ring), lambda e: (e["x1"] + e["x2"]) * cross(e)), _sum(edges(ring), lambda e: (e["y1"] + e["y2"]) * cross(e))
+    first, near = F.get(ring, F.lit(0)), edges(from_first(ring))
+    a = _sum(near, cross)
+    cx, cy = _sum(near, lambda e: (e["x1"] + e["x2"]) * cross(e)), _sum(near, lambda e: (e["y1"] + e["y2"]) * cross(e))
     mean = vertex_mean(ring)
     flat = F.abs(a) < 1e-18
-    return F.struct(F.when(flat, mean["lon"]).otherwise(cx / (3 * a)).alias("lon"), F.when(flat, mean["lat"]).otherwise(cy / (3 * a)).alias("lat"))
+    return F.struct(F.when(flat, mean["lon"]).otherwise(first["lon"] + cx / (3 * a)).alias("lon"), F.when(flat, mean["lat"]).otherwise(first["lat"] + cy / (3 * a)).alias("lat"))
 
 
 def vertex_mean(points: Column) -> Column:

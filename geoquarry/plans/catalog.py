@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from geoquarry.plans import analysis, geometry, joins, policy, semantics, territory  # noqa: E402,F401  they register their queries
+from geoquarry.plans import analysis, geometry, joins, policy, semantics, summaries, territory, transfer  # noqa: E402,F401  they register their queries
