@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geo
-from geoquarry.operators import fusion, spatial
+from geoquarry.operators import fusion, spatial, versions as versioning
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.staging import Staging
@@ -121,6 +121,29 @@ def versions(spark, sf_dir):
     return new.join(old, "id", "left").select("id", F.when(changed, 2).otherwise(1).alias("version"), F.col("was").isNull().alias("is_new"))
 
 
+#: Two snapshots of all rows: the later has rows that the earlier lacks, other ids for some and other states for some.
+SNAPSHOT_SQL = """WITH f AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, l_returnflag AS domain, l_linestatus AS source,
+      concat_ws(',', l_partkey, l_suppkey) AS geometry FROM lineitem),
+    o AS (SELECT key AS id, domain, source, geometry, l_quantity AS state, 1 + l_linenumber AS version FROM f WHERE l_orderkey % 11 <> 0),
+    n AS (SELECT CASE WHEN l_suppkey % 5 = 0 THEN concat('again-', key) ELSE key END AS id, domain, source, geometry, CASE WHEN l_orderkey % 3 = 0 THEN l_quantity + 1 ELSE l_quantity END AS state FROM f),
+    u AS (SELECT domain, source, geometry, any_value(id) AS id, any_value(version) AS version, any_value(state) AS state FROM o GROUP BY 1, 2, 3 HAVING count(*) = 1)
+    SELECT coalesce(o.id, u.id, n.id) AS id, CASE WHEN coalesce(o.id, u.id) IS NULL THEN 1 WHEN coalesce(o.state, u.state) IS DISTINCT FROM n.state THEN coalesce(o.version, u.version) + 1 ELSE coalesce(o.version, u.version) END AS version,
+      coalesce(o.id, u.id) IS NULL AS is_new, o.id IS NULL AND u.id IS NOT NULL AS moved_id
+    FROM n LEFT JOIN o ON o.id = n.id LEFT JOIN u ON u.domain = n.domain AND u.source = n.source AND u.geometry = n.geometry"""
+
+
+@query("jn4_previous_versions", SNAPSHOT_SQL)
+def previous_versions(spark, sf_dir):
+    """Every row under its whole key, against the snapshot before by id, else by its only equal in place."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    place = [F.col("l_returnflag").alias("domain"), F.col("l_linestatus").alias("source"), F.concat_ws(",", "l_partkey", "l_suppkey").alias("geometry")]
+    f = table(spark, sf_dir, "lineitem")
+    before = f.where("l_orderkey % 11 <> 0").select(key.alias("id"), *place, F.col("l_quantity").alias("state"), (F.col("l_linenumber") + 1).alias("version"))
+    again = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("again-"), key)).otherwise(key)
+    now = f.select(again.alias("id"), *place, F.when(F.col("l_orderkey") % 3 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("state"))
+    return versioning.against_previous(now, before)
+
+
 REQUIRED = (("far", "error", True, 0.5, 0.5), ("access", "click", True, 0.2, 0.9), ("green", "view", False, None, 0.4), ("water", "flood", True, 0.1, None))
 QUALITY_SQL = "q AS (SELECT event_type AS domain, count(*) AS n, CASE WHEN event_type = 'view' THEN NULL ELSE least(1, count(*)/2500.0::DOUBLE) END AS coverage, avg(value)/490 AS score FROM events GROUP BY 1)"
 
