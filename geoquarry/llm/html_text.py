@@ -32,6 +32,11 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 BOILERPLATE = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "object", "audio", "video", "canvas", "datalist"}
 SCOPE = {"article", "main"}
 NEVER = {"html", "body", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCKS = HEADINGS | {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+# Elements whose end tag may be left out, and the start tags that then end them.
+ROWS = {"tr", "tbody", "thead", "tfoot"}
+ENDED_BY = {"li": {"li"}, "p": BLOCKS, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"} | ROWS, "th": {"td", "th"} | ROWS, "tr": ROWS, "option": {"option", "optgroup"}}
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb",
@@ -41,10 +46,16 @@ MARKS = {
 }
 
 
-def _marked(attrs: str) -> bool:
-    """Whether class, id, role or style say that the element is not main text."""
+def _marked(name_of: str, attrs: str, scope: int) -> bool:
+    """Whether class, id, role or style say that the element is not main text.
+
+    In an article, ids of headings and sections are mostly made from their titles:
+    a heading's says nothing there, a section's only if it is nothing but a mark.
+    """
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name == "id" and scope and (name_of in HEADINGS or name_of == "section" and value not in MARKS):
+            continue
         if name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
             return True
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -56,7 +67,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, scope) of each line; scope numbers the outermost article, 0 outside any."""
     lines: list[tuple[str, int, int]] = []
     part: list[str] = []
-    skip, skip_depth, in_link, linked, depth, scope, scopes, at = "", 0, 0, 0, 0, 0, 0, 0
+    skip, in_link, linked, depth, scope, scopes, at = "", 0, 0, 0, 0, 0, 0
+    opened: list[str] = []  # elements around, the skipped one at skip_at
+    skip_at = 0
 
     def close():
         nonlocal linked
@@ -91,18 +104,45 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 close() if name != "noscript" else None
             continue
         empty = name in VOID or attrs.endswith("/")
+        if closing:
+            if name in INLINE:
+                for i in range(len(opened) - 1, -1, -1):
+                    if opened[i] == name:
+                        del opened[i:]
+                        break
+                    if opened[i] not in INLINE:
+                        break
+            elif name in opened:
+                while opened.pop() != name:
+                    pass
+        else:
+            while name not in INLINE:  # what this start tag ends
+                i = len(opened) - 1
+                while i >= 0 and opened[i] in INLINE:
+                    i -= 1
+                if i < 0 or name not in ENDED_BY.get(opened[i], ()):
+                    break
+                del opened[i:]
         if skip:
-            if name in SCOPE and not closing and skip in BOILERPLATE:
-                skip = ""  # an unclosed menu ends where the article begins
+            own = closing and name == skip
+            if len(opened) > skip_at:
+                # a menu or the like left open, or a wrapper, ends where the article begins; later articles in it are comments and teasers
+                if name in SCOPE and not closing and (skip in BOILERPLATE or skip in ENDED_BY or not scopes):
+                    skip = ""
+                    del opened[skip_at:]
+                else:
+                    if not closing and not empty:
+                        opened.append(name)
+                    continue
             else:
-                if name == skip and not empty:
-                    skip_depth += -1 if closing else 1
-                    if skip_depth == 0:
-                        skip = ""
-                continue
-        if not closing and not empty and name not in NEVER and (name in BOILERPLATE or name == "header" and not scope or _marked(attrs)):
+                skip = ""
+                if own:
+                    continue
+        if not closing and not empty:
+            opened.append(name)
+        if not closing and not empty and name not in NEVER and (name in BOILERPLATE or name == "header" and not scope or _marked(name, attrs, scope)):
             blank()
-            skip, skip_depth = name, 1
+            skip, skip_at = name, len(opened) - 1
             continue
         if name == "a":
             in_link = 0 if closing else 1

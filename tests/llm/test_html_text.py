@@ -23,3 +23,10 @@ def test_odd_pages(spark):
     assert [r.text for r in got] == ["", "", "x", "", " ".join(["word"] * 30_000), "a < b <unclosed 'x", "text", ""]
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_left_out_end_tags_end_a_skip():
+    assert main_text('<ul><li class="nav-item">Home<li class="nav-item">News</ul><article><p>Text.</article>') == "Text."
+    assert main_text('<article><p>One.<p class="notice">Buy<p>Two.<div><p class=ad>x</div>Three.</article>') == "One. Two. Three."
+    assert main_text('<div class="menu"><article>Four.</article><div class="comments"><article>reader</article></div>') == "Four."
+    assert main_text('<article><h2 id="search">Search</h2><section id="social-policy">Policy.</section></article>') == "Search Policy."
