@@ -2,10 +2,10 @@
 
 Markup is stripped to lines, one a block of text; what lies in menus, headers,
 footers, adverts, forms, scripts, comments and the like becomes blank lines.
-Text lengths are summed over a sliding window of lines.  Where the sum surges
-the text begins, where it dives to nothing it ends, and what lies between is
-kept.  Inside an article element every text surges, so short paragraphs stay;
-on pages without one, a surge needs ``SURGE`` characters outside links.
+Text lengths are summed over a sliding window of lines.  Where the sum first
+surges the text begins, where it last dives to nothing it ends, and all that lies
+between is kept; what was stripped makes no dive.  All text of article elements
+is kept; on pages without one, a surge needs ``SURGE`` characters outside links.
 
 On Spark this is a map over rows: a page is parsed by itself, in one pass.
 """
@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WIDTH, SURGE = 3, 86
-#: Of the largest region's text, the share that a further region must have to be kept.
-FURTHER = 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>", re.S)
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -164,40 +162,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def between(lengths: list[int], surge: int) -> list[tuple[int, int]]:
-    """Regions from a surge of the windowed sum to its dive: (first line, line after the last)."""
-    sums = [sum(lengths[i : i + WIDTH]) for i in range(len(lengths))]
-    regions, i = [], 0
-    while i < len(lengths):
-        if lengths[i] and sums[i] >= surge:
-            j = i
-            while j < len(lengths) and sums[j]:
-                j += 1
-            regions.append((i, j))
-            i = j
-        else:
-            i += 1
-    return regions
+def between(lengths: list[int], solid: list[int], surge: int) -> tuple[int, int]:
+    """First line and line after the last, from the first surge of the windowed sum to the last dive.
+
+    ``solid`` numbers the lines with text: a dive is ``WIDTH`` of them without length, so stripped lines make none.
+    """
+    surges = [i for i in range(len(lengths)) if lengths[i] and sum(lengths[i : i + WIDTH]) >= surge]
+    if not surges:
+        return 0, 0
+    end, zeros = surges[-1] + 1, 0
+    for i in solid:
+        if i >= end and zeros < WIDTH:
+            end, zeros = (i + 1, 0) if lengths[i] else (end, zeros + 1)
+    return surges[0], end
 
 
 def main_text(page: str | None) -> str:
     """Text of the page's article; empty if it has none."""
     lines = lines_of(page or "")
-    by_scope: dict[int, int] = {}
-    for text, _, scope in lines:
-        by_scope[scope] = by_scope.get(scope, 0) + len(text)
-    inside = {s: n for s, n in by_scope.items() if s and n}
-    if inside:
-        best = max(inside.values())
-        keep = {s for s, n in inside.items() if n >= FURTHER * best}
-        lengths = [len(t) if s in keep else 0 for t, _, s in lines]
-        chosen = between(lengths, 1)
-    else:
+    solid = [i for i, (text, _, _) in enumerate(lines) if text]
+    inside = [i for i in solid if lines[i][2]]
+    if not inside:
         lengths = [len(t) if 2 * linked <= len(t) else 0 for t, linked, _ in lines]
-        found = between(lengths, SURGE) or between(lengths, 1)
-        weight = [sum(lengths[i:j]) for i, j in found]
-        chosen = [r for r, w in zip(found, weight, strict=True) if w >= FURTHER * max(weight)]
-    return " ".join(lines[k][0] for i, j in chosen for k in range(i, j) if lengths[k])
+        i, j = between(lengths, solid, SURGE)
+        if i == j:
+            i, j = between(lengths, solid, 1)
+        inside = [k for k in solid if i <= k < j]
+    return " ".join(lines[k][0] for k in inside)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

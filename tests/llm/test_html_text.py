@@ -30,3 +30,11 @@ def test_left_out_end_tags_end_a_skip():
     assert main_text('<article><p>One.<p class="notice">Buy<p>Two.<div><p class=ad>x</div>Three.</article>') == "One. Two. Three."
     assert main_text('<div class="menu"><article>Four.</article><div class="comments"><article>reader</article></div>') == "Four."
     assert main_text('<article><h2 id="search">Search</h2><section id="social-policy">Policy.</section></article>') == "Search Policy."
+
+
+def test_story_goes_on_behind_stripped_parts():
+    long = "Many words of the story that go on for long enough to be a surge of text in this window of lines."
+    story = " ".join([long] * 9)
+    page = f"<body><div>menu</div><div class=ad>a</div><p>{story}</p><aside>b</aside><p>Short.<p><a>mostly a link</a> x<p>{long}<div class=ad>c</div><p>The end.</p><p><a>next</a></p></body>"
+    assert main_text(page) == f"{story} Short. mostly a link x {long} The end."
+    assert main_text(f"<article>{story}</article><p>between</p><article>Brief.</article>") == f"{story} Brief."
