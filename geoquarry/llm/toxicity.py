@@ -2,8 +2,8 @@
 
 A word is the bag of its character 3- to 5-grams (with word ends) and itself,
 each hashed to a row of an embedding table; a text is the mean over its words;
-a linear softmax over that mean gives the class.  Table and softmax are trained
-jointly by Adam in numpy, on a bounded sample of labelled rows and in one Spark
+a linear softmax over that mean gives the class.  Rows weigh by the evidence of
+their n-grams; all are trained, jointly with the softmax, by Adam in numpy, on a bounded sample of labelled rows and in one Spark
 task.  Words never seen in training are scored through the n-grams they share.
 
 Because the softmax is linear in the mean, the trained table folds into one
@@ -30,10 +30,12 @@ SHORT, LONG = 3, 5
 BUCKETS, DIM = 1 << 17, 8
 #: Labelled rows that the model is fitted on, at most: those whose id hashes lowest.
 SAMPLE = 6000
-#: An n-gram gets a trained row if it is in at least so many texts of the sample, and its log odds of toxic
-#: against other texts lie so many standard errors above zero; rare n-grams would only memorise label noise.
-LEAST_TEXTS, EVIDENCE = 4, 3.5
-EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.03, 0.3
+#: Of the sample, one text in so many is held back to tell when to stop, which is after ``PATIENCE`` epochs without gain.
+HELD_BACK, PATIENCE = 8, 4
+#: Every row is trained, with a weight by the evidence of its n-gram: where its log odds of toxic against other texts
+#: lie so many standard errors from zero, on either side, it is a half; ``SHARP`` is the power of the passage.
+EVIDENCE, SHARP = 4.0, 6
+EPOCHS, BATCH, RATE, DECAY = 14, 64, 0.03, 0.1
 #: The mean is multiplied by this, as a few words among hundreds decide.
 GAIN = 150.0
 MEMO = 300_000
@@ -63,16 +65,16 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(sums.keys(), np.int64, len(sums)), np.fromiter(sums.values(), np.float32, len(sums))
 
 
-def telling(bags: list, y: np.ndarray) -> np.ndarray:
-    """The rows that get trained, by the evidence of their n-grams."""
+def dampers(bags: list, y: np.ndarray) -> np.ndarray:
+    """Weight of each row of the table, in training as in scoring; rare n-grams would only memorise label noise at full weight."""
     texts = np.zeros((2, BUCKETS))
     for (rows, _), label in zip(bags, y, strict=True):
         texts[label][rows] += 1
     n = np.bincount(y, minlength=2)
     a = texts + 0.5
     odds = np.log(a / (n[:, None] - texts + 0.5))
-    z = (odds[1] - odds[0]) / np.sqrt((1 / a).sum(0))
-    return np.flatnonzero((texts.sum(0) >= LEAST_TEXTS) & (z >= EVIDENCE))
+    z = np.abs(odds[1] - odds[0]) / np.sqrt((1 / a).sum(0))
+    return (z**SHARP / (z**SHARP + EVIDENCE**SHARP)).astype(np.float32)
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> np.ndarray:
@@ -86,18 +88,22 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> np.ndarray
         return folded
     rng = np.random.default_rng(seed)
     y, bags = np.array(labels, np.int64), [bag(t) for t in texts]
-    kept = telling(bags, y)
+    mixed = rng.permutation(len(y))
+    told, taught = mixed[: len(y) // HELD_BACK], mixed[len(y) // HELD_BACK :]
+    damp = dampers([bags[i] for i in taught], y[taught])
+    kept = np.unique(np.concatenate([r for r, _ in bags]))  # rows that no text has stay at 0
     at = np.full(BUCKETS, -1)
     at[kept] = np.arange(len(kept))
-    bags = [(at[r][at[r] >= 0], w[at[r] >= 0]) for r, w in bags]
+    bags = [(at[r], w * damp[r]) for r, w in bags]
+    best, best_loss, since = None, np.inf, 0
     table = rng.normal(0, 0.1, (len(kept), DIM)).astype(np.float32)
     top, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     params = [table, top, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(y))
-        for lo in range(0, len(y), BATCH):
+        order = rng.permutation(taught)
+        for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
             sizes = np.array([len(bags[i][0]) for i in pick])
             rows, weights = np.concatenate([bags[i][0] for i in pick]), np.concatenate([bags[i][1] for i in pick])
@@ -118,8 +124,16 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> np.ndarray
                 v += 0.01 * g * g
                 param -= rate * m / (np.sqrt(v) + 1e-4)
             table *= 1 - rate * DECAY
-    folded[kept] = table @ (top[:, 1] - top[:, 0])
-    folded[-1] = bias[1] - bias[0]
+        logit = table @ (top[:, 1] - top[:, 0])
+        z = np.array([logit[bags[i][0]] @ bags[i][1] for i in told]) + (bias[1] - bias[0])
+        loss = np.logaddexp(0, np.where(y[told] > 0, -z, z)).mean() if len(told) else -epoch
+        since = since + 1 if loss >= best_loss else 0
+        if not since:
+            best, best_loss = (logit, bias[1] - bias[0]), loss
+        elif since >= PATIENCE:
+            break
+    folded[kept] = best[0] * damp[kept]
+    folded[-1] = best[1]
     return folded
 
 

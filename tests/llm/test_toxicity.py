@@ -46,3 +46,13 @@ def test_no_labels_or_one_class(spark):
     assert toxicity.score(docs, model).first().score == 0.5
     assert toxicity.Scorer(toxicity.fit(["a", "b"], [0, 0]))("a") < 0.1
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_words_in_few_texts_are_trained():
+    texts, labels = corpus(400, 4)
+    for i in range(0, 20, 4):  # toxic, and in five texts only
+        texts[i] += " zyxwv"
+    for i in range(1, 200, 4):
+        texts[i] += " kindly"
+    plain, score = "abc dea bagf", toxicity.Scorer(toxicity.fit(texts, labels))
+    assert score(plain + " zyxwv") > score(plain + " pqrst") > score(plain + " kindly")
