@@ -91,19 +91,18 @@ NEAR_SQL = (
 def to_stops(spark, sf_dir, size=0.02, reach=3):
     t = fixtures.stops(spark, sf_dir).select("stop_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
     d = geo.haversine(*[F.col(c) for c in ("lon", "lat", "t_lon", "t_lat")])
-    return spatial.nearest(fixtures.poi(spark, sf_dir), t, "poi_id", "stop_id", d, size, reach)
+    return spatial.nearest_of_all(fixtures.poi(spark, sf_dir), t, "poi_id", "stop_id", d, size, reach, Staging(spark, "nearest"))
 
 
 @query("jn8_nearest_stop", NEAR_SQL + " SELECT poi_id, round(m, 3) AS metres FROM n")
 def jn8(spark, sf_dir):
-    """Stops lie on a lattice of 0.0151 x 0.0173 degrees, so three cells of 0.02 reach one from every point."""
+    """Every point's metres to its nearest stop, null without any stop."""
     return to_stops(spark, sf_dir).select("poi_id", F.round("metres", 3).alias("metres"))
 
 
 @query("jn10_snap", NEAR_SQL + " SELECT poi_id, m <= 600 AS snapped FROM n")
 def jn10(spark, sf_dir):
-    near = to_stops(spark, sf_dir)
-    return fixtures.poi(spark, sf_dir).select("poi_id").join(near, "poi_id", "left").select("poi_id", F.coalesce(F.col("metres") <= 600, F.lit(False)).alias("snapped"))
+    return to_stops(spark, sf_dir).select("poi_id", F.coalesce(F.col("metres") <= 600, F.lit(False)).alias("snapped"))
 
 
 @query(
