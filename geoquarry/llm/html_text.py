@@ -2,10 +2,12 @@
 
 Markup is stripped to lines, one a block of text; what lies in menus, headers,
 footers, adverts, forms, scripts, comments and the like becomes blank lines.
-Text lengths are summed over a sliding window of lines.  Where the sum first
-surges the text begins, where it last dives to nothing it ends, and all that lies
-between is kept; what was stripped makes no dive.  All text of article elements
-is kept; on pages without one, a surge needs ``SURGE`` characters outside links.
+Text lengths outside links are summed over a sliding window of lines.  Where the
+sum first surges the text begins, where it last dives to nothing it ends, and all
+that lies between is kept; what was stripped makes no dive.  On pages with article
+elements this is done in each of them, and any text surges: a menu of ``WIDTH`` or
+more link lines before or behind the story goes, single links stay.  On pages
+without one, a surge needs ``SURGE`` characters.
 
 On Spark this is a map over rows: a page is parsed by itself, in one pass.
 """
@@ -42,20 +44,25 @@ MARKS = {
     "newsletter", "subscribe", "signup", "login", "popup", "modal", "widget", "toolbar", "pagination", "pager", "search",
     "contentinfo", "complementary", "alert", "recommended", "skip",
 }
+# Words that say nothing beside a mark: in an article, ``ad-box`` is an advert, but ``alert-story`` is a story.
+NEUTRAL = {"area", "bar", "block", "body", "box", "container", "content", "inner", "item", "items", "link", "links", "list", "outer", "panel", "section", "slot", "text", "top", "bottom", "unit", "wrap", "wrapper"}
 
 
 def _marked(name_of: str, attrs: str, scope: int) -> bool:
     """Whether class, id, role or style say that the element is not main text.
 
-    In an article, ids of headings and sections are mostly made from their titles:
-    a heading's says nothing there, a section's only if it is nothing but a mark.
+    In an article, a class or id must be nothing but marks (and neutral words) to count, and
+    a heading's id, mostly made from its title, says nothing.
     """
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "id" and scope and (name_of in HEADINGS or name_of == "section" and value not in MARKS):
+        if name == "id" and scope and name_of in HEADINGS:
             continue
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+                if words & MARKS and (not scope or words <= MARKS | (NEUTRAL if name_of != "section" else set())):
+                    return True
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
@@ -87,7 +94,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if not skip:
             run = page[at : m.start() if m else end]
             part.append(run)
-            if in_link:
+            if in_link and HEADINGS.isdisjoint(opened):  # a heading that is a link is a title
                 linked += len(run)
         if not m:
             break
@@ -162,33 +169,48 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def between(lengths: list[int], solid: list[int], surge: int) -> tuple[int, int]:
-    """First line and line after the last, from the first surge of the windowed sum to the last dive.
+def blocks(lengths: list[int]) -> list[int]:
+    """Sum of lengths over the window of ``WIDTH`` lines that starts at each line."""
+    return [sum(lengths[i : i + WIDTH]) for i in range(len(lengths))]
+
+
+def story(lines: list[tuple[str, int]], surge: int, ends: bool) -> list[str]:
+    """Texts of the lines (text, characters in links) from the first surge to the last dive.
 
-    ``solid`` numbers the lines with text: a dive is ``WIDTH`` of them without length, so stripped lines make none.
+    Lines that are mostly links have no length, and stripped parts are lines without
+    text.  A line with length surges where the window that it starts holds
+    ``surge``.  Behind the last surge the text goes on to a dive: a window of lines
+    with text that has no length.  With ``ends``, fewer than ``WIDTH`` lines before
+    the surge or behind the dive, which make no window of their own, stay.
     """
-    surges = [i for i in range(len(lengths)) if lengths[i] and sum(lengths[i : i + WIDTH]) >= surge]
+    lengths = [len(t) if 2 * linked <= len(t) else 0 for t, linked in lines]
+    surges = [i for i, n in enumerate(blocks(lengths)) if lengths[i] and n >= surge]
     if not surges:
-        return 0, 0
-    end, zeros = surges[-1] + 1, 0
-    for i in solid:
-        if i >= end and zeros < WIDTH:
-            end, zeros = (i + 1, 0) if lengths[i] else (end, zeros + 1)
-    return surges[0], end
+        return []
+    solid = [i for i, (t, _) in enumerate(lines) if t]
+    sums = blocks([lengths[i] for i in solid])
+    first, last = solid.index(surges[0]), solid.index(surges[-1])
+    while last + 1 < len(solid) and sums[last + 1]:
+        last += 1
+    while not lengths[solid[last]]:
+        last -= 1
+    if ends:
+        first, last = 0 if first < WIDTH else first, len(solid) - 1 if len(solid) - last <= WIDTH else last
+    return [lines[i][0] for i in solid[first : last + 1]]
 
 
 def main_text(page: str | None) -> str:
     """Text of the page's article; empty if it has none."""
     lines = lines_of(page or "")
-    solid = [i for i, (text, _, _) in enumerate(lines) if text]
-    inside = [i for i in solid if lines[i][2]]
-    if not inside:
-        lengths = [len(t) if 2 * linked <= len(t) else 0 for t, linked, _ in lines]
-        i, j = between(lengths, solid, SURGE)
-        if i == j:
-            i, j = between(lengths, solid, 1)
-        inside = [k for k in solid if i <= k < j]
-    return " ".join(lines[k][0] for k in inside)
+    kept: list[str] = []
+    scopes = sorted({s for t, _, s in lines if t and s})
+    for scope in scopes:
+        part = [(t, linked) for t, linked, s in lines if s == scope]
+        kept += story(part, 1, True) or [t for t, _ in part if t]
+    if not scopes:
+        part = [(t, linked) for t, linked, _ in lines]
+        kept = story(part, SURGE, False) or story(part, 1, False)
+    return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

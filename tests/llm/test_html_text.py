@@ -1,4 +1,6 @@
-from geoquarry.llm.html_text import extract_pages, main_text
+import random
+
+from geoquarry.llm.html_text import SURGE, WIDTH, extract_pages, main_text, story
 
 
 def test_article_only():
@@ -38,3 +40,44 @@ def test_story_goes_on_behind_stripped_parts():
     page = f"<body><div>menu</div><div class=ad>a</div><p>{story}</p><aside>b</aside><p>Short.<p><a>mostly a link</a> x<p>{long}<div class=ad>c</div><p>The end.</p><p><a>next</a></p></body>"
     assert main_text(page) == f"{story} Short. mostly a link x {long} The end."
     assert main_text(f"<article>{story}</article><p>between</p><article>Brief.</article>") == f"{story} Brief."
+
+
+def brute_story(lines, surge, ends):
+    """The rule by trying all starts and ends."""
+    size = [len(t) if 2 * k <= len(t) else 0 for t, k in lines]
+    starts = [i for i in range(len(lines)) if size[i] and sum(size[i : i + WIDTH]) >= surge]
+    if not starts:
+        return []
+    solid = [i for i, (t, _) in enumerate(lines) if t]
+    last = starts[-1]
+    for i in solid:  # on to a line with length that fewer than WIDTH lines without part from the last one
+        if i > last and size[i] and sum(last < j < i for j in solid) < WIDTH:
+            last = i
+    before, behind = [i for i in solid if i < starts[0]], [i for i in solid if i > last]
+    first = before[0] if ends and before and len(before) < WIDTH else starts[0]
+    last = behind[-1] if ends and behind and len(behind) < WIDTH else last
+    return [lines[i][0] for i in solid if first <= i <= last]
+
+
+def test_lines_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        lines = [rnd.choice([("", 0), ("x" * rnd.randrange(1, 60), 0), ("link" * rnd.randrange(1, 20), 99), ("y" * 20, 5)]) for _ in range(rnd.randrange(25))]
+        for surge, ends in ((SURGE, False), (1, True), (1, False)):
+            assert story(lines, surge, ends) == brute_story(lines, surge, ends)
+
+
+def test_windows_decide_inside_articles():
+    menu, text = "".join(f"<li><a href=/{i}>Other story {i}</a></li>" for i in range(5)), "<p>Words of the story.</p>"
+    assert main_text(f"<article><ul>{menu}</ul><h1><a href=/s>Title</a></h1>{text}<ul>{menu}</ul>{text}<p><a href=/q>Source</a></p></article>").startswith("Title Words of the story. Other story 0")
+    assert main_text(f"<article>{text}<p><a href=/q>Source</a></p></article>") == "Words of the story. Source"
+    assert main_text(f"<article>{text}<ul>{menu}</ul></article>") == "Words of the story."
+    assert main_text(f"<article><ul>{menu}</ul></article>").count("Other story") == 5  # nothing but links: all of it
+
+
+def test_marks_inside_articles_are_whole_classes():
+    assert main_text('<article><div class="alert-story">Alert.</div><div class="related-work">Work.</div><div class="ad-box">Buy</div><p class="cookie-notice">Cookies</article>') == "Alert. Work."
+    assert main_text('<body><p class=notice>Cookies<p>Story goes on.<p>And ends.') == "Story goes on. And ends."
+    assert main_text('<body><div class="ad"><article><p>Text.</p></article>') == "Text."
+    long, short = "Many words of a story. " * 90, "A second article of some length. " * 6
+    assert main_text(f"<article>{long}</article><article>{short}</article>") == f"{long}{short}".strip()
