@@ -32,3 +32,14 @@ def test_keep_one_and_empty(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a "), (3, "b"), (4, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in keep_one(df).collect()) == [2, 3, 4]
     assert exact_classes(df.limit(0)).count() == 0
+
+
+def test_keep_one_judges_rows_and_not_ids(spark):
+    rows = [(1, "a"), (1, "b"), (2, "b "), (2, "b"), (2, "b\t"), (None, None), (None, ""), (3, "c" * 5000), (4, "c" * 5000), (4, "c" * 5001)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, row string, keep_id int").repartition(4)
+    got = keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "").strip()[:1], len(r.text or "")) for r in got.collect()) == [(0, "", 0), (1, "a", 1), (2, "b", 2), (3, "c", 5000), (4, "c", 5001)]
+    assert keep_one(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(i, "z" * 3_000_000 + t) for i, t in enumerate(["", "x", "", "y"])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in exact_classes(long, widths=(4,)).collect()) == [(0, 0), (1, 1), (2, 0), (3, 3)]  # eightfold widths: few rounds
