@@ -10,15 +10,17 @@ chance of 5e-8, and falls below the estimate's margin with one of about 1e-7.
 
 Groups of any size stay linear where they can: equal sets are one node; a
 bucket of at most ``ALL_PAIRS`` sets compares them all; a larger one compares
-its sets with one hub (another in each bucket, by hash), and leaves as soon as its sets are one component.  A
-bucket with sets outside its main component compares all pairs across
-components once these are at most ``LINEAR`` for each set; until then a growing
-sample of hubs (1, 4, 16, ... by hash) is compared, at last all.  A pair is
-handed on from the first band that it shares, and only if its estimate and an
-exact bound allow: two sets differ by at least as many shingles as their 512-bit
-maps (a bit a shingle, by hash) differ by bits.  So no link is lost and no group
-is capped.  Joins of tables that grow with the input are merge joins, which
-adaptive execution splits where a key is hot.
+its sets with one hub (another in each bucket, by hash), and leaves as soon as its
+sets are one component.  Of a bucket that is not, the sets outside its largest
+component are compared with all, once the pairs across components are at most
+``LINEAR`` for each set; until then a growing sample of hubs (1, 4, 16, ... by hash)
+is compared with all, at last every set.  So one side of each join has the few
+sets in question and not the bucket.  A pair is handed on from the first band
+that it shares, and only if its estimate and an exact bound allow: two sets differ
+by at least as many shingles as their 512-bit maps (a bit a shingle, by hash)
+differ by bits.  No group is capped; apart from the two chances above, no link is
+lost.  Joins of tables that grow with the input are merge joins of plain tables,
+which adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 SIGNED = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
     + [T.StructField(f"s{i}", T.LongType()) for i in range(HASHES * BITS // 64)]
     + [T.StructField(f"m{i}", T.LongType()) for i in range(MAP // 64)]
     + [T.StructField("bands", T.ArrayType(T.LongType()))]
@@ -109,20 +111,20 @@ def _longs(a: np.ndarray) -> pa.Array:
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set (null if empty), packed bits s0.., map m0.., band keys: one row a document."""
+    """doc_id, fp (print of the text), n (set size), digest of the set (null if empty), packed bits s0.., map m0.., band keys: one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lo, sets, size = batch.column(0), 0, [], 0
-            texts = batch.column(1)
+            ids, prints, texts = batch.columns
+            lo, sets, size = 0, [], 0
             for i in range(len(ids)):
                 sets.append(shingle_set(texts[i].as_py(), k))
                 size += len(sets[-1])
                 if size >= BLOCK or i == len(ids) - 1:
-                    yield out(ids.slice(lo, len(sets)), sets)
+                    yield out(ids.slice(lo, len(sets)), prints.slice(lo, len(sets)), sets)
                     lo, sets, size = i + 1, [], 0
 
-    def out(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def out(ids: pa.Array, prints: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = np.array([len(s) > 0 for s in sets])
         packed, bands = np.zeros((len(sets), HASHES * BITS // 64), np.uint64), np.zeros((0, BANDS), np.uint64)
         if full.any():
@@ -132,11 +134,11 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), _longs(bands.ravel()))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), digests, *[_longs(packed[:, i]) for i in range(packed.shape[1])], *[_longs(maps[:, i]) for i in range(maps.shape[1])], lists],
+            [ids, prints, pa.array([len(s) for s in sets], pa.int64()), digests, *[_longs(packed[:, i]) for i in range(packed.shape[1])], *[_longs(maps[:, i]) for i in range(maps.shape[1])], lists],
             names=SIGNED.names,
         )
 
-    return docs.select(F.col("doc_id").cast("long"), whole()).mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole()), whole()).mapInArrow(run, SIGNED)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -193,10 +195,10 @@ def met_before(left: str, right: str) -> Column:
     return same
 
 
-def _hub(side: str, level: Column | int) -> Column:
+def _hub(level: int) -> Column:
     """Whether a set is among its bucket's hubs once 2**level are drawn (of a bucket of 2**height)."""
-    left_over = F.greatest(F.col(f"{side}.height") - level, F.lit(0))
-    return F.xxhash64(F.col(f"{side}.sid")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), left_over) - 1) == 0
+    left_over = F.greatest(F.col("height") - level, F.lit(0))
+    return F.xxhash64("sid").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), left_over) - 1) == 0
 
 
 def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -208,8 +210,17 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     have empty sets and are linked with nothing.  Rows that repeat a doc_id are
     linked by their own texts.  A row with a null doc_id can stand for no
     component: its links hold, and alone it has a null component and is kept.
-    An empty table gives no rows; other columns are not read.
+    A doc_id that is no integer is an error.  An empty table gives no rows; other
+    columns are not read.
     """
+    out = _labelled(docs, k, threshold)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _labelled(docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """doc_id, fp, n, component (an id of its own; null without words), component_id of each row."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer")
     staging = Staging(docs.sparkSession, "minhash")
     bits = [f"s{i}" for i in range(HASHES * BITS // 64)] + [f"m{i}" for i in range(MAP // 64)]
     pct = round(100 * threshold)
@@ -251,27 +262,28 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
         & (estimate("x", "y") >= least_estimate(threshold))
         & ((100 + pct) * most_common("x", "y") >= 2 * pct * (F.col("x.n") + F.col("y.n")))
     )
-    lead = members.where(F.col("count") > ALL_PAIRS).groupBy("key").agg(F.min_by("sid", F.xxhash64("key", "sid")).alias("first"))
-    few, many = x.where(F.col("x.count") <= ALL_PAIRS), x.join(lead.withColumnRenamed("key", "k").hint("merge"), (F.col("x.key") == F.col("k")) & (F.col("x.sid") == F.col("first")))
-    pairs = few.join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid"))).select("x.sid", "y.sid")
-    stars = many.join(y.hint("merge"), similar & (F.col("x.sid") != F.col("y.sid"))).select("x.sid", "y.sid")
-    edges = confirmed(_named(pairs).unionByName(_named(stars)))
+    large = members.where(F.col("count") > ALL_PAIRS)
+    lead = staging.cut(large.groupBy("key").agg(F.min_by("sid", F.xxhash64("key", "sid")).alias("first")), "lead")
+    hubs = staging.cut(large.join(lead.withColumnRenamed("key", "k").hint("merge"), (F.col("key") == F.col("k")) & (F.col("sid") == F.col("first"))).drop("k", "first"), "hubs")
+    few = x.where(F.col("x.count") <= ALL_PAIRS).join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid"))).select("x.sid", "y.sid")
+    stars = hubs.alias("x").join(y.hint("merge"), similar & (F.col("x.sid") != F.col("y.sid"))).select("x.sid", "y.sid")
+    edges = confirmed(_named(few).unionByName(_named(stars)))
     labels = components(edges, staging)
-    open_, level = members.where(F.col("count") > ALL_PAIRS), 0
+    open_, level = large, 0
     while True:
         split = open_.join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         split = staging.cut(split, "split")
-        parts = split.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        parts = split.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        parts = parts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("component", F.struct("c", "component")).alias("main"))
         across = (F.col("all") * F.col("all") - F.col("squares")) / 2
-        apart = parts.where(across > 0).select("key", (across <= LINEAR * F.col("all")).alias("finish"))
-        split = staging.cut(split.join(apart.hint("merge"), "key").select("key", "no", "sid", "n", *bits, *prints, "height", "finish", "component"), "open")
-        x, y = split.alias("x"), split.alias("y")
-        drawn = F.col("x.finish") | _hub("x", level) | _hub("y", level)
-        more = x.join(y.hint("merge"), similar & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & drawn & ~met_before("x", "y"))
-        more = staging.cut(more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "more")
+        apart = staging.cut(parts.where(across > 0).select("key", "main", (across <= LINEAR * F.col("all")).alias("finish")), "apart")
+        split = staging.cut(split.join(apart.hint("merge"), "key").select("key", "no", "sid", "n", *bits, *prints, "height", "finish", "component", "main"), "open")
+        asked = staging.cut(split.where(F.when(F.col("finish"), F.col("component") != F.col("main")).otherwise(_hub(level))), "asked")
+        more = asked.alias("x").join(split.alias("y").hint("merge"), similar & (F.col("x.component") != F.col("y.component")) & ~met_before("x", "y"))
+        more = staging.cut(more.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), "more")
         if more.limit(1).count():
             labels = joined(labels, confirmed(_named(more)), staging)
-        open_ = split.where(~F.col("finish") & (F.col("height") > level)).drop("finish", "component")
+        open_ = split.where(~F.col("finish") & (F.col("height") > level)).drop("finish", "component", "main")
         if open_.limit(1).count() == 0:
             break
         level += 2
@@ -279,10 +291,9 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     of_set = sets.select("sid", "digest", "doc_id").join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     of_set = staging.cut(of_set, "of_set")
     first = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = staging.cut(of_set.join(first.hint("merge"), "component").select(F.col("digest"), "component_id"), "named")
-    out = signed.select("doc_id", "n", "digest").join(named.hint("merge"), "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = staging.cut(of_set.join(first.hint("merge"), "component").select("digest", "component", "component_id"), "named")
+    out = signed.select("doc_id", "fp", "n", "digest").join(named.hint("merge"), "digest", "left")
+    return out.select("doc_id", "fp", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def joined(labels: DataFrame, added: DataFrame, staging: Staging) -> DataFrame:
@@ -301,6 +312,21 @@ def _named(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component, the one with the smallest doc_id."""
-    kept = near_components(docs, k, threshold).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with one row of each near-duplicate component: the smallest doc_id, then the smallest print of the text.
+
+    A row is known by its id and its text, so rows that repeat an id are judged by
+    their own texts; of rows equal in both, one stays.  Texts without words,
+    nulls included, are in no component and stay.  A null id comes last.  All
+    columns stay, whatever their names; an empty table stays empty.
+    """
+    staging = Staging(docs.sparkSession, "minhash")
+    rows = staging.cut(_labelled(docs, k, threshold), "labelled")
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")
+    stay = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(at).alias("at")).select("at.doc_id", "at.fp")
+    stay = stay.union(rows.where("component IS NULL").select("doc_id", "fp")).select(F.struct("doc_id", "fp").alias("row"))
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("fp")))
+    kept = keyed.join(staging.cut(stay.withColumnRenamed("row", name).distinct(), "stay").hint("merge"), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)

@@ -87,3 +87,16 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 1, 1, True)] * 3 + [(None, 1, 1, False), (None, 1, None, True)], key=str)
     assert near_components(df.limit(0)).count() == 0
     assert near_components(spark.createDataFrame([(5, None)], "doc_id long, text string")).collect()[0].component_id == 5
+
+
+def test_keep_one_judges_rows_and_not_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["x"])
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, " ".join(base)), (1, near), (2, near), (2, other), (3, other), (3, other), (4, None), (5, ""), (6, " "), (None, other)]
+    df = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, row double, component string")
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted((r.doc_id, (r.text or "")[:1]) for r in got.collect())
+    assert kept == [(1, "w"), (2, "v"), (4, ""), (5, ""), (6, " ")]
+    assert minhash.keep_one(df.limit(0)).count() == 0
