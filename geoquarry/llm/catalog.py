@@ -50,10 +50,17 @@ dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS q
   FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, item_id, p, dw.n FROM dw JOIN iw ON dw.q = iw.q AND dw.n = iw.n),
 h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS x FROM m) GROUP BY 1),
+iz AS (SELECT item_id, row_number() OVER (ORDER BY item_id, w) AS no, w FROM (SELECT DISTINCT item_id, w FROM i) WHERE len(w) > 0),
+it AS (SELECT DISTINCT item_id, no, term FROM (SELECT item_id, no, unnest(w) AS term FROM iz)),
+dt AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+cf AS (SELECT term, count(*) AS cf FROM dt WHERE term IN (SELECT term FROM it) GROUP BY 1),
+rare AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY cf, term) AS rank FROM it JOIN cf USING (term)),
+pr AS (SELECT a.item_id, a.term AS t1, b.term AS t2 FROM rare a JOIN rare b ON a.no = b.no AND a.rank = 1 AND b.rank = 2),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM pr JOIN dt x ON x.term = t1 JOIN (SELECT doc_id AS d2, term AS t, pos AS p2 FROM dt) y ON y.t = t2 AND y.d2 = x.doc_id AND abs(p2 - pos) <= 10 GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(cast(item_id AS VARCHAR), ',' ORDER BY cast(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
 SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 

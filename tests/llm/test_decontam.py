@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
-from geoquarry.llm.decontam import contamination, proximity_matches
+from geoquarry.llm.decontam import contamination, keyed, proximity_matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -12,8 +13,16 @@ def split(t):
     return WORD.findall((t or "").translate(LOWER))
 
 
+def rarest_pairs(docs, bench):
+    counts = Counter(t for d in docs for t in split(d[1]))
+    for item, text in {(i, tuple(split(t))) for i, t in bench}:
+        known = sorted((counts[t], t) for t in set(text) if counts[t])
+        if len(known) > 1:
+            yield item, known[0][1], known[1][1]
+
+
 def brute(docs, bench, w=10):
-    out = []
+    out, pairs = [], list(rarest_pairs(docs, bench))
     for d in docs:
         words, hit, items = split(d[1]), set(), set()
         for item, text in bench:
@@ -25,7 +34,9 @@ def brute(docs, bench, w=10):
                         hit |= set(range(p, p + size))
                         items.add(item)
         ids = ",".join(sorted(str(i) for i in items if i is not None))
-        out.append((d[0], len(words), len(hit), len(items), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
+        at = lambda t: [p for p, x in enumerate(words) if x == t]
+        near = {i for i, t, u in pairs if any(abs(p - q) <= w for p in at(t) for q in at(u))}
+        out.append((d[0], len(words), len(hit), len(items), hashlib.sha256(ids.encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out, key=str)
 
 
@@ -58,4 +69,8 @@ def test_empty_tables(spark):
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x x b a"), (2, "b x x x x a"), (3, None)], "doc_id long, text string")
     p = spark.createDataFrame([("a", "b")], "term string, term2 string")
-    assert sorted((r.doc_id, r.pos, r.pos2) for r in proximity_matches(d, p, 3).collect()) == [(1, 0, 3), (1, 4, 3)]
+    assert sorted((r.doc_id, r.pos, r.pos2) for r in proximity_matches(keyed(d), p, 3).collect()) == [(1, 0, 3), (1, 4, 3)]
+
+
+def test_one_word_repeated_in_long_texts(spark):
+    check(spark, [(1, "a " * 3000), (2, "a b " * 500), (3, "b " * 9)], [(1, "a " * 400), (2, "a b " * 100), (3, "b " * 12), (4, "b b")])
