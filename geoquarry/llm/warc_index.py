@@ -9,7 +9,9 @@ reads one block's range, and then the record's range of the archive.
 
 At scale: pages move once, by a range shuffle on (key, page), which splits even
 a host or URL that has a third of all captures.  Lookups of many keys are sorted
-by shard and key, so blocks and records are read in file order.  Files lie in
+by shard and key, in as many tasks as there are shards, so that a task reads
+about one shard, its blocks and records in file order.  The manifest, which every task gets, has at most
+``spark.sql.shuffle.partitions`` rows.  Files lie in
 the shared folder; each task attempt writes names of its own and only those of
 successful ones are in the manifest, so retries can't mix.
 """
@@ -91,6 +93,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, body.partition(b"\r\n\r\n")[2]
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder; Hadoop's names for S3 are not pyarrow's."""
+    for scheme in ("s3a://", "s3n://"):
+        if root.startswith(scheme):
+            root = "s3://" + root.removeprefix(scheme)
+    return fs.FileSystem.from_uri(root)
+
+
 def write_archive(pages: DataFrame, root: str, min_bytes: int = 0, partitions: int | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) under ``root``; returns the manifest: first_key, stem, records.
 
@@ -108,7 +118,7 @@ def write_archive(pages: DataFrame, root: str, min_bytes: int = 0, partitions: i
     ordered = held.repartitionByRange(*count, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(root)
+        store, at = _store(root)
         stem = f"{at}/shard-{uuid.uuid4().hex}"
         store.create_dir(at, recursive=True)
         first, n, offset, index_at, lines, directory = None, 0, 0, 0, [], []
@@ -203,7 +213,7 @@ def lookup(spark: SparkSession, keys: DataFrame, manifest: DataFrame, root: str)
             yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.string()), pa.array(out_no, pa.int32())], names=["key", "no"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
+        store, _ = _store(root)
         open_no, shard = -1, None
         for b in batches:
             rows = []
@@ -227,7 +237,7 @@ def lookup(spark: SparkSession, keys: DataFrame, manifest: DataFrame, root: str)
             shard.close()
 
     routed = keys.select("key").mapInArrow(route, "key string, no int")
-    near = routed.repartitionByRange("no", "key").sortWithinPartitions("no", "key")
+    near = routed.repartitionByRange(max(1, len(shards)), "no", "key").sortWithinPartitions("no", "key")
     return near.mapInArrow(read, "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_key string, refers_to long")
 
 
