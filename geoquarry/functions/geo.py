@@ -30,6 +30,11 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.lit(2 * EARTH_RADIUS) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
 
 
+def distance(lon1: Column, lat1: Column, z1: Column, lon2: Column, lat2: Column, z2: Column) -> Column:
+    """Great-circle metres and the difference of heights together; an unknown height is 0."""
+    return F.hypot(haversine(lon1, lat1, lon2, lat2), F.coalesce(z2, F.lit(0.0)) - F.coalesce(z1, F.lit(0.0)))
+
+
 def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Initial bearing in degrees from -180 to 180."""
     dlon = F.radians(lon2 - lon1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoquarry.functions import geometries as G, rings
 from geoquarry.functions.geo import EARTH_RADIUS
 from geoquarry.plans.staging import Staging
 
@@ -33,6 +34,22 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "
     return p.join(b, ["cx", "cy"]).where(inside).drop("cx", "cy")
 
 
+def in_territories(features: DataFrame, territories: DataFrame, size: float) -> DataFrame:
+    """Rows of ``features`` (geometry g) with each of ``territories`` (ring) that keeps them, and ``cut``, g as kept there.
+
+    Boxes meet on grid cells; a pair that shares several is tested in the cell of
+    its boxes' common south-west corner alone.  No side is broadcast.
+    """
+    def boxed(df, box, name):
+        d = df.withColumn(name, box)
+        return d.withColumn("at", F.explode(box_cells(f"{name}.west", f"{name}.south", f"{name}.east", f"{name}.north", size)))
+
+    left, right = boxed(features.where(F.size(G.positions(F.col("g"))) > 0), G.bbox(F.col("g")), "gb"), boxed(territories, rings.bbox(F.col("ring")), "tb")
+    met = left.join(right, "at").where(G.boxes_meet(F.col("gb"), F.col("tb")))
+    met = met.where((F.col("at.cx") == cell(F.greatest("gb.west", "tb.west"), size)) & (F.col("at.cy") == cell(F.greatest("gb.south", "tb.south"), size)))
+    return met.withColumn("cut", G.in_territory(F.col("g"), F.col("ring"))).where("cut IS NOT NULL").drop("at", "gb", "tb")
+
+
 def overlap_pairs(boxes: DataFrame, key: str, least: float, size: float) -> DataFrame:
     """a, b (a < b by ``key``), ratio: pairs whose intersection is at least ``least`` of the smaller box.
 

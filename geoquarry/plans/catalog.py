@@ -27,6 +27,3 @@ def query(name: str, sql: str | None = None):
         return run
 
     return add
-
-
-from geoquarry.plans import analysis, geometry, joins, policy, semantics, summaries, territory, transfer  # noqa: E402,F401  they register their queries

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from geoquarry.plans.catalog import QUERIES
+from geoquarry.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

@@ -1,7 +1,7 @@
 """Queries that SQL cannot express, against plain loops."""
 
 from geoquarry.plans import fixtures
-from geoquarry.plans.catalog import QUERIES
+from geoquarry.plans.registry import QUERIES
 from geoquarry.plans.joins import FUNCTION, GEOMETRY
 
 SF = "/root/testdata/sf0.001"

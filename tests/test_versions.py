@@ -1,5 +1,5 @@
 from geoquarry.operators.versions import against_previous
-from geoquarry.plans.catalog import QUERIES
+from geoquarry.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 COLS = "id string, domain string, source string, geometry string, state int"
