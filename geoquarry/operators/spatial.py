@@ -107,3 +107,24 @@ def nearest_of_all(points: DataFrame, targets: DataFrame, key: str, target: str,
     if done is None:
         done = t.select(F.col(target), F.lit(0.0).alias("metres")).limit(0).crossJoin(points.select(key).limit(0))
     return points.select(key).join(done, key, "left").select(key, target, "metres")
+
+
+def nearest_plane(points: DataFrame, targets: DataFrame, key: str, target: str, far: Column, size: float, reach: int, staging: Staging) -> DataFrame:
+    """``key``, ``target`` of every point: its nearest target by squared degrees ``far``, ties by the smallest id; no row without targets.
+
+    As ``nearest_of_all``, but in the plane: what lies outside the cells in reach is farther than their width.
+    """
+    t = targets.where(F.col("t_lon").isNotNull() & F.col("t_lat").isNotNull())
+    rest, done = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, "lon", "lat"), None
+    while not t.isEmpty() and not rest.isEmpty():
+        last = size * reach >= 90
+        if last:
+            best = rest.crossJoin(t).groupBy(key).agg(F.min(F.struct(far.alias("metres"), F.col(target).alias("id"))).alias("best")).select(key, F.col("best.id").alias(target), F.col("best.metres").alias("metres"))
+        else:
+            best = nearest(rest, t, key, target, far, size, reach)
+        held = F.lit(last) | F.coalesce(F.col("metres") < (size * reach) ** 2 * (1 - 1e-9), F.lit(False))
+        tried = staging.cut(rest.join(best, key, "left").withColumn("held", held), "nearest")
+        got = tried.where("held").select(key, target)
+        done = got if done is None else done.unionByName(got)
+        rest, size = tried.where(~F.col("held")).select(key, "lon", "lat"), size * 4
+    return done if done is not None else points.select(key).limit(0).crossJoin(t.select(target).limit(0))

@@ -160,18 +160,24 @@ MODEL_SQL = (
 )
 
 
-def urban_model(spark, sf_dir):
-    """One row: FAR, GSI, densities, noise, insolation, transport and the composite score (green and water are absent in the fixtures: 0)."""
+def urban_model(spark, sf_dir, shares=None):
+    """One row: FAR, GSI, densities, noise, insolation, transport and the composite score.
+
+    ``shares`` is a row of green and water areas (green_m2, water_m2); without it both are 0.
+    """
     b = with_area(fixtures.buildings(spark, sf_dir))
     one = b.agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("fp"), F.sum(F.col("area") * F.coalesce("levels", F.lit(1.0))).alias("fa"), F.coalesce(F.avg("levels"), F.lit(0.0)).alias("lv"))
     one = one.crossJoin(F.broadcast(road_lengths(spark, sf_dir).agg(F.sum("length").alias("len"))))
     one = one.crossJoin(F.broadcast(with_area(fixtures.territories(spark, sf_dir)).agg(F.sum("area").alias("area"))))
     one = one.crossJoin(F.broadcast(fixtures.stops(spark, sf_dir).agg(F.count(F.lit(1)).alias("stops"))))
+    if shares is not None:
+        one = one.crossJoin(F.broadcast(shares))
+    part = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) / F.col("area") * 100) if shares is not None else F.lit(0.0)
     ha = F.col("area") / 10000
-    m = one.select((F.col("fa") / F.col("area")).alias("far"), (100 * F.col("fp") / F.col("area")).alias("gsi"), (F.col("n") / ha).alias("density"), "lv", (F.col("len") / ha).alias("rd"), "stops")
+    m = one.select(part("green_m2").alias("green"), part("water_m2").alias("water"), (F.col("fa") / F.col("area")).alias("far"), (100 * F.col("fp") / F.col("area")).alias("gsi"), (F.col("n") / ha).alias("density"), "lv", (F.col("len") / ha).alias("rd"), "stops")
     held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
-    m = m.withColumns({"noise": held(F.col("rd") / 220 * 100), "insolation": held(100 - F.col("lv") * 5 - F.col("gsi") * 0.35), "transport": held(F.col("stops") * 12 + F.least(F.lit(60.0), F.col("rd") / 45))})
-    return m.withColumn("composite", F.floor(held((F.col("insolation") + F.col("transport") + (100 - F.col("noise"))) / 4) + 0.5).cast("double"))
+    m = m.withColumns({"green": held(F.col("green")), "water": held(F.col("water")), "noise": held(F.col("rd") / 220 * 100), "insolation": held(100 - F.col("lv") * 5 - F.col("gsi") * 0.35), "transport": held(F.col("stops") * 12 + F.least(F.lit(60.0), F.col("rd") / 45))})
+    return m.withColumn("composite", F.floor(held((F.col("insolation") + F.col("green") + F.col("transport") + (100 - F.col("noise"))) / 4) + 0.5).cast("double"))
 
 
 @query("ag14_urban_model", MODEL_SQL + """ SELECT round(far, 6) AS far, round(gsi, 6) AS gsi, round(density, 6) AS density, round(rd, 4) AS road_density, round(noise, 4) AS noise,

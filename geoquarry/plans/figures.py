@@ -342,16 +342,39 @@ def area_verdict(ring):
     return F.when(F.size(ring) == 0, "empty").when((F.size(ring) < 4) | ~closed, "open-ring").when(km2 < 0.0001, "too-small").when(G.crosses_itself(ring), "self-intersection").otherwise("valid")
 
 
-@query(
-    "ge29_sheet_pixels",
-    fixtures.with_("poi")
-    + """SELECT poi_id, round((lon - 37.5::DOUBLE)/(37.7::DOUBLE - 37.5::DOUBLE)*1200, 6) AS x, round((1 - (lat - 55.6::DOUBLE)/(55.8::DOUBLE - 55.6::DOUBLE))*800, 6) AS y FROM poi""",
-)
+SHEET = {"west": 37.5, "south": 55.6, "east": 37.7, "north": 55.8, "x": 40.0, "y": 60.0, "width": 1200.0, "height": 800.0}
+
+
+def sheet_point(lon, lat, sheet=SHEET):
+    """Pixel of a position on a sheet: metres of the box's middle latitude, one scale for both axes, centred, rounded."""
+    wide, high, scale, east, south = _sheet(sheet)
+    x = sheet["x"] + (sheet["width"] - wide * scale) / 2 + (lon - F.lit(sheet["west"])) * F.lit(east) * F.lit(scale)
+    y = sheet["y"] + (sheet["height"] - high * scale) / 2 + (1 - (lat - F.lit(sheet["south"])) * F.lit(south) / F.lit(high)) * F.lit(high * scale)
+    return F.floor(x + 0.5), F.floor(y + 0.5)
+
+
+def _sheet(sheet):
+    """Width and height in metres, pixels a metre, metres a degree in both directions."""
+    import math
+
+    east, north = 111320 * math.cos(math.radians((sheet["north"] + sheet["south"]) / 2)), 110540.0
+    wide, high = max((sheet["east"] - sheet["west"]) * east, 1.0), max((sheet["north"] - sheet["south"]) * north, 1.0)
+    return wide, high, min(sheet["width"] / wide, sheet["height"] / high), east, north
+
+
+def pixels(metres, sheet=SHEET):
+    return metres * _sheet(sheet)[2]
+
+
+SHEET_SQL = """k AS (SELECT 111320*cos(radians(55.7::DOUBLE)) AS e, 110540.0::DOUBLE AS n), z AS (SELECT e, n, (37.7::DOUBLE - 37.5::DOUBLE)*e AS wide, (55.8::DOUBLE - 55.6::DOUBLE)*n AS high, least(1200/((37.7::DOUBLE - 37.5::DOUBLE)*e), 800/((55.8::DOUBLE - 55.6::DOUBLE)*n)) AS s FROM k)"""
+SHEET_X = "floor(40 + (1200 - wide*s)/2 + ({lon} - 37.5::DOUBLE)*e*s + 0.5)"
+SHEET_Y = "floor(60 + (800 - high*s)/2 + (1 - ({lat} - 55.6::DOUBLE)*n/high)*(high*s) + 0.5)"
+
+
+@query("ge29_sheet_pixels", fixtures.with_("poi") + f", {SHEET_SQL} SELECT poi_id, cast({SHEET_X.format(lon='lon')} AS BIGINT) AS x, cast({SHEET_Y.format(lat='lat')} AS BIGINT) AS y FROM poi CROSS JOIN z")
 def sheet_pixels(spark, sf_dir):
-    """Degrees to the pixels of a sheet of 1200 by 800 over a box."""
-    x = (F.col("lon") - F.lit(37.5)) / (F.lit(37.7) - F.lit(37.5)) * 1200
-    y = (1 - (F.col("lat") - F.lit(55.6)) / (F.lit(55.8) - F.lit(55.6))) * 800
-    return fixtures.poi(spark, sf_dir).select("poi_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    x, y = sheet_point(F.col("lon"), F.col("lat"))
+    return fixtures.poi(spark, sf_dir).select("poi_id", x.alias("x"), y.alias("y"))
 
 
 @query(

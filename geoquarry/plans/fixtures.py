@@ -106,7 +106,34 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(k.alias("territory_id"), west.alias("west"), south.alias("south"), (west + F.lit(0.04)).alias("east"), (south + F.lit(0.04)).alias("north"))
 
 
+GREENS = ("park", "forest", "wood", "grass", "meadow", "garden", "recreation_ground", "orchard", None)
+WATERS = ("lake", "river", "pond", "reservoir", None)
+
+
+def _patches(rows, k, name: str, kinds) -> DataFrame:
+    west, south = _grid(k, 211, 37.5, 0.00095), _grid(k, 197, 55.6, 0.00101)
+    kind = F.get(F.array(*[F.lit(x) for x in kinds]), (k % len(kinds)).cast("int"))
+    return rows.select(k.alias(name), west.alias("west"), south.alias("south"), (west + (k % 7 + 1).cast(D) * F.lit(0.0003)).alias("east"), (south + (k % 5 + 1).cast(D) * F.lit(0.0002)).alias("north"), kind.alias("kind"))
+
+
+def greens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patches(table(spark, sf_dir, "customer").where("c_custkey % 3 = 0"), F.col("c_custkey"), "green_id", GREENS)
+
+
+def waters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patches(table(spark, sf_dir, "customer").where("c_custkey % 7 = 1"), F.col("c_custkey"), "water_id", WATERS)
+
+
+def _patches_sql(name: str, kinds, where: str) -> str:
+    values = ", ".join("NULL" if x is None else f"'{x}'" for x in kinds)
+    west, south = "37.5::DOUBLE + cast(c_custkey % 211 as double)*0.00095::DOUBLE", "55.6::DOUBLE + cast(c_custkey % 197 as double)*0.00101::DOUBLE"
+    return f"""{name}s AS (SELECT c_custkey AS {name}_id, {west} AS west, {south} AS south, {west} + cast(c_custkey % 7 + 1 as double)*0.0003::DOUBLE AS east,
+      {south} + cast(c_custkey % 5 + 1 as double)*0.0002::DOUBLE AS north, [{values}][1 + cast(c_custkey % {len(kinds)} AS INT)] AS kind FROM customer WHERE {where})"""
+
+
 SQL = {
+    "greens": _patches_sql("green", GREENS, "c_custkey % 3 = 0"),
+    "waters": _patches_sql("water", WATERS, "c_custkey % 7 = 1"),
     "buildings": """buildings AS (SELECT p_partkey AS building_id,
       37.5::DOUBLE + cast(p_partkey % 97 as double)*0.002::DOUBLE AS west,
       55.6::DOUBLE + cast((p_partkey % 8633 - p_partkey % 97)/97 as double)*0.002::DOUBLE AS south,

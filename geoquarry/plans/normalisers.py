@@ -280,12 +280,12 @@ def properties():
 
 @query(
     "fp9_attribute_rows",
-    """SELECT event_id AS id, json_extract_string(props, '$.page') AS page, len(json_keys(props)) AS fields FROM events""",
+    """SELECT event_id AS id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS fields FROM events""",
 )
 def attribute_rows(spark, sf_dir):
     """Properties of each row flattened to columns."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.page").alias("page"), F.size(F.json_object_keys("props")).cast("long").alias("fields"))
+    return e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("fields"))
 
 
 @query(
