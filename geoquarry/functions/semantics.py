@@ -129,8 +129,26 @@ def year_of(text: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+def utf16(text: Column) -> Column:
+    """UTF-16 code units of a text; characters beyond the basic plane are two."""
+    units = F.encode(text, "UTF-16BE")
+    pairs = F.sequence(F.lit(1), F.length(units) - 1, F.lit(2))
+    return F.when(F.length(units) > 0, F.transform(pairs, lambda i: F.conv(F.hex(F.substring(units, i, F.lit(2))), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over ASCII codes, in base 36."""
-    codes = F.transform(F.split(text, ""), F.ascii)
-    h = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    """32-bit FNV-1a over UTF-16 code units, in base 36."""
+    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    h = F.aggregate(utf16(text), F.lit(2166136261).cast("long"), step)
     return F.lower(F.conv(h.cast("string"), 10, 36))
+
+
+def stable_json(columns: dict[str, Column]) -> Column:
+    """JSON of named values with sorted keys; nulls are written."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.coalesce(_json(columns[k]), F.lit("null"))) for k in sorted(columns)]), F.lit("}"))
+
+
+def _json(c: Column) -> Column:
+    """A value as JSON: what stands between the brackets of a list of it."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from geoquarry.plans import analysis, figures, geometry, joins, normalisers, policy, semantics, summaries, territory, themes, transfer  # noqa: F401  they register their queries
+from geoquarry.plans import analysis, figures, geometry, hub, joins, normalisers, policy, semantics, summaries, territory, themes, transfer  # noqa: F401  they register their queries
 from geoquarry.plans.catalog import QUERIES, Query  # noqa: F401

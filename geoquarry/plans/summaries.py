@@ -112,14 +112,14 @@ def canonical_ids(spark, sf_dir):
 
 @query(
     "sf23_overall_confidence",
-    "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_discount > 0.02 OR l_tax > 0.02 THEN round((CASE WHEN l_discount > 0.02 THEN cast(l_discount AS DOUBLE) ELSE 0 END + CASE WHEN l_tax > 0.02 THEN cast(l_tax AS DOUBLE) ELSE 0 END) / ((l_discount > 0.02)::INT + (l_tax > 0.02)::INT), 6) END AS confidence FROM lineitem",
+    "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_discount > 0.02 OR l_tax > 0.02 THEN round(cast((CASE WHEN l_discount > 0.02 THEN cast(l_discount AS DOUBLE) ELSE 0 END + CASE WHEN l_tax > 0.02 THEN cast(l_tax AS DOUBLE) ELSE 0 END) / ((l_discount > 0.02)::INT + (l_tax > 0.02)::INT) AS DECIMAL(18,6)), 2)::DOUBLE END AS confidence FROM lineitem",
 )
 def overall_confidence(spark, sf_dir):
-    """Mean of the parts that are known; null if none is."""
+    """Mean of the parts that are known, to two places; null if none is."""
     part = lambda c: F.when(F.col(c) > 0.02, F.col(c).cast("double"))
     known = F.array_compact(F.array(part("l_discount"), part("l_tax")))
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.round(mean, 6).alias("confidence"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.round(mean.cast("decimal(18,6)"), 2).cast("double").alias("confidence"))
 
 
 @query(
