@@ -25,7 +25,7 @@ def write_geojson_lines(features: DataFrame, path: str, column: str = "feature")
 
 
 def xml_text(c: Column) -> Column:
-    for char, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for char, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(char), F.lit(mark))
     return c
 
@@ -59,3 +59,40 @@ def prism(ring: Column, height: Column, offset: Column) -> Column:
     walls = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", F.lit("f"), at(i), at((i + 1) % n), at((i + 1) % n + n), at(i + n)))
     roof = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(n, 2 * n - 1), at), " "))
     return F.concat(F.transform(ring, vertex(F.lit(0.0))), F.transform(ring, vertex(height)), walls, F.array(roof))
+
+
+# Columns of a CSV export unless others are asked for.
+CSV_COLUMNS = ("id", "type", "source", "confidence", "name", "height", "levels", "area", "length", "category", "longitude", "latitude")
+# Formats that are registered but not written.
+UNSUPPORTED = ("shapefile", "geopackage", "pmtiles", "mbtiles", "geoparquet")
+
+
+def write_csv(entities: DataFrame, path: str, columns: tuple[str, ...] = CSV_COLUMNS) -> None:
+    """CSV with a byte-order mark before the header of each file; columns that the entities lack are empty."""
+    have = set(entities.columns)
+    out = entities.select(*[(F.col(c) if c in have else F.lit(None)).cast("string").alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(columns)])
+    out.write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def collections(features: DataFrame, chunk: Column, project: Column) -> DataFrame:
+    """chunk, n, document: a FeatureCollection with a project block for each chunk of ``features`` (column feature, text).
+
+    A chunk is a bounded number of features (callers number them so), so no
+    document outgrows a row.
+    """
+    g = features.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("body"))
+    return g.select("chunk", "n", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("body"), F.lit('],"project":'), project, F.lit("}")).alias("document"))
+
+
+def placemarks(name: Column, style: Column, data: Column, kml: Column) -> Column:
+    """A KML placemark with extended data (a map of texts); null where the geometry has no KML form."""
+    entry = lambda e: F.concat(F.lit('<Data name="'), xml_text(e["key"]), F.lit('"><value>'), xml_text(F.coalesce(e["value"], F.lit(""))), F.lit("</value></Data>"))
+    more = F.array_join(F.transform(F.map_entries(data), entry), "")
+    return F.concat(F.lit("<Placemark><name>"), xml_text(F.coalesce(name.cast("string"), F.lit(""))), F.lit("</name><styleUrl>#"), style, F.lit("</styleUrl><ExtendedData>"), more, F.lit("</ExtendedData>"), kml, F.lit("</Placemark>"))
+
+
+def writer(name: str):
+    """The writer of a format; an error for those that are registered without one."""
+    if name in UNSUPPORTED:
+        raise NotImplementedError(f"{name} is not written")
+    return {"geojsonl": write_geojson_lines, "csv": write_csv}[name]
