@@ -1,4 +1,4 @@
-"""Iterative geometry over rows: small numpy helpers behind Arrow-batched pandas UDFs.
+"""Iterative geometry over rows: numpy helpers behind Arrow-batched pandas UDFs.
 
 A line or ring is an array of ``[lon, lat]``.  Null gives null.  Each row is
 worked alone, so Spark partitions the work and no geometry meets another.
@@ -8,39 +8,125 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 EARTH_RADIUS = 6371000.0
 POINTS = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
-def _each(series: pd.Series, f) -> pd.Series:
-    """``f`` over arrays of points; rows that are null or have none give null."""
+def _points(g) -> np.ndarray | None:
+    """Positions of one row as an (n, 2) array; null for none."""
+    return None if g is None or len(g) == 0 else np.array([np.asarray(p, float)[:2] for p in g])
+
+
+def _each(rows, f) -> pd.Series:
+    """``f`` over the positions (and further values) of each row; null gives null."""
     out = []
-    for g in series:
-        pts = None if g is None or len(g) == 0 else np.array([np.asarray(p, float)[:2] for p in g])
-        got = None if pts is None else f(pts)
+    for g, *more in rows:
+        pts = _points(g)
+        got = None if pts is None else f(pts, *more)
         out.append(None if got is None else [[float(x), float(y)] for x, y in got])
     return pd.Series(out)
 
 
+def metres(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Great-circle metres between positions, by broadcasting."""
+    a, b = np.radians(a), np.radians(b)
+    h = np.sin((b[..., 1] - a[..., 1]) / 2) ** 2 + np.cos(a[..., 1]) * np.cos(b[..., 1]) * np.sin((b[..., 0] - a[..., 0]) / 2) ** 2
+    return 2 * EARTH_RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
 def simplified(pts: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker with distances in metres to the line through the ends; a closed ring stays closed."""
-    scale = np.radians(1) * EARTH_RADIUS * np.array([np.cos(np.radians(pts[:, 1].mean())), 1.0])
-    m, keep, todo = pts * scale, np.zeros(len(pts), bool), [(0, len(pts) - 1)]
+    """Douglas-Peucker; the distance from the line through the ends is the height of a triangle of three great-circle sides.
+
+    A ring, whose ends meet, has no such line: its distances are those from the ends.  A closed ring stays closed.
+    """
+    keep, todo = np.zeros(len(pts), bool), [(0, len(pts) - 1)] if tolerance > 0 else []
     keep[[0, -1]] = True
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        d, r = m[b] - m[a], m[a + 1 : b] - m[a]
-        long = np.hypot(*d)
-        off = np.abs(d[0] * r[:, 1] - d[1] * r[:, 0]) / long if long else np.hypot(r[:, 0], r[:, 1])
+        inner, base = pts[a + 1 : b], float(metres(pts[a], pts[b]))
+        left, right = metres(pts[a], inner), metres(pts[b], inner)
+        half = (base + left + right) / 2
+        off = 2 * np.sqrt(np.maximum(half * (half - base) * (half - left) * (half - right), 0)) / base if base else left
         k = int(off.argmax())
         if off[k] > tolerance:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return pts[keep]
+    return pts[keep] if tolerance > 0 else pts
+
+
+def drawn(pts: np.ndarray, tolerance: float) -> np.ndarray | None:
+    """A ring fit for drawing: finite, without adjacent repeats, closed; null below three corners.
+
+    With a tolerance, corners that lie that near to the line between their
+    neighbours go, round after round, but never the outermost ones nor the last three.
+    """
+    pts = pts[np.isfinite(pts).all(1)]
+    fresh = np.ones(len(pts), bool)
+    fresh[1:] = (pts[1:] != pts[:-1]).any(1)
+    pts = pts[fresh]
+    if len(pts) > 1 and (pts[0] == pts[-1]).all():
+        pts = pts[:-1]
+    if len(pts) < 3:
+        return None
+    if tolerance > 0:
+        outermost = np.concatenate([pts[pts.argmin(0)], pts[pts.argmax(0)]])
+        while len(pts) > 3:
+            fixed = (pts[:, None] == outermost[None]).all(2).any(1)
+            kept = list(range(len(pts)))
+            for i in np.flatnonzero(~fixed & (_off_line(pts) <= tolerance)):
+                if len(kept) > 3:
+                    kept.remove(i)
+            if len(kept) == len(pts):
+                break
+            pts = pts[kept]
+    return np.concatenate([pts, pts[:1]])
+
+
+def _off_line(pts: np.ndarray) -> np.ndarray:
+    """Metres of each corner of a ring from the segment between its neighbours, on the corner's own plane."""
+    scale = np.stack([111_320 * np.cos(np.radians(pts[:, 1])), np.full(len(pts), 110_540.0)], 1)
+    p, e = (pts - np.roll(pts, 1, 0)) * scale, (np.roll(pts, -1, 0) - np.roll(pts, 1, 0)) * scale
+    size = (e * e).sum(1)
+    t = np.clip(np.divide((p * e).sum(1), size, out=np.zeros(len(pts)), where=size > 0), 0, 1)
+    return np.hypot(*(p - t[:, None] * e).T)
+
+
+def voronoi_cell(site: np.ndarray, others: np.ndarray, box: np.ndarray) -> np.ndarray | None:
+    """Ring of the part of a box (its ring) that lies nearer to ``site`` than to each of ``others`` on the sphere; null if there is none.
+
+    Others are taken nearest first, and the search ends with those more than twice
+    as far as the farthest corner: none of them can cut.
+    """
+    ring = box[:-1]
+    far = metres(site, others)
+    for k in np.argsort(far, kind="stable"):
+        if len(ring) < 3:
+            return None
+        if far[k] > 2.01 * metres(site, ring).max():
+            break
+        other = others[k]
+        nearer = metres(ring, site) <= metres(ring, other)
+        if nearer.all():
+            continue
+        out = []
+        for i in range(len(ring)):
+            a, b = ring[i - 1], ring[i]
+            if nearer[i] != nearer[i - 1]:
+                for _ in range(32):
+                    middle = (a + b) / 2
+                    if bool(metres(middle, site) <= metres(middle, other)) == bool(nearer[i - 1]):
+                        a = middle
+                    else:
+                        b = middle
+                out.append((a + b) / 2)
+            if nearer[i]:
+                out.append(ring[i])
+        ring = np.array(out).reshape(-1, 2)
+    return np.concatenate([ring, ring[:1]]) if len(ring) > 2 else None
 
 
 def hull(pts: np.ndarray) -> np.ndarray | None:
@@ -97,19 +183,57 @@ def crosses_itself(pts: np.ndarray) -> bool:
 @F.pandas_udf(POINTS)
 def simplify(points: pd.Series, tolerance: pd.Series) -> pd.Series:
     """Line or ring within ``tolerance`` metres."""
-    return pd.Series([_each(pd.Series([p]), lambda x, t=t: simplified(x, t))[0] for p, t in zip(points, tolerance, strict=True)])
+    return _each(zip(points, tolerance, strict=True), simplified)
+
+
+@F.pandas_udf(POINTS)
+def clean_ring(points: pd.Series, tolerance: pd.Series) -> pd.Series:
+    return _each(zip(points, tolerance, strict=True), drawn)
 
 
 @F.pandas_udf(POINTS)
 def convex_hull(points: pd.Series) -> pd.Series:
-    return _each(points, hull)
+    return _each(zip(points), hull)
 
 
 @F.pandas_udf(POINTS)
 def clip_ring(points: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
-    return pd.Series([_each(pd.Series([p]), lambda x, b=b: clipped(x, *b))[0] for p, *b in zip(points, west, south, east, north, strict=True)])
+    return _each(zip(points, west, south, east, north, strict=True), clipped)
 
 
 @F.pandas_udf(T.BooleanType())
 def self_intersects(points: pd.Series) -> pd.Series:
     return pd.Series([None if g is None else crosses_itself(np.array([np.asarray(p, float)[:2] for p in g]).reshape(-1, 2)) for g in points], dtype=object)
+
+
+#: Sites of a diagram, which every task holds, at most.
+SITES = 100_000
+
+
+def voronoi(sites: DataFrame, key: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """``key``, ring: cell of each of ``sites`` (lon, lat) within a box; sites without a cell have no row.
+
+    All sites are broadcast, so their number is checked: a diagram is meant for a
+    local extent.  Sites that share a place share a cell.
+    """
+    n = sites.count()
+    if n > SITES:
+        raise ValueError(f"{n} sites; a diagram takes {SITES}")
+    west, south, east, north = box
+    frame = np.array([(west, south), (east, south), (east, north), (west, north), (west, south)])
+    held = sites.select("lon", "lat").distinct().toPandas().to_numpy(float).reshape(-1, 2)
+    shared = sites.sparkSession.sparkContext.broadcast(held)
+    kind = sites.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, lon, lat in zip(pdf[key], pdf["lon"], pdf["lat"], strict=True):
+                site = np.array([lon, lat])
+                others = shared.value[(shared.value != site).any(1)]
+                ring = voronoi_cell(site, others, frame)
+                if ring is not None:
+                    rows.append((k, ring.tolist()))
+            yield pd.DataFrame(rows, columns=[key, "ring"])
+
+    return sites.select(key, "lon", "lat").mapInPandas(run, f"{key} {kind}, ring array<array<double>>")

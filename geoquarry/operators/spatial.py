@@ -47,7 +47,8 @@ def in_territories(features: DataFrame, territories: DataFrame, size: float) ->
     left, right = boxed(features.where(F.size(G.positions(F.col("g"))) > 0), G.bbox(F.col("g")), "gb"), boxed(territories, rings.bbox(F.col("ring")), "tb")
     met = left.join(right, "at").where(G.boxes_meet(F.col("gb"), F.col("tb")))
     met = met.where((F.col("at.cx") == cell(F.greatest("gb.west", "tb.west"), size)) & (F.col("at.cy") == cell(F.greatest("gb.south", "tb.south"), size)))
-    return met.withColumn("cut", G.in_territory(F.col("g"), F.col("ring"))).where("cut IS NOT NULL").drop("at", "gb", "tb")
+    cut = G.in_territory(F.col("g"), F.col("ring"))
+    return met.withColumn("cut", F.explode(F.array_compact(F.array(cut)))).drop("at", "gb", "tb")  # evaluated once, where a filter would repeat it
 
 
 def overlap_pairs(boxes: DataFrame, key: str, least: float, size: float) -> DataFrame:

@@ -237,7 +237,7 @@ def pairs_of(spark, sf_dir):
     k = F.col("id")
     f = figures(spark, sf_dir)
     kind = ((k + F.floor(k / 6) % 6) % 6).cast("int")
-    parts = _placed(F.get(F.array(*[_literal(x) for x in FIGURES]), kind), F.col("lon") + (k % 5 - 2).cast("double") * F.col("size"), F.col("lat") + (k % 3).cast("double") * F.col("size"), F.col("size") * F.when(k % 4 == 0, 0.25).otherwise(1.0))
+    parts = _placed(F.get(F.array(*[_literal(x) for x in FIGURES]), kind), F.col("lon") + (k % 3 - 1).cast("double") * F.col("size") * F.lit(0.5), F.col("lat") + (k % 2).cast("double") * F.col("size") * F.lit(0.5), F.col("size") * F.when(k % 5 == 0, 0.25).otherwise(1.0))
     return f.withColumn("h", G.geometry(F.get(F.array(*[F.lit(x) for x in KINDS]), kind), parts))
 
 
