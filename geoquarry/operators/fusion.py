@@ -4,9 +4,11 @@ A candidate joins the first group (in order of candidates) whose first member it
 overlaps; else it founds one.  Founders are thus the lexicographically first
 maximal independent set of the overlap graph: a candidate founds a group exactly
 when none of its earlier neighbours is a founder.  That is decided in rounds,
-all candidates at once: whoever has only non-founders before it founds; whoever
-has a founder before it does not.  Rounds are joins of narrow rows, so a group
-of any size is never gathered into one task.
+all candidates at once: whoever has no undecided neighbour before it founds;
+whoever has a new founder before it does not.  Decided candidates and their pairs
+leave, so a round works on what is left, and there are as many rounds as the
+longest chain in which each candidate waits for the one before.  Rounds are joins
+of narrow rows, so a group of any size is never gathered into one task.
 """
 
 from __future__ import annotations
@@ -22,20 +24,20 @@ def greedy_groups(candidates: DataFrame, pairs: DataFrame, staging: Staging, key
     ``pairs`` has a < b for every related pair.  Without pairs all found.
     """
     pairs = staging.cut(pairs.select("a", "b"), "pairs")
-    state = staging.cut(candidates.select(F.col(key).alias("id"), F.lit(None).cast("boolean").alias("founds")), "state")
+    left, open_, founders = staging.cut(candidates.select(F.col(key).alias("id")), "left"), pairs, None
     while True:
-        before = pairs.join(state.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("founds", F.lit(False))).alias("met"), F.bool_or(F.col("founds").isNull()).alias("waits"))
-        step = state.join(before, "id", "left")
-        decided = F.when(F.col("founds").isNotNull(), F.col("founds")).when(F.coalesce("met", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        new = staging.cut(step.select("id", decided.alias("founds")), "state")
-        staging.drop(state)
-        state = new
-        if new.where("founds IS NULL").limit(1).count() == 0:
+        free = staging.cut(left.join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "free")
+        founders = free if founders is None else founders.unionByName(free)
+        met = staging.cut(open_.join(free.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "met")
+        left = staging.cut(left.join(free.unionByName(met), "id", "left_anti"), "left")
+        open_ = open_.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
+        open_ = staging.cut(open_.select("a", "b"), "open")
+        if open_.limit(1).count() == 0:
             break
-    founders = state.where("founds").select(F.col("id").alias("a"))
+    founders = staging.cut(founders.unionByName(left), "founders").select(F.col("id").alias("a"))
     joined = pairs.join(founders, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
-    out = state.join(joined, "id", "left")
-    return out.select(F.col("id").alias(key), F.when(F.col("founds"), F.col("id")).otherwise(F.col("first")).alias("founder"))
+    out = candidates.select(F.col(key).alias("id")).join(joined, "id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("first", "id").alias("founder"))
 
 
 def pick(value: str, source: str, priorities: tuple[str, ...], order: str):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from geoquarry.functions import geo, semantics as S
 from geoquarry.operators import spatial
+from geoquarry.operators.prefix import running_total
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
+from geoquarry.plans.staging import Staging
 from geoquarry.plans.semantics import AGE_SQL, HEIGHT_SQL, with_area
 from geoquarry.plans.territory import AREA_SQL
 
@@ -296,9 +297,6 @@ def latest_snapshot(spark, sf_dir):
     SELECT building_id, cast(coalesce(sum(2*vertices) OVER (ORDER BY building_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_vertex FROM n""",
 )
 def vertex_offsets(spark, sf_dir):
-    """Running offset over all buildings in id order, in two levels: sums by id block, then within the block."""
-    n = fixtures.buildings(spark, sf_dir).select("building_id", (2 * (4 + F.col("building_id") % 3)).alias("v"), F.floor(F.col("building_id") / 1024).alias("block"))
-    blocks = n.groupBy("block").agg(F.sum("v").alias("total"))
-    before = blocks.select("block", F.coalesce(F.sum("total").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("v").over(W.partitionBy("block").orderBy("building_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("within", within).join(before, "block").select("building_id", (F.col("base") + F.col("within")).alias("first_vertex"))
+    """Running offset over all buildings in id order: totals of ranges first, then a window within each range."""
+    n = fixtures.buildings(spark, sf_dir).select("building_id", (2 * (4 + F.col("building_id") % 3)).alias("v"))
+    return running_total(n, ("building_id",), F.col("v"), "first_vertex", Staging(spark, "offsets")).select("building_id", "first_vertex")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geo, rings, tiles
+from geoquarry.operators.prefix import running_total
 from geoquarry.plans import fixtures
 from geoquarry.plans.analysis import LENGTH_SQL
 from geoquarry.plans.catalog import query
+from geoquarry.plans.staging import Staging
 from geoquarry.plans.territory import AREA_SQL
 from geoquarry.sources.tables import table
 
@@ -128,9 +130,17 @@ def tile_bounds(spark, sf_dir):
     return p.select("x", "y", F.round(tiles.tile_west(F.col("x"), 12), 9).alias("west"), F.round(tiles.tile_north(F.col("y"), 12), 9).alias("north"))
 
 
-@query("tp4_hilbert_ids")
+@query(
+    "tp4_hilbert_ids",
+    fixtures.with_("poi").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, t AS (SELECT poi_id, cast(floor((lon + 180)/360*1024) AS BIGINT) AS x, cast(floor((1 - ln(tan(radians(lat)) + 1/cos(radians(lat)))/pi())/2*1024) AS BIGINT) AS y FROM poi),
+    h AS (SELECT poi_id, x AS x0, y AS y0, x, y, 512::BIGINT AS s, 0::BIGINT AS d FROM t
+      UNION ALL SELECT poi_id, x0, y0, CASE WHEN ry = 1 THEN px WHEN rx = 1 THEN s - 1 - py ELSE py END, CASE WHEN ry = 1 THEN py WHEN rx = 1 THEN s - 1 - px ELSE px END, s // 2, d + s*s*xor(3*rx, ry)
+      FROM (SELECT *, x % s AS px, y % s AS py, CASE WHEN x >= s THEN 1::BIGINT ELSE 0::BIGINT END AS rx, CASE WHEN y >= s THEN 1::BIGINT ELSE 0::BIGINT END AS ry FROM h WHERE s > 0))
+    SELECT poi_id, x0 AS x, y0 AS y, d + 349525 AS tile_id FROM h WHERE s = 0""",
+)
 def hilbert_ids(spark, sf_dir):
-    """Tile ids along the Hilbert curve; held against a per-tile loop in tests."""
+    """Tile ids along the Hilbert curve, behind those of the lower zooms."""
     p = fixtures.poi(spark, sf_dir).select("poi_id", tiles.tile_x(F.col("lon"), 10).alias("x"), tiles.tile_y(F.col("lat"), 10).alias("y"))
     return p.withColumn("tile_id", tiles.hilbert(F.col("x"), F.col("y"), 10))
 
@@ -174,14 +184,11 @@ def pyramid(spark, sf_dir):
     "SELECT layer, chunk, count(*) AS n, min(id) AS first_id FROM (SELECT o_orderpriority AS layer, o_orderkey AS id, cast((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS chunk FROM orders) GROUP BY 1, 2",
 )
 def chunks(spark, sf_dir):
-    """Runs of at most 1000 features a layer, in id order, numbered in two levels: no layer is sorted in one task."""
-    from pyspark.sql import Window as W
-
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("layer"), F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 4096).alias("block"))
-    blocks = o.groupBy("layer", "block").count()
-    before = blocks.select("layer", "block", F.coalesce(F.sum("count").over(W.partitionBy("layer").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rn = F.row_number().over(W.partitionBy("layer", "block").orderBy("id")) - 1
-    n = o.withColumn("rn", rn).join(before, ["layer", "block"]).select("layer", "id", F.floor((F.col("rn") + F.col("base")) / 1000).alias("chunk"))
+    """Runs of at most 1000 features a layer, in id order, by ranks over ranges: no layer is sorted in one task."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("layer"), F.col("o_orderkey").alias("id"))
+    ranked = running_total(o, ("layer", "id"), F.lit(1), "rank", Staging(spark, "ranks"))
+    first = ranked.groupBy("layer").agg(F.min("rank").alias("start"))
+    n = ranked.join(F.broadcast(first), "layer").select("layer", "id", F.floor((F.col("rank") - F.col("start")) / 1000).alias("chunk"))  # a row for each of the eight layers
     return n.groupBy("layer", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
