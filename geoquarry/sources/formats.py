@@ -202,13 +202,12 @@ def reader(name: str):
     return {"geojson": read_geojson, "geojsonl": read_geojson_lines, "csv": read_csv_points, "kml": read_kml, "gml": read_gml, "esri-json": read_esri_json, "ascii-grid": read_ascii_grid, "geopackage": read_geopackage, "shapefile": read_shapefiles, "dxf": read_dxf}[name]
 
 
-def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
+def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
     """Rows that ``decode`` makes of each whole file, a file a row; the files' bytes stay in the task that reads them."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    position = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
+    kinds = pa.schema([("file", pa.string()), ("id", pa.string()), ("type", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(position)))), ("properties", pa.string())])
 
     def run(batches):
         for b in batches:
@@ -217,7 +216,7 @@ def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
                 for lo in range(0, len(rows), 4096):
                     yield pa.RecordBatch.from_pylist(rows[lo : lo + 4096], schema=kinds)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, DECODED)
 
 
 DECODED = "file string, id string, type string, parts array<array<array<struct<lon:double,lat:double>>>>, properties string"
@@ -227,21 +226,21 @@ def read_geopackage(spark: SparkSession, path: str) -> DataFrame:
     """file, id, g, properties (JSON text) of the rows of all geometry tables of GeoPackage files."""
     from geoquarry.sources.binary import geopackage_rows
 
-    return _with_geometry(_decoded(spark, path, geopackage_rows, DECODED))
+    return _with_geometry(_decoded(spark, path, geopackage_rows))
 
 
 def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
     """file, id, g, properties of the shapes of zipped or plain Shapefiles."""
     from geoquarry.sources.binary import shapefile_rows
 
-    return _with_geometry(_decoded(spark, path, shapefile_rows, DECODED))
+    return _with_geometry(_decoded(spark, path, shapefile_rows))
 
 
 def read_dxf(spark: SparkSession, path: str) -> DataFrame:
     """file, id, g, properties of the points, lines, polylines and circles of DXF files."""
     from geoquarry.sources.binary import dxf_rows
 
-    return _with_geometry(_decoded(spark, path, dxf_rows, DECODED))
+    return _with_geometry(_decoded(spark, path, dxf_rows))
 
 
 def _with_geometry(rows: DataFrame) -> DataFrame:
