@@ -369,3 +369,30 @@ def domain_reports(rows, limits: dict, declared: dict, coverage, road: int = 1,
     for u in unknown:
         warnings = warnings + u.cast("int")
     return d.select("*", F.round(total / 5, 3).alias("overall"), F.when(contested & plain.isin("complete", "partial"), "degraded").otherwise(plain).alias("status"), warnings.alias("warnings"))
+
+
+@query(
+    "ag31_coverage_states",
+    f"""WITH {DOMAIN_SQL}, f AS (SELECT *, CASE WHEN quality IS NOT NULL THEN round(1 - quality/2, 3) END AS freshness, CASE WHEN n % 2 = 1 THEN 0.9::DOUBLE WHEN n % 4 = 2 THEN 0.3::DOUBLE END AS coverage FROM q),
+    r AS (SELECT n_nationkey AS territory, d AS domain, mc FROM nation, (VALUES ('building', 0.5::DOUBLE), ('road', NULL), ('green_area', NULL), ('imagery', NULL)) v(d, mc)),
+    s AS (SELECT r.territory, r.domain, coalesce(n, 0) = 0 AS missing, coalesce(n, 0) > 0 AND (coverage IS NULL OR quality IS NULL) AS partial, coalesce(n, 0) > 0 AND coalesce(freshness < 0.55, false) AS outdated,
+      coalesce(n, 0) > 0 AND ((mc IS NOT NULL AND (coverage IS NULL OR coverage < mc)) OR quality IS NULL OR quality < 0.5) AS below FROM r LEFT JOIN f ON f.territory = r.territory AND f.domain = r.domain)
+    SELECT *, NOT missing AND NOT partial AND NOT outdated AND NOT below AS covered FROM s""",
+)
+def coverage_states(spark, sf_dir):
+    """For each wanted domain of a territory: missing, partial, outdated, below a threshold, or covered.  An unknown score is below any threshold that is set."""
+    d = domains_of(spark, sf_dir)
+    d = d.withColumns({"freshness": F.round(1 - F.col("quality") / 2, 3), "coverage": F.when(F.col("n") % 2 == 1, 0.9).when(F.col("n") % 4 == 2, 0.3)})
+    wanted = spark.createDataFrame([("building", 0.5), ("road", None), ("green_area", None), ("imagery", None)], "domain string, least_coverage double")
+    r = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("territory")).crossJoin(F.broadcast(wanted))
+    there = F.coalesce("n", F.lit(0)) > 0
+    short = F.col("least_coverage").isNotNull() & (F.col("coverage").isNull() | (F.col("coverage") < F.col("least_coverage")))
+    s = r.join(d, ["territory", "domain"], "left").select(
+        "territory",
+        "domain",
+        (~there).alias("missing"),
+        (there & (F.col("coverage").isNull() | F.col("quality").isNull())).alias("partial"),
+        (there & F.coalesce(F.col("freshness") < 0.55, F.lit(False))).alias("outdated"),
+        (there & (short | F.col("quality").isNull() | (F.col("quality") < 0.5))).alias("below"),
+    )
+    return s.withColumn("covered", ~F.col("missing") & ~F.col("partial") & ~F.col("outdated") & ~F.col("below"))

@@ -168,3 +168,14 @@ def missing(spark, sf_dir):
 )
 def metadata(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("project"), F.col("event_type").alias("key")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+@query(
+    "jn10_snapped_points",
+    NEAR_SQL + ", b AS (SELECT poi_id, arg_min(stop_id, m*1000000 + stop_id/1000000) AS stop_id, min(m) AS m FROM d GROUP BY 1) SELECT p.poi_id, CASE WHEN b.m <= 600 THEN s.lon ELSE p.lon END AS lon, CASE WHEN b.m <= 600 THEN s.lat ELSE p.lat END AS lat FROM poi p LEFT JOIN b USING (poi_id) LEFT JOIN stops s USING (stop_id)",
+)
+def snapped_points(spark, sf_dir):
+    """Each point moved to its nearest stop if that is at most 600 m away, else left where it is."""
+    p, s = fixtures.poi(spark, sf_dir), fixtures.stops(spark, sf_dir).select("stop_id", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"))
+    near = to_stops(spark, sf_dir).where("metres <= 600").join(s, "stop_id").select("poi_id", "to_lon", "to_lat")
+    return p.join(near, "poi_id", "left").select("poi_id", F.coalesce("to_lon", "lon").alias("lon"), F.coalesce("to_lat", "lat").alias("lat"))

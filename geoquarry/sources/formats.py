@@ -42,9 +42,13 @@ def _features(f: DataFrame) -> DataFrame:
     return f.where(F.col("f.geometry").isNotNull()).select(names.alias("id"), F.col("f.geometry").alias("geometry"), F.col("f.properties").alias("properties"), "dataset")
 
 
-def read_csv_points(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, then lon and lat as doubles, found by column name; rows without finite coordinates are left out."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+def read_csv_points(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text, then lon and lat as doubles, found by column name; rows without finite coordinates are left out.
+
+    Quoted fields may hold line breaks, so a file is read by one task; with
+    ``multi_line`` off, for files that are known to have none, files split.
+    """
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     found = {c.strip().lstrip("\ufeff").lower(): c for c in reversed(rows.columns)}
     x, y = (next((found[n] for n in names if n in found), None) for names in (LON_NAMES, LAT_NAMES))
     if x is None or y is None:
