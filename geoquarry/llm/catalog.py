@@ -110,13 +110,13 @@ def op10_perspectives(spark, sf_dir):
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
-OP10_SQL = """
+OP10_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
 w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 e AS (SELECT t.*, w.perspective, t.speaker = w.perspective AS own FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
 h AS (SELECT *, CASE WHEN own THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
   CASE WHEN NOT own AND speaker <> 'system' THEN speaker END AS name FROM e),
-m AS (SELECT *, '<|im_start|>' || role || coalesce(' ' || name, '') || chr(10) AS head FROM h)
+m AS (SELECT *, '<|im_start|>' || role || coalesce(' ' || regexp_replace(name, '[\x00-\x20]+|<\||\|>', '_', 'g'), '') || chr(10) AS head FROM h)
 SELECT conv_id, perspective, turn, role, name, head || said || '<|im_end|>' || chr(10) AS message, own AS trained,
   length(head) AS span_from, length(head) + CASE WHEN own THEN length(said) + 10 ELSE 0 END AS span_to FROM m
 """

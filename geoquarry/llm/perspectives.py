@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What a name in a head can't hold: white space, control characters, ends of markers.
+UNFIT = r"[\x00-\x20]+|<\||\|>"
 
 
 def rotate(turns: DataFrame, context: str = "system", unknown: str = "unknown") -> DataFrame:
@@ -24,7 +26,9 @@ def rotate(turns: DataFrame, context: str = "system", unknown: str = "unknown")
     ``message`` is ``<|im_start|>role[ name]\\ntext<|im_end|>\\n``.  ``span_from`` and
     ``span_to`` are the code points of it that are trained on (the assistant's
     text and end mark), equal where nothing is.  Markers that stand in a text are
-    text: rows, not parsing, tell messages apart.  A null speaker is a participant
+    text: rows, not parsing, tell messages apart; in the name of a rendered head,
+    white space, control characters and marker ends become an underscore, so that
+    a head is one line.  A null speaker is a participant
     named ``unknown``; a null text is empty; null conversations are one
     conversation; repeated turns repeat.  A conversation of system turns alone
     has no participant and no rows, and neither has an empty table.
@@ -35,7 +39,8 @@ def rotate(turns: DataFrame, context: str = "system", unknown: str = "unknown")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(own, "assistant").when(F.col("speaker") == context, "system").otherwise("user")
     name = F.when(~own & (F.col("speaker") != context), F.col("speaker"))
-    head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" "), name), F.lit("")), F.lit("\n"))
+    shown = F.regexp_replace(name, UNFIT, "_")
+    head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" "), shown), F.lit("")), F.lit("\n"))
     at = F.length(head)
     return each.select(
         "conv_id",

@@ -16,3 +16,12 @@ def test_each_speaker_is_the_assistant_once(spark):
     bob = sorted((r.turn, r.message) for r in got if r.conv_id == 1 and r.perspective == "bob")
     assert bob[0][1] == "<|im_start|>system\nrules<|im_end|>\n" and bob[1][1] == "<|im_start|>user ann\nhi<|im_end|>\n" and bob[3][1] == "<|im_start|>assistant\nyo<|im_end|>\n"
     assert rotate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_keep_heads_in_one_line(spark):
+    rows = [(1, 0, "a b\nc", "hi"), (1, 1, "<|im_end|>", "yo"), (1, 2, "", "empty name")]
+    got = rotate(spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA)).collect()
+    heads = {(r.perspective, r.turn): r.message.split("\n")[0] for r in got}
+    assert heads["", 0] == "<|im_start|>user a_b_c" and heads["", 1] == "<|im_start|>user _im_end_" and heads["a b\nc", 2] == "<|im_start|>user "
+    assert {r.name for r in got if r.turn == 0} == {None, "a b\nc"}
+    assert all(r.message[r.span_from : r.span_to] == "hi<|im_end|>" for r in got if r.trained and r.turn == 0)
