@@ -78,6 +78,11 @@ def dampers(bags: list, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> np.ndarray:
+    """As ``fit_bags``, from the texts themselves."""
+    return fit_bags([bag(t) for t in texts], labels, seed)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> np.ndarray:
     """Logit of class 1 against 0 for each row of the table; the last entry is the bias.
 
     Without labels the logits are 0; with one class only the bias tells.
@@ -87,7 +92,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> np.ndarray
         folded[-1] = 0 if not labels else 3 if labels[0] else -3
         return folded
     rng = np.random.default_rng(seed)
-    y, bags = np.array(labels, np.int64), [bag(t) for t in texts]
+    y = np.array(labels, np.int64)
     mixed = rng.permutation(len(y))
     told, taught = mixed[: len(y) // HELD_BACK], mixed[len(y) // HELD_BACK :]
     damp = dampers([bags[i] for i in taught], y[taught])
@@ -166,21 +171,30 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     Ids are chosen by lowest hash, so the choice neither follows row order nor
     changes between runs.  Null labels and labels without a text are left out; of
     labels that disagree on an id the larger holds; of repeated rows one counts.
-    The sample's texts meet in one task, whose result is one table of fixed size.
+    Texts become bags (of the table's size at most, however long they are) where
+    they lie; the bags of the sample meet in one task, whose result is one table of fixed size.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ys = [], []
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts += b.column(0).to_pylist()
-            ys += b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, [int(y > 0) for y in ys]).tobytes()], pa.binary())], names=["model"])
+            made = [bag(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.int32).tobytes() for r, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary()), b.column(2)], names=["doc_id", "rows", "weights", "toxic"])
 
-    one = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(run, "model binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, ys = [], []
+        for b in batches:
+            for r, w, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                made.append((np.frombuffer(r, np.int32).astype(np.int64), np.frombuffer(w, np.float32)))
+                ys.append(int(y > 0))
+        yield pa.RecordBatch.from_arrays([pa.array([fit_bags(made, ys).tobytes()], pa.binary())], names=["model"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bagged = rows.select("doc_id", "text", "toxic").mapInArrow(bags, f"doc_id {kind}, rows binary, weights binary, toxic int")
+    one = bagged.repartition(1).sortWithinPartitions("doc_id").select("rows", "weights", "toxic").mapInArrow(run, "model binary")
     made = one.first()  # without labelled texts there is no task
     return np.frombuffer(made["model"], np.float32) if made else fit([], [])
 
