@@ -3,6 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from geoquarry.llm import decontam, exact_dedup, minhash, toxicity
 from tests.llm.test_decontam import brute as brute_hits
 from tests.llm.test_minhash import brute as brute_near
 
@@ -45,3 +46,29 @@ def test_odd_tables(spark, rows):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == min(len(rows), 2)  # null and empty texts are equal
+
+
+def test_repeated_ids_nulls_and_clashing_columns(spark):
+    base = [f"w{i}" for i in range(60)]
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [
+        (1, " ".join(base)), (1, "other words of the same id"), (2, "other  words of the same id"), (2, " ".join([*base[:-1], "x"])), (3, f"before {item} behind"), (3, "clean text of id three"),
+        (None, " ".join(base)), (None, None), (4, ""), (4, " \n"), (5, "end " * 30_000),
+    ]
+    more = "row string, fp int, gid string, component int, toxic_score double, words string, count int, item_id string"
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "r", 1, "g", 2, 0.5, "w", 3, "i") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {more}").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    told = toxicity.keep_clean(docs, toxicity.fit([], []))  # without labels nothing is toxic
+    assert told.columns == docs.columns and told.count() == len(rows)
+    once = exact_dedup.keep_one(told)
+    assert once.columns == docs.columns
+    kept = sorted(((r.doc_id or 0), (r.text or "").strip()[:9]) for r in once.collect())
+    # id 1 and the null id say the same, as do its second text and that of id 2, which is longer; empty texts are one
+    assert kept == [(1, "w0 w1 w2 "), (2, "other  wo"), (2, "w0 w1 w2 "), (3, "before al"), (3, "clean tex"), (4, ""), (5, "end end e")]
+    near = minhash.keep_one(once)
+    assert near.columns == docs.columns
+    assert sorted(((r.doc_id or 0), (r.text or "").strip()[:5]) for r in near.collect()) == [(1, "w0 w1"), (2, "other"), (3, "befor"), (3, "clean"), (4, ""), (5, "end e")]
+    clean = decontam.keep_clean(near, bench)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id or 0), (r.text or "").strip()[:5]) for r in clean.collect()) == [(1, "w0 w1"), (2, "other"), (3, "clean"), (4, ""), (5, "end e")]
+    assert corpus_pipeline.encoding_stage(spark, clean, SF).count() == 5
