@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, class_lm, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity, warc_index
+from geoquarry.llm import bpe, class_lm, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity, vector_codes, warc_index
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
@@ -122,6 +122,32 @@ SELECT conv_id, perspective, turn, role, name, head || said || '<|im_end|>' || c
 """
 
 
+def op11_code_compression(spark, sf_dir):
+    """Every vector's 8-part code, with codebooks refined by partial-distance search."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """Six rounds of assignment and floor means, each a pair of common tables."""
+    steps = [
+        """k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, embedding, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "w AS (SELECT CAST(max(len(v)) // 8 AS BIGINT) AS w FROM k)",
+        "p AS MATERIALIZED (SELECT rid, part, v[part * w + 1:(part + 1) * w] AS x FROM k, w, range(8) r(part))",
+        "f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS e FROM k ORDER BY vec_id NULLS LAST, embedding LIMIT 16)",
+        "c0 AS MATERIALIZED (SELECT part, e, x FROM p JOIN f USING (rid))",
+    ]
+    for i in range(7):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, part, any_value(p.x) AS x, min(CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + e) AS m FROM p JOIN c{i} c USING (part) GROUP BY rid, part)")
+        if i < 6:
+            steps.append(f"""s{i} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS y
+  FROM (SELECT part, m % 16 AS e, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, m, unnest(x) AS x, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY ALL) GROUP BY part, e)""")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(y, x) AS x FROM c{i} LEFT JOIN s{i} USING (part, e))")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS sha FROM c6)")
+    steps.append("o AS (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY rid)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM k JOIN o USING (rid), h"
+
+
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -142,8 +168,9 @@ def queries():
         "op8_byte_bpe": op8_byte_bpe,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_perspectives": op10_perspectives,
+        "op11_code_compression": op11_code_compression,
     }
 
 
 def oracle_sql():
-    return {"op5_decontamination": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_perspectives": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_perspectives": OP10_SQL, "op11_code_compression": _op11_sql()}
