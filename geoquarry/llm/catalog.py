@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, class_lm, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity, vector_codes, warc_index
+from geoquarry.llm import bpe, class_lm, conversation_repair, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity, vector_codes, warc_index
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
@@ -148,6 +148,11 @@ def _op11_sql() -> str:
     return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM k JOIN o USING (rid), h"
 
 
+def op12_conversation_repair(spark, sf_dir):
+    """Every damaged conversation's faults and cheapest repair, by error-correcting Earley parsing."""
+    return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -169,6 +174,7 @@ def queries():
         "op9_exact_dedup": op9_exact_dedup,
         "op10_perspectives": op10_perspectives,
         "op11_code_compression": op11_code_compression,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
