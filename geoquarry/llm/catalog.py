@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from geoquarry.llm import bpe, class_lm, conversation_repair, decontam, exact_dedup, html_text, kd_shards, minhash, perspectives, toxicity, vector_codes, warc_index
+from geoquarry.llm import bpe, class_lm, conversation_repair, decontam, exact_dedup, html_text, kd_shards, licenses, minhash, perspectives, toxicity, vector_codes, warc_index
 from geoquarry.llm.words import id_bucket
 from geoquarry.sources.tables import table
 
@@ -153,6 +153,11 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
 
 
+def op13_license_scan(spark, sf_dir):
+    """Every document's licence phrases and notices, by the positional index of rare words."""
+    return licenses.scan_labels(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -175,6 +180,7 @@ def queries():
         "op10_perspectives": op10_perspectives,
         "op11_code_compression": op11_code_compression,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_license_scan": op13_license_scan,
     }
 
 
