@@ -36,21 +36,26 @@ def metres(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * EARTH_RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
 
 
-def simplified(pts: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker; the distance from the line through the ends is the height of a triangle of three great-circle sides.
+def off_base(pts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Metres of the positions between ``a`` and ``b`` from the line through those two: the height of a triangle of three great-circle sides.
 
-    A ring, whose ends meet, has no such line: its distances are those from the ends.  A closed ring stays closed.
+    Where the two are one place, as the ends of a ring, there is no such line: the distances are those from the place.
     """
+    inner, base = pts[a + 1 : b], float(metres(pts[a], pts[b]))
+    left, right = metres(pts[a], inner), metres(pts[b], inner)
+    half = (base + left + right) / 2
+    return 2 * np.sqrt(np.maximum(half * (half - base) * (half - left) * (half - right), 0)) / base if base else left
+
+
+def simplified(pts: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker by ``off_base``.  A closed ring stays closed."""
     keep, todo = np.zeros(len(pts), bool), [(0, len(pts) - 1)] if tolerance > 0 else []
     keep[[0, -1]] = True
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        inner, base = pts[a + 1 : b], float(metres(pts[a], pts[b]))
-        left, right = metres(pts[a], inner), metres(pts[b], inner)
-        half = (base + left + right) / 2
-        off = 2 * np.sqrt(np.maximum(half * (half - base) * (half - left) * (half - right), 0)) / base if base else left
+        off = off_base(pts, a, b)
         k = int(off.argmax())
         if off[k] > tolerance:
             keep[a + 1 + k] = True

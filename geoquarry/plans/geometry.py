@@ -202,8 +202,3 @@ def terrain_rgb(spark, sf_dir):
     t = fixtures.terrain(spark, sf_dir).select("terrain_id", v.alias("v"))
     part = lambda n: F.shiftright("v", n).bitwiseAND(F.lit(255))
     return t.select("terrain_id", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))
-
-
-@query("sf33_lod_tolerance", "SELECT z AS zoom, 1.5::DOUBLE*pow(2, greatest(14 - z, 0)) AS tolerance FROM (SELECT unnest(generate_series(0, 16)) AS z)")
-def lod(spark, sf_dir):
-    return spark.range(17).select(F.col("id").alias("zoom"), (1.5 * F.pow(F.lit(2.0), F.greatest(14 - F.col("id"), F.lit(0)))).alias("tolerance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G, rings, tiles
-from geoquarry.operators import shapes, spatial
+from geoquarry.operators import pyramid, shapes, spatial
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.figures import FIGURE_SQL, METRES, _over, figures
@@ -61,9 +61,37 @@ def hulls(spark, sf_dir):
     return h.select("id", F.round(rings.planar_area(points(F.col("h"))) / (F.col("size") * F.col("size")), 4).alias("planar"))
 
 
-@query("ge10_simplified")
+def _metres(p, q):
+    return METRES.replace("@a", p).replace("@b", q)
+
+
+def _off(i):
+    """Height of the triangle of positions a, i and b of a line, or the distance from a where a and b are one place."""
+    base, left, right = _metres("l[a]", "l[b]"), _metres("l[a]", f"l[{i}]"), _metres("l[b]", f"l[{i}]")
+    half = f"(({base} + {left} + {right})/2)"
+    return f"CASE WHEN {base} = 0 THEN {left} ELSE 2*sqrt(greatest({half}*({half} - {base})*({half} - {left})*({half} - {right}), 0))/({base}) END"
+
+
+#: Lines of all figures (lid, id, n, type, l) and the tolerance ``w`` below which each inner position k stays, split by split.
+WEIGHTS_SQL = (
+    FIGURE_SQL.replace("WITH f0", "WITH RECURSIVE f0")
+    + f""", lines AS (SELECT id*1000 + generate_subscripts(flatten(parts), 1) AS lid, id, generate_subscripts(flatten(parts), 1) - 1 AS n, type, unnest(flatten(parts)) AS l FROM f),
+    r AS (SELECT lid, 1 AS a, len(l) AS b, 'inf'::DOUBLE AS cap, l FROM lines WHERE type NOT IN ('Point', 'MultiPoint')
+      UNION ALL SELECT lid, a2, b2, w, l FROM (SELECT lid, l, unnest([a, k]) AS a2, unnest([k, b]) AS b2, w FROM (SELECT *, a + list_position(o, list_max(o)) AS k, least(cap, list_max(o)) AS w FROM (SELECT *, list_transform(range(a + 1, b), lambda i: {_off("i")}) AS o FROM r WHERE b - a > 1)) WHERE w > 0)),
+    inner_w AS (SELECT lid, a + list_position(o, list_max(o)) AS k, least(cap, list_max(o)) AS w FROM (SELECT *, list_transform(range(a + 1, b), lambda i: {_off("i")}) AS o FROM r WHERE b - a > 1)),
+    every AS (SELECT lid, id, n, type, unnest(l) AS p, generate_subscripts(l, 1) AS k, len(l) AS size FROM lines),
+    weighted AS (SELECT e.*, CASE WHEN e.k = 1 OR e.k = size OR type IN ('Point', 'MultiPoint') THEN 'inf'::DOUBLE ELSE coalesce(w, 0) END AS w FROM every e LEFT JOIN inner_w i ON i.lid = e.lid AND i.k = e.k)"""
+)
+
+
+@query(
+    "ge10_simplified",
+    WEIGHTS_SQL
+    + f""", s AS (SELECT id, n, list(p ORDER BY k) AS l FROM weighted WHERE w > 60 AND type NOT IN ('Point', 'MultiPoint') GROUP BY id, n)
+    SELECT id, n, len(l) AS positions, round({_over("l", METRES)}, 3) AS length_m FROM s""",
+)
 def simplified(spark, sf_dir):
-    """Lines and rings of all figures within 60 metres; held against a recursive replay in tests."""
+    """Lines and rings of all figures within 60 metres; SQL splits them level by level."""
     f = figures(spark, sf_dir).where("g.type NOT IN ('Point', 'MultiPoint')").select("id", F.posexplode(F.flatten("g.parts")).alias("n", "line"))
     s = f.select("id", "n", shapes.simplify(pairs(F.col("line")), F.lit(60.0)).alias("s"))
     return s.select("id", "n", F.size("s").alias("positions"), F.round(rings.length(points(F.col("s"))), 3).alias("length_m"))
@@ -106,20 +134,47 @@ def voronoi_cells(spark, sf_dir):
     return clear.groupBy("stop_id").agg(F.count(F.lit(1)).alias("places"))
 
 
+ZOOMS = (0, 14)
+
+
 @query(
     "tp6_pyramid_levels",
-    FIGURE_SQL
-    + """, p AS (SELECT flatten(flatten(parts)) AS ps FROM f), z AS (SELECT unnest([8, 10, 12]) AS zoom), v AS (SELECT unnest(ps) AS p FROM p),
-    t AS (SELECT DISTINCT zoom, cast(floor((p.lon + 180)/360*pow(2, zoom)) AS BIGINT) AS x, cast(floor((1 - ln(tan(radians(p.lat)) + 1/cos(radians(p.lat)))/pi())/2*pow(2, zoom)) AS BIGINT) AS y FROM v CROSS JOIN z)
-    SELECT zoom, x, y, 1.5::DOUBLE*pow(2, greatest(14 - zoom, 0)) AS tolerance_m, (SELECT count(*) FROM f) AS features FROM t""",
+    WEIGHTS_SQL
+    + """, z AS (SELECT unnest(range(0, 15)) AS zoom), t AS (SELECT id, zoom, 2.0::DOUBLE*pow(2, 14 - zoom) AS tolerance_m, cast(floor((p.lon + 180)/360*pow(2, zoom)) AS BIGINT) AS x, cast(floor((1 - ln(tan(radians(p.lat)) + 1/cos(radians(p.lat)))/pi())/2*pow(2, zoom)) AS BIGINT) AS y FROM weighted CROSS JOIN z WHERE w > 2.0::DOUBLE*pow(2, 14 - zoom))
+    SELECT zoom, x, y, tolerance_m, count(*) AS vertices, (SELECT count(*) FROM f) AS features FROM t GROUP BY 1, 2, 3, 4""",
 )
 def pyramid_levels(spark, sf_dir):
-    """Tiles of three zooms that any vertex touches; a tile stands for all features, simplified to its zoom's tolerance, so rows are tiles and not copies."""
+    """Tiles of all zooms that figures cover when simplified for each zoom, and the positions left in them; a tile stands for all features, so rows are tiles and not copies."""
     f = figures(spark, sf_dir)
     n = f.agg(F.count(F.lit(1)).alias("features"))
-    v = f.select(F.explode(G.positions(F.col("g"))).alias("p"))
-    at = F.array(*[F.struct(F.lit(z).alias("zoom"), tiles.tile_x(F.col("p.lon"), z).alias("x"), tiles.tile_y(F.col("p.lat"), z).alias("y"), F.lit(1.5 * 2 ** max(14 - z, 0)).alias("tolerance_m")) for z in (8, 10, 12)])
-    return v.select(F.explode(at).alias("t")).select("t.*").distinct().crossJoin(F.broadcast(n))
+    return pyramid.levels(f, *ZOOMS).crossJoin(F.broadcast(n))  # one row
+
+
+@query(
+    "sf33_lod_tolerance",
+    WEIGHTS_SQL
+    + """, z AS (SELECT unnest(range(0, 17)) AS zoom) SELECT zoom, 2.0::DOUBLE*pow(2, greatest(14 - zoom, 0)) AS tolerance, count(CASE WHEN w > 2.0::DOUBLE*pow(2, greatest(14 - zoom, 0)) THEN 1 END) AS positions FROM weighted CROSS JOIN z GROUP BY 1""",
+)
+def lod(spark, sf_dir):
+    """Each zoom's tolerance, doubled below the largest zoom, and the positions of all figures that stay at it."""
+    v = pyramid.vertices(figures(spark, sf_dir), "id")
+    each = F.array(*[F.struct(F.lit(z).alias("zoom"), F.lit(pyramid.lod_tolerance(z, ZOOMS[1])).alias("tolerance")) for z in range(17)])
+    return v.select("weight", F.inline(each)).groupBy("zoom", "tolerance").agg(F.count_if(F.col("weight") > F.col("tolerance")).alias("positions"))
+
+
+@query(
+    "tp6_zoom_geometry",
+    WEIGHTS_SQL
+    + f""", z AS (SELECT unnest([6, 9, 11, 14]) AS zoom), s AS (SELECT zoom, id, lid, list(p ORDER BY k) AS l FROM weighted CROSS JOIN z WHERE w > 2.0::DOUBLE*pow(2, 14 - zoom) GROUP BY 1, 2, 3)
+    SELECT zoom, id, cast(sum(len(l)) AS BIGINT) AS positions, round(sum({_over("l", METRES)}), 2) AS length_m FROM s GROUP BY 1, 2""",
+)
+def zoom_geometry(spark, sf_dir):
+    """Every figure as four zooms show it, all from one pass over its positions."""
+    f = figures(spark, sf_dir).withColumn("w", pyramid.weights(F.col("g")))
+    shown = F.array(*[F.struct(F.lit(z).alias("zoom"), pyramid.simplified(F.col("g"), F.col("w"), pyramid.lod_tolerance(z, ZOOMS[1])).alias("g")) for z in (6, 9, 11, 14)])
+    s = f.select("id", F.inline(shown))
+    lines = F.flatten("g.parts")  # a point's length is 0
+    return s.select("zoom", "id", F.size(G.positions(F.col("g"))).cast("long").alias("positions"), F.round(F.aggregate(lines, F.lit(0.0), lambda t, x: t + rings.length(x)), 2).alias("length_m"))
 
 
 @query(
