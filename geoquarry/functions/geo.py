@@ -27,7 +27,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle metres by the atan2 form."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return F.lit(2 * EARTH_RADIUS) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
+    return F.lit(2 * EARTH_RADIUS) * F.atan2(F.sqrt(h), F.sqrt(F.greatest(F.lit(1.0) - h, F.lit(0.0))))  # antipodes may round above 1
 
 
 def distance(lon1: Column, lat1: Column, z1: Column, lon2: Column, lat2: Column, z2: Column) -> Column:

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoquarry.functions import geometries as G, rings
-from geoquarry.functions.geo import EARTH_RADIUS
-from geoquarry.plans.staging import Staging
 
 
 def cell(value: Column | str, size: float) -> Column:
@@ -67,65 +65,3 @@ def overlap_pairs(boxes: DataFrame, key: str, least: float, size: float) -> Data
     on &= (F.col("l.at.cx") == cell(w, size)) & (F.col("l.at.cy") == cell(s, size))
     smaller = F.least(area("l"), area("r"))
     return left.join(right, on).where((smaller > 0) & (both / smaller >= least)).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), (both / smaller).alias("ratio"))
-
-
-def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, distance: Column, size: float, reach: int) -> DataFrame:
-    """``key``, ``target``, metres: the nearest of ``targets`` within ``reach`` cells of each point, ties by the smallest id.
-
-    ``distance`` is written over columns lon, lat of the points and t_lon, t_lat
-    of the targets.  Points with no target in reach have no row: callers widen
-    the reach, or state one that covers the data.
-    """
-    around = F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda j: F.struct((cell("t_lon", size) + i).alias("cx"), (cell("t_lat", size) + j).alias("cy")))))
-    t = targets.withColumn("at", F.explode(around)).select("*", F.col("at.cx").alias("cx"), F.col("at.cy").alias("cy")).drop("at")
-    met = points.withColumns({"cx": cell("lon", size), "cy": cell("lat", size)}).join(t, ["cx", "cy"])
-    best = met.groupBy(key).agg(F.min(F.struct(distance.alias("metres"), F.col(target).alias("id"))).alias("best"))
-    return best.select(key, F.col("best.id").alias(target), F.col("best.metres").alias("metres"))
-
-
-def nearest_of_all(points: DataFrame, targets: DataFrame, key: str, target: str, distance: Column, size: float, reach: int, staging: Staging) -> DataFrame:
-    """``key``, ``target``, metres of every point: its nearest target however far, null if there are none.
-
-    A best distance holds if it is below what lies outside the cells in reach.
-    Points without one are tried again with cells four times as wide; cells
-    that would span a quarter of the sphere give way to all targets.
-    """
-    t = targets.where(F.col("t_lon").isNotNull() & F.col("t_lat").isNotNull())
-    rest, done = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, "lon", "lat"), None
-    while not t.isEmpty() and not rest.isEmpty():
-        last = size * reach >= 45
-        if last:
-            best = rest.crossJoin(t).groupBy(key).agg(F.min(F.struct(distance.alias("metres"), F.col(target).alias("id"))).alias("best")).select(key, F.col("best.id").alias(target), F.col("best.metres").alias("metres"))
-        else:
-            best = nearest(rest, t, key, target, distance, size, reach)
-        # nearest point of the meridian in so many degrees, or of the date line, over which cells don't reach
-        aside = F.radians(F.least(F.lit(size * reach), F.lit(180.0) - F.abs("lon")))
-        free = F.lit(EARTH_RADIUS * (1 - 1e-9)) * F.asin(F.greatest(F.cos(F.radians("lat")) * F.sin(aside), F.lit(0.0)))
-        tried = staging.cut(rest.join(best, key, "left").withColumn("held", F.lit(last) | F.coalesce(F.col("metres") < free, F.lit(False))), "nearest")
-        held = tried.where("held").select(key, target, "metres")
-        done = held if done is None else done.unionByName(held)
-        rest, size = tried.where(~F.col("held")).select(key, "lon", "lat"), size * 4
-    if done is None:
-        done = t.select(F.col(target), F.lit(0.0).alias("metres")).limit(0).crossJoin(points.select(key).limit(0))
-    return points.select(key).join(done, key, "left").select(key, target, "metres")
-
-
-def nearest_plane(points: DataFrame, targets: DataFrame, key: str, target: str, far: Column, size: float, reach: int, staging: Staging) -> DataFrame:
-    """``key``, ``target`` of every point: its nearest target by squared degrees ``far``, ties by the smallest id; no row without targets.
-
-    As ``nearest_of_all``, but in the plane: what lies outside the cells in reach is farther than their width.
-    """
-    t = targets.where(F.col("t_lon").isNotNull() & F.col("t_lat").isNotNull())
-    rest, done = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, "lon", "lat"), None
-    while not t.isEmpty() and not rest.isEmpty():
-        last = size * reach >= 90
-        if last:
-            best = rest.crossJoin(t).groupBy(key).agg(F.min(F.struct(far.alias("metres"), F.col(target).alias("id"))).alias("best")).select(key, F.col("best.id").alias(target), F.col("best.metres").alias("metres"))
-        else:
-            best = nearest(rest, t, key, target, far, size, reach)
-        held = F.lit(last) | F.coalesce(F.col("metres") < (size * reach) ** 2 * (1 - 1e-9), F.lit(False))
-        tried = staging.cut(rest.join(best, key, "left").withColumn("held", held), "nearest")
-        got = tried.where("held").select(key, target)
-        done = got if done is None else done.unionByName(got)
-        rest, size = tried.where(~F.col("held")).select(key, "lon", "lat"), size * 4
-    return done if done is not None else points.select(key).limit(0).crossJoin(t.select(target).limit(0))

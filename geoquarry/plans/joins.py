@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geo
-from geoquarry.operators import fusion, spatial, versions as versioning
+from geoquarry.operators import fusion, nearest, spatial, versions as versioning
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.staging import Staging
@@ -88,10 +88,10 @@ NEAR_SQL = (
 )
 
 
-def to_stops(spark, sf_dir, size=0.02, reach=3):
+def to_stops(spark, sf_dir):
     t = fixtures.stops(spark, sf_dir).select("stop_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    d = geo.haversine(*[F.col(c) for c in ("lon", "lat", "t_lon", "t_lat")])
-    return spatial.nearest_of_all(fixtures.poi(spark, sf_dir), t, "poi_id", "stop_id", d, size, reach, Staging(spark, "nearest"))
+    found = nearest.nearest(fixtures.poi(spark, sf_dir), t, "poi_id", "stop_id", nearest.SPHERE, Staging(spark, "nearest"))
+    return found.withColumnRenamed("far", "metres")
 
 
 @query("jn8_nearest_stop", NEAR_SQL + " SELECT poi_id, round(m, 3) AS metres FROM n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geo, rings, semantics as S
-from geoquarry.operators import spatial
+from geoquarry.operators import nearest, spatial
 from geoquarry.plans import fixtures
 from geoquarry.plans.analysis import HAVERSINE_SQL, LENGTH_SQL, MODEL_SQL, _values, road_lengths, urban_model, zero_filled
 from geoquarry.plans.catalog import query
@@ -405,8 +405,7 @@ def base_elevation(spark, sf_dir):
     own = F.when(F.col("building_id") % 9 == 0, (F.col("building_id") % 50).cast("double"))
     b = b.select("building_id", mean["lon"].alias("lon"), mean["lat"].alias("lat"), own.alias("own"))
     t = fixtures.terrain(spark, sf_dir).select("terrain_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"), F.coalesce("elevation", F.lit(0.0)).alias("elevation"))
-    far = F.pow(F.col("t_lon") - F.col("lon"), 2) + F.pow(F.col("t_lat") - F.col("lat"), 2)
-    near = spatial.nearest_plane(b.where("own IS NULL"), t, "building_id", "terrain_id", far, 0.004, 1, Staging(spark, "elevation"))
+    near = nearest.nearest(b.where("own IS NULL"), t, "building_id", "terrain_id", nearest.PLANE, Staging(spark, "elevation"))
     of = near.join(t.select("terrain_id", "elevation"), "terrain_id").select("building_id", "elevation")
     return b.select("building_id", "own").join(of, "building_id", "left").select("building_id", F.coalesce("own", "elevation", F.lit(0.0)).alias("elevation"))
 
