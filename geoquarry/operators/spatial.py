@@ -1,9 +1,15 @@
-"""Spatial joins as equi-joins on grid cells.
-
-Boxes are exploded to the cells they touch, points have one cell; rows meet on
-the cell and a residual condition decides.  A cell no smaller than a typical box
-keeps the explosion to about four rows; dense cells are hot keys that adaptive
-execution splits.
+"""Spatial joins as equi-joins on a grid of many levels.
+
+A box lies at the level whose cells are as large as it is, the next power of two
+of degrees, and touches at most four of them there, whatever its size.  Two boxes
+meet at the level of the larger one: it is stored in its own cells, and every
+smaller one asks the cells that it touches at each level above its own where
+boxes are stored.  So a box that spans the extent is a few rows, and a small one a
+few for each level in use, of which there are as many as magnitudes of sizes.
+
+A pair that shares several cells is tested in the cell of its common box's
+south-west corner alone, so no distinct is needed.  No side is broadcast; dense
+cells are hot keys that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,56 +18,96 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geoquarry.functions import geometries as G, rings
 
+#: Levels are log2 of degrees; smaller boxes and points lie at the least.
+LEAST, EDGES = -30, ("west", "south", "east", "north")
+
 
-def cell(value: Column | str, size: float) -> Column:
+def cell(value: Column | str, size: float | Column) -> Column:
     v = F.col(value) if isinstance(value, str) else value
-    return F.floor(v / F.lit(size))
+    return F.floor(v / (size if isinstance(size, Column) else F.lit(size)))
 
 
-def box_cells(west: str, south: str, east: str, north: str, size: float) -> Column:
-    """Array of (cx, cy) of the cells that a box touches."""
-    xs, ys = F.sequence(cell(west, size), cell(east, size)), F.sequence(cell(south, size), cell(north, size))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+def level(box: Column) -> Column:
+    """The level of a box: log2 of its longer side, rounded up."""
+    side = F.greatest(box["east"] - box["west"], box["north"] - box["south"], F.lit(2.0**LEAST))
+    return F.ceil(F.log2(side)).cast("int")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Rows of ``points`` with each box (west, south, east, north) that holds them; the east and north edges are outside."""
-    p = points.withColumns({"cx": cell(x, size), "cy": cell(y, size)})
-    b = boxes.withColumn("at", F.explode(box_cells("west", "south", "east", "north", size))).select("*", F.col("at.cx").alias("cx"), F.col("at.cy").alias("cy")).drop("at")
-    inside = (F.col(x) >= F.col("west")) & (F.col(x) < F.col("east")) & (F.col(y) >= F.col("south")) & (F.col(y) < F.col("north"))
-    return p.join(b, ["cx", "cy"]).where(inside).drop("cx", "cy")
+def _edge(z: Column) -> Column:
+    return F.pow(F.lit(2.0), z)
+
+
+def _cells(box: Column, z: Column) -> Column:
+    """Array of (z, x, y) of a level's cells that a box touches."""
+    xs, ys = F.sequence(cell(box["west"], _edge(z)), cell(box["east"], _edge(z))), F.sequence(cell(box["south"], _edge(z)), cell(box["north"], _edge(z)))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(z.alias("z"), x.alias("x"), y.alias("y")))))
+
+
+def _finite(df: DataFrame, box: str) -> DataFrame:
+    ok = F.lit(True)
+    for e in EDGES:
+        ok &= F.abs(F.col(f"{box}.{e}")) < float("inf")  # neither null nor NaN (which is above all)
+    return df.where(ok)
+
+
+def stored(boxes: DataFrame, box: str = "box") -> DataFrame:
+    """``boxes`` once for each cell ``at`` of its own level that it touches."""
+    return _finite(boxes, box).withColumn("at", F.explode(_cells(F.col(box), level(F.col(box)))))
 
 
-def in_territories(features: DataFrame, territories: DataFrame, size: float) -> DataFrame:
-    """Rows of ``features`` (geometry g) with each of ``territories`` (ring) that keeps them, and ``cut``, g as kept there.
+def levels_of(boxes: DataFrame, box: str = "box") -> list[int]:
+    """The levels at which boxes are stored, a few numbers."""
+    return sorted(r[0] for r in _finite(boxes, box).select(level(F.col(box)).alias("z")).distinct().collect())
+
+
+def asking(boxes: DataFrame, levels: list[int], box: str = "box", above: bool = False) -> DataFrame:
+    """``boxes`` once for each cell ``at`` that it touches at those of ``levels`` that are not below (``above``: that are above) its own."""
+    own = level(F.col(box))
+    known = F.array(*[F.lit(z) for z in levels]) if levels else F.array().cast("array<int>")
+    asked = F.filter(known, lambda z: z > own if above else z >= own)
+    return _finite(boxes, box).withColumn("at", F.explode(asked)).withColumn("at", F.explode(_cells(F.col(box), F.col("at"))))
+
+
+def _corner(a: Column, b: Column) -> Column:
+    """Whether the cell is that of the common box's south-west corner."""
+    size = _edge(F.col("at.z"))
+    return (F.col("at.x") == cell(F.greatest(a["west"], b["west"]), size)) & (F.col("at.y") == cell(F.greatest(a["south"], b["south"]), size))
+
+
+def meeting(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of ``left`` with each row of ``right`` whose box ``b`` meets its box ``a``, edges included; columns have distinct names."""
+    meet = G.boxes_meet(F.col(a), F.col(b)) & _corner(F.col(a), F.col(b))
+    up = asking(left, levels_of(right, b), a).join(stored(right, b), "at").where(meet)
+    down = stored(left, a).join(asking(right, levels_of(left, a), b, above=True), "at").where(meet)
+    return up.unionByName(down).drop("at")
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Rows of ``points`` with each box (west, south, east, north) that holds them; the east and north edges are outside."""
+    spot = F.struct(F.col(x).alias("west"), F.col(y).alias("south"), F.col(x).alias("east"), F.col(y).alias("north"))
+    b = boxes.withColumn("box", F.struct(*EDGES))
+    p = asking(points.withColumn("spot", spot), levels_of(b), "spot")
+    inside = (F.col(x) >= F.col("west")) & (F.col(x) < F.col("east")) & (F.col(y) >= F.col("south")) & (F.col(y) < F.col("north"))
+    return p.join(stored(b), "at").where(inside).drop("at", "spot", "box")
 
-    Boxes meet on grid cells; a pair that shares several is tested in the cell of
-    its boxes' common south-west corner alone.  No side is broadcast.
-    """
-    def boxed(df, box, name):
-        d = df.withColumn(name, box)
-        return d.withColumn("at", F.explode(box_cells(f"{name}.west", f"{name}.south", f"{name}.east", f"{name}.north", size)))
 
-    left, right = boxed(features.where(F.size(G.positions(F.col("g"))) > 0), G.bbox(F.col("g")), "gb"), boxed(territories, rings.bbox(F.col("ring")), "tb")
-    met = left.join(right, "at").where(G.boxes_meet(F.col("gb"), F.col("tb")))
-    met = met.where((F.col("at.cx") == cell(F.greatest("gb.west", "tb.west"), size)) & (F.col("at.cy") == cell(F.greatest("gb.south", "tb.south"), size)))
+def in_territories(features: DataFrame, territories: DataFrame) -> DataFrame:
+    """Rows of ``features`` (geometry g) with each of ``territories`` (ring) that keeps them, and ``cut``, g as kept there."""
+    left = features.where(F.size(G.positions(F.col("g"))) > 0).withColumn("gb", G.bbox(F.col("g")))
+    met = meeting(left, territories.withColumn("tb", rings.bbox(F.col("ring"))), "gb", "tb")
     cut = G.in_territory(F.col("g"), F.col("ring"))
-    return met.withColumn("cut", F.explode(F.array_compact(F.array(cut)))).drop("at", "gb", "tb")  # evaluated once, where a filter would repeat it
-
-
-def overlap_pairs(boxes: DataFrame, key: str, least: float, size: float) -> DataFrame:
-    """a, b (a < b by ``key``), ratio: pairs whose intersection is at least ``least`` of the smaller box.
-
-    A pair that shares several cells is counted in the cell of its intersection's
-    south-west corner alone, so no distinct is needed.
-    """
-    cells = boxes.withColumn("at", F.explode(box_cells("west", "south", "east", "north", size)))
-    left, right = cells.alias("l"), cells.alias("r")
-    w, s = F.greatest("l.west", "r.west"), F.greatest("l.south", "r.south")
-    e, n = F.least("l.east", "r.east"), F.least("l.north", "r.north")
-    area = lambda t: F.greatest(F.col(f"{t}.east") - F.col(f"{t}.west"), F.lit(0.0)) * F.greatest(F.col(f"{t}.north") - F.col(f"{t}.south"), F.lit(0.0))
-    both = (e - w) * (n - s)
-    on = (F.col("l.at") == F.col("r.at")) & (F.col(f"l.{key}") < F.col(f"r.{key}")) & (e > w) & (n > s)
-    on &= (F.col("l.at.cx") == cell(w, size)) & (F.col("l.at.cy") == cell(s, size))
-    smaller = F.least(area("l"), area("r"))
-    return left.join(right, on).where((smaller > 0) & (both / smaller >= least)).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), (both / smaller).alias("ratio"))
+    return met.withColumn("cut", F.explode(F.array_compact(F.array(cut)))).drop("gb", "tb")  # evaluated once, where a filter would repeat it
+
+
+def overlap_pairs(boxes: DataFrame, key: str, least: float) -> DataFrame:
+    """a, b (a < b by ``key``), ratio: pairs whose intersection is at least ``least`` of the smaller box."""
+    b = boxes.select(F.col(key).alias("key"), F.struct(*EDGES).alias("box"))
+    asks, holds = asking(b, levels_of(b)).toDF("k1", "b1", "at"), stored(b).toDF("k2", "b2", "at")
+    b1, b2 = F.col("b1"), F.col("b2")
+    once = (F.col("k1") < F.col("k2")) | ((F.col("k1") > F.col("k2")) & (level(b1) < level(b2)))  # of one level each asks the other
+    w, e = F.greatest(b1["west"], b2["west"]), F.least(b1["east"], b2["east"])
+    s, n = F.greatest(b1["south"], b2["south"]), F.least(b1["north"], b2["north"])
+    area = lambda t: F.greatest(t["east"] - t["west"], F.lit(0.0)) * F.greatest(t["north"] - t["south"], F.lit(0.0))
+    both, smaller = (e - w) * (n - s), F.least(area(b1), area(b2))
+    met = asks.join(holds, "at").where(once & _corner(b1, b2) & (e > w) & (n > s) & (smaller > 0) & (both / smaller >= least))
+    return met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), (both / smaller).alias("ratio"))

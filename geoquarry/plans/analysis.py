@@ -83,7 +83,7 @@ def buildings_by_territory(spark, sf_dir):
     b = with_area(fixtures.buildings(spark, sf_dir))
     t = with_area(fixtures.territories(spark, sf_dir)).withColumnRenamed("area", "territory")
     b = b.select(*[F.col(c) for c in ("building_id", "area", "levels", "height", "year", "usage")], F.col("west").alias("x"), F.col("south").alias("y"))
-    j = spatial.points_in_boxes(b, t, 0.04, "x", "y")
+    j = spatial.points_in_boxes(b, t, "x", "y")
     n, floor = F.count("building_id"), F.col("area") * F.coalesce("levels", F.lit(1.0))
     share = lambda c: F.round(100.0 * c / n, 6)
     got = j.groupBy("territory_id").agg(

@@ -171,9 +171,41 @@ def in_ells(spark, sf_dir):
     return f.withColumn("cut", G.in_territory(F.col("g"), F.col("ring")))
 
 
-@query("ge14_territory_clip")
+def _by_type(line: str) -> str:
+    """Whether a territory's ``ring`` keeps a figure (ps: positions, r: first ring or line, m: what its reference point is the mean of)."""
+    mean = lambda l: _crossings("ring", f"list_avg(list_transform({l}, lambda q: q.lon))", f"list_avg(list_transform({l}, lambda q: q.lat))")  # noqa: E731,E741
+    return f"""CASE type WHEN 'Point' THEN {_crossings("ring", "r[1].lon", "r[1].lat")} WHEN 'LineString' THEN {line}
+        WHEN 'Polygon' THEN len(list_filter(r, lambda q: {_crossings("ring", "q.lon", "q.lat")})) > 0 OR {mean("r")} ELSE {mean("m")} END"""
+
+
+def _runs(source: str, key: str) -> str:
+    """Longest run inside a ring of each line of ``source`` (key, r, ring): pieces between crossings, islands of those whose middle is inside."""
+    cross = "((e.a.lon - s.a.lon)*({w}.lat) - (e.a.lat - s.a.lat)*({w}.lon))"
+    u, v = "{'lon': s.b.lon - s.a.lon, 'lat': s.b.lat - s.a.lat}", "{'lon': e.b.lon - e.a.lon, 'lat': e.b.lat - e.a.lat}"
+    det = "((s.b.lon - s.a.lon)*(e.b.lat - e.a.lat) - (s.b.lat - s.a.lat)*(e.b.lon - e.a.lon))"
+    at = lambda t: f"{{'lon': a.lon + (b.lon - a.lon)*{t}, 'lat': a.lat + (b.lat - a.lat)*{t}}}"
+    return f"""seg AS (SELECT {key}, i, r[i] AS a, r[i + 1] AS b, ring FROM (SELECT *, unnest(range(1, len(r))) AS i FROM {source})),
+    edge AS (SELECT {key}, ring[j] AS a, ring[j + 1] AS b FROM (SELECT {key}, ring, unnest(range(1, len(ring))) AS j FROM {source})),
+    hits AS (SELECT {key}, i, {cross.format(w=v)}/nullif({det}, 0) AS t, {cross.format(w=u)}/nullif({det}, 0) AS o, {det} AS d FROM seg s JOIN edge e USING ({key})),
+    cuts AS (SELECT {key}, i, unnest([0.0::DOUBLE, 1.0]) AS t FROM seg UNION SELECT {key}, i, least(1.0::DOUBLE, greatest(0.0, t)) FROM hits WHERE abs(d) > 1e-12 AND t BETWEEN -1e-10 AND 1 + 1e-10 AND o BETWEEN -1e-10 AND 1 + 1e-10),
+    steps AS (SELECT * FROM (SELECT {key}, i, t AS f, lead(t) OVER (PARTITION BY {key}, i ORDER BY t) AS z FROM cuts) WHERE z - f > 1e-10),
+    pieces AS (SELECT {key}, i, f, {at("f")} AS p, {at("z")} AS q, {_crossings("ring", "(a.lon + (b.lon - a.lon)*(f + z)/2)", "(a.lat + (b.lat - a.lat)*(f + z)/2)")} AS inside FROM steps JOIN seg USING ({key}, i)),
+    islands AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i, f) - row_number() OVER (PARTITION BY {key}, inside ORDER BY i, f) AS island FROM pieces),
+    runs AS (SELECT {key}, count(*) + 1 AS positions, sum({METRES.replace("@a", "p").replace("@b", "q")}) AS metres, min(struct_pack(i := i, f := f)) AS start FROM islands WHERE inside GROUP BY {key}, island),
+    longest AS (SELECT {key}, arg_min(positions, struct_pack(n := -positions, s := start)) AS positions, arg_min(metres, struct_pack(n := -positions, s := start)) AS metres FROM runs GROUP BY {key})"""
+
+
+@query(
+    "ge14_territory_clip",
+    FIGURE_SQL
+    + f""", p AS (SELECT *, flatten(flatten(parts)) AS ps, parts[1][1] AS r, list_transform({_sql_line(ELL)}, lambda p: {{'lon': lon + size + p.lon*size, 'lat': lat + p.lat*size}}) AS ring FROM f),
+    lines AS (SELECT * FROM p WHERE type = 'LineString'), {_runs("lines", "id")},
+    k AS (SELECT p.*, longest.positions AS n, metres, CASE WHEN type = 'Polygon' THEN r ELSE ps END AS m, CASE WHEN type IN ('Point', 'MultiPoint') THEN [ps] ELSE flatten(parts) END AS paths FROM p LEFT JOIN longest USING (id)),
+    j AS (SELECT *, {_by_type("n IS NOT NULL")} AS kept FROM k)
+    SELECT id, type, kept, CASE WHEN kept THEN coalesce(n, len(ps)) END AS positions, CASE WHEN kept THEN round(coalesce(metres, list_sum(list_transform(paths, lambda l: {_over("l", METRES)}))), 3) END AS length_m FROM j""",
+)
 def territory_clip(spark, sf_dir):
-    """Every figure against an L-shaped territory beside it; lines keep their longest run inside.  Held against a replay in tests."""
+    """Every figure against an L-shaped territory beside it; lines keep their longest run inside."""
     m = in_ells(spark, sf_dir)
     return m.select("id", "g.type", F.col("cut").isNotNull().alias("kept"), F.size(G.positions(F.col("cut"))).alias("positions"), F.round(G.length(F.col("cut")), 3).alias("length_m"))
 
@@ -192,20 +224,19 @@ def ells(spark, sf_dir):
 @query(
     "jn7_features_in_territories",
     FIGURE_SQL
-    + f""", {TERRITORY_SQL}, p AS (SELECT *, flatten(flatten(parts)) AS ps, parts[1][1] AS r FROM f WHERE type NOT IN ('LineString')),
-    b AS (SELECT *, CASE WHEN type = 'Polygon' THEN r ELSE ps END AS m FROM p),
-    j AS (SELECT territory_id, b.id, type, CASE type WHEN 'Point' THEN {_crossings("ring", "r[1].lon", "r[1].lat")}
-        WHEN 'Polygon' THEN len(list_filter(r, lambda q: {_crossings("ring", "q.lon", "q.lat")})) > 0 OR {_crossings("ring", "list_avg(list_transform(r, lambda q: q.lon))", "list_avg(list_transform(r, lambda q: q.lat))")}
-        ELSE {_crossings("ring", "list_avg(list_transform(m, lambda q: q.lon))", "list_avg(list_transform(m, lambda q: q.lat))")} END AS kept FROM b CROSS JOIN t
+    + f""", {TERRITORY_SQL}, p AS (SELECT *, flatten(flatten(parts)) AS ps, parts[1][1] AS r FROM f),
+    b AS (SELECT id, territory_id, type, ps, r, ring, id*100 + territory_id AS pair, CASE WHEN type = 'Polygon' THEN r ELSE ps END AS m FROM p CROSS JOIN t
       WHERE list_min(list_transform(ps, lambda q: q.lon)) <= list_max(list_transform(ring, lambda q: q.lon)) AND list_max(list_transform(ps, lambda q: q.lon)) >= list_min(list_transform(ring, lambda q: q.lon))
-        AND list_min(list_transform(ps, lambda q: q.lat)) <= list_max(list_transform(ring, lambda q: q.lat)) AND list_max(list_transform(ps, lambda q: q.lat)) >= list_min(list_transform(ring, lambda q: q.lat)))
-    SELECT territory_id, type, count(*) AS n, sum(id) AS ids FROM j WHERE kept GROUP BY 1, 2""",
+        AND list_min(list_transform(ps, lambda q: q.lat)) <= list_max(list_transform(ring, lambda q: q.lat)) AND list_max(list_transform(ps, lambda q: q.lat)) >= list_min(list_transform(ring, lambda q: q.lat))),
+    lines AS (SELECT * FROM b WHERE type = 'LineString'), {_runs("lines", "pair")},
+    j AS (SELECT b.*, metres, {_by_type("longest.positions IS NOT NULL")} AS kept FROM b LEFT JOIN longest USING (pair))
+    SELECT territory_id, type, count(*) AS n, sum(id) AS ids, round(coalesce(sum(metres), 0), 2) AS line_m FROM j WHERE kept GROUP BY 1, 2""",
 )
 def features_in_territories(spark, sf_dir):
-    """Figures (lines are in ``ge14_territory_clip``) by the L-shaped territory that keeps them; boxes meet on cells before any ring is tested."""
-    f = figures(spark, sf_dir).where("g.type <> 'LineString'").select("id", "g")
-    met = spatial.in_territories(f, ells(spark, sf_dir), 0.04)
-    return met.groupBy("territory_id", F.col("g.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    """Figures of all types by the L-shaped territory that keeps them, and the metres of the lines' runs inside; boxes meet on the grid before any ring is tested."""
+    met = spatial.in_territories(figures(spark, sf_dir).select("id", "g"), ells(spark, sf_dir))
+    metres = F.when(F.col("g.type") == "LineString", G.length(F.col("cut"))).otherwise(0.0)
+    return met.groupBy("territory_id", F.col("g.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.round(F.sum(metres), 2).alias("line_m"))
 
 
 def _meet(a, b):

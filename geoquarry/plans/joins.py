@@ -11,7 +11,6 @@ from geoquarry.plans.catalog import query
 from geoquarry.plans.staging import Staging
 from geoquarry.sources.tables import table
 
-CELL = 0.002
 GEOMETRY = ("osm", "microsoft-buildings", "overture", "local-buildings", "city-geojson")
 FUNCTION = ("wikidata", "osm", "overture", "city-geojson", "local-buildings")
 #: Boxes of the oracle side meet on their building, or on equal rows of the grid where parts share footprints.
@@ -26,7 +25,7 @@ PAIRS_SQL = (
 
 
 def pairs(spark, sf_dir):
-    return spatial.overlap_pairs(fixtures.candidates(spark, sf_dir), "ordinal", 0.45, CELL)
+    return spatial.overlap_pairs(fixtures.candidates(spark, sf_dir), "ordinal", 0.45)
 
 
 @query("jn1_overlap_pairs", PAIRS_SQL + " SELECT a, b, round(ratio, 6) AS ratio FROM pairs")
@@ -38,7 +37,7 @@ def jn1(spark, sf_dir):
 def grouped(spark, sf_dir):
     staging = Staging(spark, "fusion")
     c = staging.cut(fixtures.candidates(spark, sf_dir), "candidates")
-    return c, fusion.greedy_groups(c, spatial.overlap_pairs(c, "ordinal", 0.45, CELL), staging)
+    return c, fusion.greedy_groups(c, spatial.overlap_pairs(c, "ordinal", 0.45), staging)
 
 
 @query("jn2_greedy_groups")
@@ -76,7 +75,7 @@ def statistics(spark, sf_dir):
     fixtures.with_("poi", "territories") + "SELECT territory_id, category, count(*) AS n FROM poi JOIN territories ON lon >= west AND lon < east AND lat >= south AND lat < north GROUP BY 1, 2",
 )
 def jn7(spark, sf_dir):
-    met = spatial.points_in_boxes(fixtures.poi(spark, sf_dir), fixtures.territories(spark, sf_dir), 0.04)
+    met = spatial.points_in_boxes(fixtures.poi(spark, sf_dir), fixtures.territories(spark, sf_dir))
     return met.groupBy("territory_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -125,7 +125,7 @@ def voronoi_cells(spark, sf_dir):
     s = fixtures.stops(spark, sf_dir).where("stop_id < 100").groupBy("lon", "lat").agg(F.min("stop_id").alias("stop_id"))
     cells = shapes.voronoi(s, "stop_id", CELL_BOX).withColumn("ring", points(F.col("ring")).cast(G.POSITIONS))
     p = fixtures.poi(spark, sf_dir).where("lon < 37.7D AND lat < 55.8D").select("poi_id", G.geometry("Point", F.array(F.array(F.array(G.point(F.col("lon"), F.col("lat")))))).alias("g"))
-    met = spatial.in_territories(p, cells, 0.02).select("poi_id", "stop_id", F.col("g.parts")[0][0][0].alias("p"))
+    met = spatial.in_territories(p, cells).select("poi_id", "stop_id", F.col("g.parts")[0][0][0].alias("p"))
     far = lambda x, y: F.pow(F.sin(F.radians(y["lat"] - x["lat"]) / 2), 2) + F.cos(F.radians(x["lat"])) * F.cos(F.radians(y["lat"])) * F.pow(F.sin(F.radians(y["lon"] - x["lon"]) / 2), 2)
     sites = s.select("stop_id", G.point(F.col("lon"), F.col("lat")).alias("s"))
     others = s.select(F.col("stop_id").alias("other"), G.point(F.col("lon"), F.col("lat")).alias("o"))

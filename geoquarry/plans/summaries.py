@@ -35,7 +35,7 @@ def first_source(spark, sf_dir):
 def selection(spark, sf_dir):
     """Buildings whose first vertex lies in each territory, and their mean first vertex."""
     b = fixtures.buildings(spark, sf_dir).select(F.col("west").alias("lon"), F.col("south").alias("lat"))
-    met = spatial.points_in_boxes(b, fixtures.territories(spark, sf_dir), 0.04)
+    met = spatial.points_in_boxes(b, fixtures.territories(spark, sf_dir))
     return met.groupBy("territory_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lon"), 9).alias("lon"), F.round(F.avg("lat"), 9).alias("lat"))
 
 

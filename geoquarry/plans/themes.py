@@ -426,6 +426,6 @@ def selection_measures(spark, sf_dir):
     metres = rings.length(ring) * (r / geo.EARTH_RADIUS)
     centre = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lon"]) / F.greatest(F.size(ring) - 1, F.lit(1))
     out = t.select("territory_id", F.round(F.abs(excess * r * r / 2) / 1e6, 6).alias("area_km2"), F.round(metres / 1000, 6).alias("perimeter_km"), F.round(centre, 7).alias("centre_lon"))
-    inside = lambda df, name, x="lon", y="lat": spatial.points_in_boxes(df, t, 0.04, x, y).where((F.col(x) > F.col("west")) & (F.col(y) > F.col("south"))).groupBy("territory_id").agg(F.count(F.lit(1)).alias(name))
+    inside = lambda df, name, x="lon", y="lat": spatial.points_in_boxes(df, t, x, y).where((F.col(x) > F.col("west")) & (F.col(y) > F.col("south"))).groupBy("territory_id").agg(F.count(F.lit(1)).alias(name))
     out = out.join(inside(fixtures.poi(spark, sf_dir), "poi"), "territory_id", "left").join(inside(fixtures.roads(spark, sf_dir), "roads", "lon1", "lat1"), "territory_id", "left")
     return out.fillna(0, ["poi", "roads"])
