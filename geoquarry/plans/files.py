@@ -390,7 +390,22 @@ def shapefile(spark, sf_dir):
 def budget_chunks(spark, sf_dir):
     """Features of each layer and cell in chunks of at most 8 features and 4096 bytes."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("layer"), (F.col("o_custkey") % 50).alias("cell"), F.col("o_orderkey").alias("id"), (200 + F.col("o_orderkey") % 900).alias("size"))
-    return chunks.by_budget(o, ("layer", "cell"), "id", "size", 8, 4096)
+    return chunks.by_budget(o, ("layer", "cell"), "id", "size", 8, 4096, Staging(spark, "chunks"))
+
+
+@query(
+    "wn4_one_large_group",
+    """WITH RECURSIVE n AS (SELECT o_orderkey AS id, 200 + o_orderkey % 900 AS size, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders),
+    r AS (SELECT rn, id, 0::BIGINT AS chunk, 1 AS held, size AS bytes FROM n WHERE rn = 1
+      UNION ALL SELECT n.rn, n.id, CASE WHEN held >= 100 OR bytes + size > 60000 THEN chunk + 1 ELSE chunk END, CASE WHEN held >= 100 OR bytes + size > 60000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 100 OR bytes + size > 60000 THEN size ELSE bytes + size END
+      FROM r JOIN n ON n.rn = r.rn + 1)
+    SELECT chunk, count(*) AS features, min(id) AS first_id, max(bytes) AS bytes FROM r GROUP BY 1""",
+)
+def one_large_group(spark, sf_dir):
+    """All features as one group, cut in blocks of a thousand that know which chunk is open before them."""
+    o = table(spark, sf_dir, "orders").select(F.lit("all").alias("layer"), F.col("o_orderkey").alias("id"), (200 + F.col("o_orderkey") % 900).alias("size"))
+    c = chunks.by_budget(o, ("layer",), "id", "size", 100, 60000, Staging(spark, "chunks"), block=1000)
+    return c.withColumn("size", 200 + F.col("id") % 900).groupBy("chunk").agg(F.count(F.lit(1)).alias("features"), F.min("id").alias("first_id"), F.sum("size").alias("bytes"))
 
 
 @query(
