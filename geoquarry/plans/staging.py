@@ -8,6 +8,7 @@ the copy small and lets later steps read single columns of it.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,6 +55,11 @@ class Staging:
         back._staged_at = to
         return back
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete tables that ``cut`` returned and nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
