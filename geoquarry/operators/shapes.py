@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 EARTH_RADIUS = 6371000.0
 POINTS = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -100,38 +100,57 @@ def _off_line(pts: np.ndarray) -> np.ndarray:
     return np.hypot(*(p - t[:, None] * e).T)
 
 
+#: Parts into which each side of a box is cut, as parallels are no great circles.
+SIDE = 32
+
+
+def _unit(p: np.ndarray) -> np.ndarray:
+    """Unit vectors of positions."""
+    lon, lat = np.radians(p[..., 0]), np.radians(p[..., 1])
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1)
+
+
+def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unit vector of ``a`` less that of ``b``, exact for near places too: differences of angles before their sines."""
+    (x, y), (u, v) = np.radians(a), np.radians(b)
+    cos_less = lambda p, q: -2 * np.sin((p + q) / 2) * np.sin((p - q) / 2)
+    sin_less = lambda p, q: 2 * np.cos((p + q) / 2) * np.sin((p - q) / 2)
+    return np.array([(cos_less(y + x, v + u) + cos_less(y - x, v - u)) / 2, (sin_less(y + x, v + u) - sin_less(y - x, v - u)) / 2, sin_less(y, v)])
+
+
 def voronoi_cell(site: np.ndarray, others: np.ndarray, box: np.ndarray) -> np.ndarray | None:
     """Ring of the part of a box (its ring) that lies nearer to ``site`` than to each of ``others`` on the sphere; null if there is none.
 
-    Others are taken nearest first, and the search ends with those more than twice
-    as far as the farthest corner: none of them can cut.
+    What is nearer is a half space of unit vectors, so cuts are exact.  Others are
+    taken nearest first, and the search ends with those more than twice as far as
+    the farthest corner: none of them can cut.
     """
-    ring = box[:-1]
-    far = metres(site, others)
+    t = np.linspace(0, 1, SIDE, endpoint=False)[:, None]
+    ring = _unit(np.concatenate([a + (b - a) * t for a, b in zip(box[:-1], box[1:], strict=True)]))
+    far, here = metres(site, others), _unit(site)
     for k in np.argsort(far, kind="stable"):
-        if len(ring) < 3:
-            return None
-        if far[k] > 2.01 * metres(site, ring).max():
+        reach = 2 * EARTH_RADIUS * np.arcsin(min(np.linalg.norm(ring - here, axis=1).max() / 2, 1.0))
+        if far[k] > 2.01 * reach:
             break
-        other = others[k]
-        nearer = metres(ring, site) <= metres(ring, other)
-        if nearer.all():
+        side = ring @ _chord(site, others[k])
+        if (side >= 0).all():
             continue
-        out = []
-        for i in range(len(ring)):
-            a, b = ring[i - 1], ring[i]
-            if nearer[i] != nearer[i - 1]:
-                for _ in range(32):
-                    middle = (a + b) / 2
-                    if bool(metres(middle, site) <= metres(middle, other)) == bool(nearer[i - 1]):
-                        a = middle
-                    else:
-                        b = middle
-                out.append((a + b) / 2)
-            if nearer[i]:
-                out.append(ring[i])
-        ring = np.array(out).reshape(-1, 2)
-    return np.concatenate([ring, ring[:1]]) if len(ring) > 2 else None
+        before, was = np.roll(ring, 1, axis=0), np.roll(side, 1)
+        turns, kept = (side >= 0) != (was >= 0), side >= 0
+        at = np.divide(was, was - side, out=np.zeros(len(side)), where=turns)[:, None]
+        met = before + at * (ring - before)
+        both = np.stack([met / np.linalg.norm(met, axis=1, keepdims=True), ring], axis=1)
+        ring = both.reshape(-1, 3)[np.stack([turns, kept], axis=1).reshape(-1)]
+        if len(ring) < 3:
+            return None
+    low, high = box.min(axis=0), box.max(axis=0)
+    lon, lat = np.degrees(np.arctan2(ring[:, 1], ring[:, 0])), np.degrees(np.arcsin(np.clip(ring[:, 2], -1, 1)))
+    lon += 360 * np.round(((low[0] + high[0]) / 2 - lon) / 360)
+    out = np.clip(np.stack([lon, lat], axis=1), low, high)
+    out = np.where(np.abs(out - low) < 1e-9, low, np.where(np.abs(out - high) < 1e-9, high, out))
+    edge = lambda p, q: ((p == q) & ((p == low) | (p == high))).any(axis=1)  # noqa: E731  both on one side of the box
+    out = out[~((edge(np.roll(out, 1, axis=0), out)) & edge(out, np.roll(out, -1, axis=0)) & ~((out == low) | (out == high)).all(axis=1))]
+    return np.concatenate([out, out[:1]]) if len(out) > 2 else None
 
 
 def hull(pts: np.ndarray) -> np.ndarray | None:
@@ -152,39 +171,6 @@ def hull(pts: np.ndarray) -> np.ndarray | None:
     return np.array([*ring, ring[0]]) if len(ring) > 2 else None
 
 
-def clipped(pts: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray | None:
-    """A ring cut to a box by Sutherland and Hodgman's rule; null where nothing is left."""
-    ring = [tuple(p) for p in (pts[:-1] if len(pts) > 1 and (pts[0] == pts[-1]).all() else pts)]
-    for axis, limit, sign in ((0, west, 1), (0, east, -1), (1, south, 1), (1, north, -1)):
-        inside = lambda p, axis=axis, limit=limit, sign=sign: sign * (p[axis] - limit) >= 0
-        out = []
-        for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
-            if inside(p):
-                out.append(p)
-            if inside(p) != inside(q):
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                cut = [p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])]
-                cut[axis] = limit
-                out.append(tuple(cut))
-        ring = out
-    return np.array([*ring, ring[0]]) if len(ring) > 2 else None
-
-
-def crosses_itself(pts: np.ndarray) -> bool:
-    """Whether two edges of a ring that share no end properly cross."""
-    a, b = pts[:-1], pts[1:]
-    n = len(a)
-    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    for i in range(n - 2):
-        c, d = a[i + 2 :], b[i + 2 :]
-        hit = (side(a[i], b[i], c) * side(a[i], b[i], d) < 0) & (side(c, d, a[i]) * side(c, d, b[i]) < 0)
-        if i == 0 and len(hit) and (pts[0] == pts[-1]).all():
-            hit[-1] = False  # first and last edge share the closing point
-        if hit.any():
-            return True
-    return False
-
-
 @F.pandas_udf(POINTS)
 def simplify(points: pd.Series, tolerance: pd.Series) -> pd.Series:
     """Line or ring within ``tolerance`` metres."""
@@ -199,46 +185,3 @@ def clean_ring(points: pd.Series, tolerance: pd.Series) -> pd.Series:
 @F.pandas_udf(POINTS)
 def convex_hull(points: pd.Series) -> pd.Series:
     return _each(zip(points), hull)
-
-
-@F.pandas_udf(POINTS)
-def clip_ring(points: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
-    return _each(zip(points, west, south, east, north, strict=True), clipped)
-
-
-@F.pandas_udf(T.BooleanType())
-def self_intersects(points: pd.Series) -> pd.Series:
-    return pd.Series([None if g is None else crosses_itself(np.array([np.asarray(p, float)[:2] for p in g]).reshape(-1, 2)) for g in points], dtype=object)
-
-
-#: Sites of a diagram, which every task holds, at most.
-SITES = 100_000
-
-
-def voronoi(sites: DataFrame, key: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """``key``, ring: cell of each of ``sites`` (lon, lat) within a box; sites without a cell have no row.
-
-    All sites are broadcast, so their number is checked: a diagram is meant for a
-    local extent.  Sites that share a place share a cell.
-    """
-    n = sites.count()
-    if n > SITES:
-        raise ValueError(f"{n} sites; a diagram takes {SITES}")
-    west, south, east, north = box
-    frame = np.array([(west, south), (east, south), (east, north), (west, north), (west, south)])
-    held = sites.select("lon", "lat").distinct().toPandas().to_numpy(float).reshape(-1, 2)
-    shared = sites.sparkSession.sparkContext.broadcast(held)
-    kind = sites.schema[key].dataType.simpleString()
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for k, lon, lat in zip(pdf[key], pdf["lon"], pdf["lat"], strict=True):
-                site = np.array([lon, lat])
-                others = shared.value[(shared.value != site).any(1)]
-                ring = voronoi_cell(site, others, frame)
-                if ring is not None:
-                    rows.append((k, ring.tolist()))
-            yield pd.DataFrame(rows, columns=[key, "ring"])
-
-    return sites.select(key, "lon", "lat").mapInPandas(run, f"{key} {kind}, ring array<array<double>>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G, rings, tiles
-from geoquarry.operators import pyramid, shapes, spatial
+from geoquarry.operators import pyramid, shapes, spatial, voronoi
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.figures import FIGURE_SQL, METRES, _over, figures
@@ -109,28 +109,29 @@ def drawn_rings(spark, sf_dir):
     return d.select("id", F.size("d").alias("positions"), F.round(rings.planar_area(points(F.col("d"))) / (F.col("size") * F.col("size")), 6).alias("planar"))
 
 
-CELL_BOX = (37.49, 55.59, 37.7, 55.8)
+CELL_BOX = (37.4, 55.5, 37.8, 55.9)
+#: Places are tried at four spots around them, so that those on an edge between two cells are left out on both sides.
+SPOTS = ((1.3e-5, 0.7e-5), (-0.9e-5, 1.1e-5), (0.8e-5, -1.2e-5), (-1.1e-5, -0.6e-5))
 
 
 @query(
     "ge19_cells_hold_their_places",
     fixtures.with_("poi", "stops")
-    + """, s AS (SELECT stop_id, lon, lat FROM stops WHERE stop_id < 100), u AS (SELECT min(stop_id) AS stop_id, lon, lat FROM s GROUP BY lon, lat),
-    h AS (SELECT poi_id, stop_id, sin(radians(u.lat-p.lat)/2)*sin(radians(u.lat-p.lat)/2)+cos(radians(p.lat))*cos(radians(u.lat))*sin(radians(u.lon-p.lon)/2)*sin(radians(u.lon-p.lon)/2) AS h FROM poi p CROSS JOIN u WHERE p.lon < 37.7 AND p.lat < 55.8),
-    n AS (SELECT poi_id, arg_min(stop_id, h) AS stop_id, min(h) AS a FROM h GROUP BY 1), t AS (SELECT n.poi_id, n.stop_id FROM n JOIN h ON h.poi_id = n.poi_id AND h.stop_id <> n.stop_id GROUP BY 1, 2 HAVING sqrt(min(h.h)) - sqrt(any_value(n.a)) > 1e-7)
+    + f""", u AS (SELECT min(stop_id) AS stop_id, lon, lat FROM stops GROUP BY lon, lat),
+    p AS (SELECT poi_id, n, lon + {list(x for x, _ in SPOTS)}[n]::DOUBLE AS lon, lat + {list(y for _, y in SPOTS)}[n]::DOUBLE AS lat FROM poi, range(1, 5) r(n)),
+    h AS (SELECT poi_id, n, stop_id, sin(radians(u.lat-p.lat)/2)*sin(radians(u.lat-p.lat)/2)+cos(radians(p.lat))*cos(radians(u.lat))*sin(radians(u.lon-p.lon)/2)*sin(radians(u.lon-p.lon)/2) AS h FROM p CROSS JOIN u),
+    n AS (SELECT poi_id, n, arg_min(stop_id, h) AS stop_id FROM h GROUP BY 1, 2), t AS (SELECT poi_id, min(stop_id) AS stop_id FROM n GROUP BY 1 HAVING min(stop_id) = max(stop_id))
     SELECT stop_id, count(*) AS places FROM t GROUP BY 1""",
 )
 def voronoi_cells(spark, sf_dir):
-    """Cells of a hundred stops, and how many places each holds (those near an edge left out): by cell here, by distance in SQL."""
-    s = fixtures.stops(spark, sf_dir).where("stop_id < 100").groupBy("lon", "lat").agg(F.min("stop_id").alias("stop_id"))
-    cells = shapes.voronoi(s, "stop_id", CELL_BOX).withColumn("ring", points(F.col("ring")).cast(G.POSITIONS))
-    p = fixtures.poi(spark, sf_dir).where("lon < 37.7D AND lat < 55.8D").select("poi_id", G.geometry("Point", F.array(F.array(F.array(G.point(F.col("lon"), F.col("lat")))))).alias("g"))
-    met = spatial.in_territories(p, cells).select("poi_id", "stop_id", F.col("g.parts")[0][0][0].alias("p"))
-    far = lambda x, y: F.pow(F.sin(F.radians(y["lat"] - x["lat"]) / 2), 2) + F.cos(F.radians(x["lat"])) * F.cos(F.radians(y["lat"])) * F.pow(F.sin(F.radians(y["lon"] - x["lon"]) / 2), 2)
-    sites = s.select("stop_id", G.point(F.col("lon"), F.col("lat")).alias("s"))
-    others = s.select(F.col("stop_id").alias("other"), G.point(F.col("lon"), F.col("lat")).alias("o"))
-    clear = met.join(F.broadcast(sites), "stop_id").join(F.broadcast(others), F.col("other") != F.col("stop_id"))  # at most a hundred stops
-    clear = clear.groupBy("poi_id", "stop_id").agg((F.sqrt(F.min(far(F.col("p"), F.col("o")))) - F.sqrt(F.min(far(F.col("p"), F.col("s"))))).alias("room")).where("room > 1e-7D")
+    """Cells of all stops, and how many places each holds (those on an edge left out): by cell here, by distance in SQL."""
+    s = fixtures.stops(spark, sf_dir).groupBy("lon", "lat").agg(F.min("stop_id").alias("stop_id"))
+    cells = voronoi.voronoi(s, "stop_id", CELL_BOX).withColumn("ring", points(F.col("ring")).cast(G.POSITIONS))
+    spots = F.array(*[G.point(F.col("lon") + x, F.col("lat") + y) for x, y in SPOTS])
+    p = fixtures.poi(spark, sf_dir).select("poi_id", F.explode(spots).alias("p"))
+    g = G.geometry("Point", F.array(F.array(F.array(F.col("p")))))
+    met = spatial.in_territories(p.select("poi_id", g.alias("g")), cells)
+    clear = met.groupBy("poi_id").agg(F.count(F.lit(1)).alias("n"), F.min("stop_id").alias("stop_id"), F.max("stop_id").alias("last")).where("n = 4 AND stop_id = last")
     return clear.groupBy("stop_id").agg(F.count(F.lit(1)).alias("places"))
 
 

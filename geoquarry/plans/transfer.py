@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoquarry.functions import rings
+from geoquarry.functions import geometries as G, rings
 from geoquarry.operators import shapes
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
@@ -75,11 +75,12 @@ def as_points(c):
     FROM buildings WHERE east > 37.5503 AND west < 37.6 AND north > 55.6103 AND south < 55.7""",
 )
 def clip(spark, sf_dir):
-    """Box test on columns first; only rings that meet the box reach Python."""
+    """Box test on columns first; only rings that meet the box are cut."""
     b = fixtures.buildings(spark, sf_dir).where("east > 37.5503 AND west < 37.6 AND north > 55.6103 AND south < 55.7")
-    cut = shapes.clip_ring(pairs(), F.lit(37.5503), F.lit(55.6103), F.lit(37.6), F.lit(55.7))
-    cut_rings = b.select("building_id", cut.alias("cut"))
-    return cut_rings.select("building_id", F.round(rings.planar_area(as_points(F.col("cut"))), 12).alias("planar"))
+    edge = [F.lit(x) for x in (37.5503, 55.6103, 37.6, 55.7)]
+    frame = F.array(*[G.point(edge[i], edge[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))])
+    cut = G.clipped_to_ring(as_points(pairs()).cast(G.POSITIONS), frame)
+    return b.select("building_id", F.round(rings.planar_area(cut), 12).alias("planar"))
 
 
 @query(
@@ -97,7 +98,7 @@ def shape_measures(spark, sf_dir):
         "building_id",
         F.size(shapes.simplify(dense, F.lit(0.5))).alias("simple"),
         F.size(shapes.convex_hull(dense)).alias("hull"),
-        shapes.self_intersects(bow).alias("crosses"),
+        G.crosses_itself(as_points(bow)).alias("crosses"),
     )
 
 

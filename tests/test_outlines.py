@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from geoquarry.operators import shapes
+from geoquarry.operators import shapes, voronoi
 from geoquarry.plans import figures as X
 from geoquarry.plans.registry import QUERIES
 
@@ -169,7 +170,7 @@ def test_cells_share_the_box(spark):
     box = (10.0, 50.0, 10.4, 50.3)
     sites = [(i, 10 + rnd.random() * 0.4, 50 + rnd.random() * 0.3) for i in range(30)]
     df = spark.createDataFrame([*sites, (99, sites[0][1], sites[0][2])], "id int, lon double, lat double")
-    cells = {r.id: [tuple(p) for p in r.ring] for r in shapes.voronoi(df, "id", box).collect()}
+    cells = {r.id: [tuple(p) for p in r.ring] for r in voronoi.voronoi(df, "id", box).collect()}
     assert cells[99] == cells[0] and len(cells) == 31
     area = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))) / 2
     assert abs(sum(area(c) for k, c in cells.items() if k != 99) - 0.4 * 0.3) < 1e-4
@@ -178,3 +179,23 @@ def test_cells_share_the_box(spark):
         far = sorted((metres(p, s[1:]), s[0]) for s in sites)
         if far[1][0] - far[0][0] > 50:
             assert covers(cells[far[0][1]], p)
+
+
+def test_cells_of_uneven_sites_are_closed_by_all_sites(spark, monkeypatch):
+    """Dense pockets beside far single sites: every cell is what all other sites leave of the box."""
+    monkeypatch.setattr(voronoi, "NEAR", 60)  # most cells need more than their own blocks
+    rnd, box = random.Random(12), (20.0, 40.0, 20.4, 40.3)
+    sites = [(i, 20.1 + rnd.gauss(0, 0.004), 40.1 + rnd.gauss(0, 0.004)) for i in range(90)] + [(200 + i, rnd.uniform(19.9, 20.5), rnd.uniform(39.9, 40.4)) for i in range(30)]
+    df = spark.createDataFrame([*sites, (500, None, 41.0)], "id long, lon double, lat double").repartition(3)
+    got = {r.id: np.array(r.ring) for r in voronoi.voronoi(df, "id", box).collect()}
+    frame = np.array([(20.0, 40.0), (20.4, 40.0), (20.4, 40.3), (20.0, 40.3), (20.0, 40.0)])
+    area = lambda r: abs((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) / 2
+    for k, *at in sites:
+        want = shapes.voronoi_cell(np.array(at), np.array([s[1:] for s in sites if s[0] != k]), frame)
+        assert (k in got) == (want is not None)
+        if want is not None:
+            assert abs(area(got[k] - frame[0]) - area(want - frame[0])) <= 1e-9 + 1e-5 * area(want - frame[0])
+            corners = np.array([[shapes.metres(c, np.array(s[1:])) for s in sites] for c in got[k]])
+            own = corners[:, [s[0] for s in sites].index(k)]
+            assert (own <= corners.min(axis=1) * (1 + 1e-5) + 0.01).all()  # no site is nearer to a corner
+    assert voronoi.voronoi(df.limit(0), "id", box).count() == 0
