@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from geoquarry.operators import fusion, sessions, snapshots
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
-from geoquarry.plans.joins import GEOMETRY, QUALITY_SQL, grouped
+from geoquarry.plans.joins import FUNCTION, GEOMETRY, QUALITY_SQL, fused, grouped
 from geoquarry.plans.policy import CANDIDATES_SQL, SCORE_SQL, candidates as policy_candidates, scored
 from geoquarry.plans.staging import Staging
 from geoquarry.plans.summaries import uri_part
+from geoquarry.plans.territory import AREA_SQL
 from geoquarry.sources.tables import table
 
 #: Groups replayed candidate by candidate: each keeps the founders of its place in a list; places never overlap each other.
@@ -70,11 +71,42 @@ def conflicts(spark, sf_dir):
     return best.where("n > 1").drop("founder")
 
 
-@query("ag21_fusion_counts", GROUPS_SQL + " SELECT count(*) AS input, count(DISTINCT founder) AS fused, greatest(count(*) - count(DISTINCT founder), 0) AS collapsed, 5*count(DISTINCT founder) AS derived FROM g")
+def _picked(column: str, sources: tuple[str, ...], where: str) -> str:
+    """The value of the source that comes first in ``sources``, then of the smallest ordinal."""
+    rank = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(sources))
+    return f"arg_min({column}, (CASE c.source {rank} ELSE {len(sources)} END)*100000000 + c.ordinal) FILTER ({where} IS NOT NULL)"
+
+
+FUSED_SQL = (
+    GROUPS_SQL
+    + f""", m AS (SELECT founder, count(*) AS members, {_picked("struct_pack(source := source, west := west, south := south, east := east, north := north)", GEOMETRY, "c.west")} AS b,
+      {_picked("height", GEOMETRY, "height")} AS height, {_picked("levels", FUNCTION, "levels")} AS levels, {_picked("usage", FUNCTION, "usage")} AS usage FROM g JOIN candidates c USING (ordinal) GROUP BY founder),
+    fused AS (SELECT founder, members, source, height, levels, usage, {AREA_SQL} AS area, round(levels*3.2::DOUBLE, 2) AS from_levels FROM (SELECT *, b.source AS source, b.west AS west, b.south AS south, b.east AS east, b.north AS north FROM m))"""
+)
+
+
+@query(
+    "tk3_fused_attributes",
+    FUSED_SQL + " SELECT founder, members, source, height, levels, usage, round(area, 2) AS area, round(area*coalesce(height, from_levels), 2) AS volume FROM fused",
+)
+def fused_attributes(spark, sf_dir):
+    """TK3 with the replayed groups: one building a group, each attribute from the source that ranks first for it."""
+    return fused(spark, sf_dir)
+
+
+@query(
+    "ag21_fusion_counts",
+    FUSED_SQL
+    + """ SELECT sum(members) AS input, count(*) AS fused, greatest(sum(members) - count(*), 0) AS collapsed,
+      count(from_levels) + count(area*coalesce(height, from_levels)) + count(CASE WHEN coalesce(height, from_levels) = from_levels THEN 1 END) AS derived FROM fused""",
+)
 def fusion_counts(spark, sf_dir):
-    """Input, fused and collapsed buildings, and the attributes derived for the fused ones (five each)."""
-    g = grouped(spark, sf_dir)[1].agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("ordinal") == F.col("founder")).alias("fused"))
-    return g.select("input", "fused", F.greatest(F.col("input") - F.col("fused"), F.lit(0)).alias("collapsed"), (F.col("fused") * 5).alias("derived"))
+    """Input, fused and collapsed buildings, and their derived attributes: a height from levels, a volume, and a height that is the one from levels, each where known."""
+    f = fused(spark, sf_dir).withColumn("from_levels", F.round(F.col("levels") * 3.2, 2))
+    tall = F.coalesce("height", "from_levels")
+    derived = F.count("from_levels") + F.count("volume") + F.count_if(tall == F.col("from_levels"))
+    g = f.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("input"), F.count(F.lit(1)).alias("fused"), derived.alias("derived"))
+    return g.select("input", "fused", F.greatest(F.col("input") - F.col("fused"), F.lit(0)).alias("collapsed"), "derived")
 
 
 SESSION_SQL = """WITH RECURSIVE n AS (SELECT event_id, user_id AS session, concat_ws(':', event_type, user_id, event_id % 7) AS a, concat_ws(':', user_id, cast(round(value) AS BIGINT) % 9) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
