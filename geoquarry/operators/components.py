@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and rows dealt by their size."""
 
 from __future__ import annotations
 
@@ -36,3 +36,13 @@ def components(edges: DataFrame, staging: Staging) -> DataFrame:
         if not changed:
             staging.drop(both)
             return labels
+
+
+#: Rows up to which a component is replayed by one task.
+BOUND = 100_000
+
+
+def by_size(rows: DataFrame, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with ``component``) of the components of at most ``bound`` rows, and those of the larger ones."""
+    large = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("component")
+    return rows.join(large, "component", "left_anti"), rows.join(large, "component", "left_semi")

@@ -3,28 +3,43 @@
 A candidate joins the first group (in order of candidates) whose first member it
 overlaps; else it founds one.  Founders are thus the lexicographically first
 maximal independent set of the overlap graph: a candidate founds a group exactly
-when none of its earlier neighbours is a founder.  That is decided in rounds,
-all candidates at once: whoever has no undecided neighbour before it founds;
-whoever has a new founder before it does not.  Decided candidates and their pairs
-leave, so a round works on what is left, and there are as many rounds as the
-longest chain in which each candidate waits for the one before.  Rounds are joins
-of narrow rows, so a group of any size is never gathered into one task.
+when none of its earlier neighbours is a founder.
+
+Components of the graph don't touch each other.  One of a bounded number of pairs is
+walked in order by one task, however long its chains; they are as many groups
+as there are components, and spread.  Larger ones are decided in rounds, all
+candidates at once: whoever has no undecided neighbour before it founds; whoever
+has a new founder before it does not.  Decided candidates and their pairs leave,
+so a round works on what is left, and there are as many rounds as the longest
+chain in which each candidate waits for the one before.  Rounds are joins of
+narrow rows, so a large component is never gathered.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from geoquarry.operators.components import BOUND, by_size, components
 from geoquarry.plans.staging import Staging
 
 
-def greedy_groups(candidates: DataFrame, pairs: DataFrame, staging: Staging, key: str = "ordinal") -> DataFrame:
-    """``key``, founder: for each candidate the founder of its group (itself, or its earliest overlapping founder).
+def _walk(table: pa.Table) -> pa.Table:
+    """id, founder of the nodes of one component's pairs (a < b): in order, the earliest neighbour before that founds, else itself."""
+    before: dict[int, list[int]] = {}
+    for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+        before.setdefault(a, [])
+        before.setdefault(b, []).append(a)
+    founder: dict[int, int] = {}
+    for x in sorted(before):
+        founder[x] = min((a for a in before[x] if founder[a] == a), default=x)
+    return pa.table({"id": pa.array(list(founder), pa.int64()), "founder": pa.array(list(founder.values()), pa.int64())})
 
-    ``pairs`` has a < b for every related pair.  Without pairs all found.
-    """
-    pairs = staging.cut(pairs.select("a", "b"), "pairs")
-    left, open_, founders = staging.cut(candidates.select(F.col(key).alias("id")), "left"), pairs, None
+
+def _in_rounds(pairs: DataFrame, staging: Staging) -> DataFrame:
+    """id, founder of the nodes of ``pairs``, decided in rounds."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    left, open_, founders = staging.cut(nodes, "left"), pairs, None
     while True:
         free = staging.cut(left.join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "free")
         founders = free if founders is None else founders.unionByName(free)
@@ -32,12 +47,28 @@ def greedy_groups(candidates: DataFrame, pairs: DataFrame, staging: Staging, key
         left = staging.cut(left.join(free.unionByName(met), "id", "left_anti"), "left")
         open_ = open_.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
         open_ = staging.cut(open_.select("a", "b"), "open")
-        if open_.limit(1).count() == 0:
+        if open_.isEmpty():
             break
     founders = staging.cut(founders.unionByName(left), "founders").select(F.col("id").alias("a"))
     joined = pairs.join(founders, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
-    out = candidates.select(F.col(key).alias("id")).join(joined, "id", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("first", "id").alias("founder"))
+    return nodes.join(joined, "id", "left").select("id", F.coalesce("first", "id").alias("founder"))
+
+
+def greedy_groups(candidates: DataFrame, pairs: DataFrame, staging: Staging, key: str = "ordinal", bound: int = BOUND) -> DataFrame:
+    """``key``, founder: for each candidate the founder of its group (itself, or its earliest overlapping founder).
+
+    ``pairs`` has a < b for every related pair, of whole numbers.  Without pairs all
+    found.  Components of more than ``bound`` pairs are decided in rounds.
+    """
+    pairs = staging.cut(pairs.select(F.col("a").cast("long"), F.col("b").cast("long")), "pairs")
+    of = components(pairs, staging).withColumnRenamed("id", "a")
+    small, large = by_size(pairs.join(of, "a"), bound)
+    found = small.groupBy("component").applyInArrow(_walk, "id long, founder long")
+    large = staging.cut(large.select("a", "b"), "large")
+    if not large.isEmpty():
+        found = found.unionByName(_in_rounds(large, staging))
+    out = candidates.select(F.col(key).alias("own")).join(found, F.col("own") == F.col("id"), "left")
+    return out.select(F.col("own").alias(key), F.coalesce("founder", "own").alias("founder"))
 
 
 def pick(value: str, source: str, priorities: tuple[str, ...], order: str):

@@ -2,23 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from geoquarry.operators.components import BOUND, by_size, components
 from geoquarry.plans.staging import Staging
 
 
-def first_by_either(rows: DataFrame, order: str, keys: tuple[str, str], staging: Staging) -> DataFrame:
+def _walk(kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """o of the rows of one component that stay, row after row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        met_a, met_b, stay = set(), set(), []
+        for o, a, b in sorted(zip(*(table[c].to_pylist() for c in ("o", "a", "b")), strict=True), key=lambda r: r[0]):
+            if a not in met_a and b not in met_b:
+                met_a.add(a)
+                met_b.add(b)
+                stay.append(o)
+        return pa.table({"o": pa.array(stay, kind)})
+
+    return run
+
+
+def first_by_either(rows: DataFrame, order: str, keys: tuple[str, str], staging: Staging, bound: int = BOUND) -> DataFrame:
     """``order`` of the rows that stay: those that share neither key with a row that stays before them.
 
-    A row that goes leaves its keys free.  Decided in rounds, all rows at once:
-    a row that is the first undecided one of both its keys stays, and those that
+    A row that goes leaves its keys free.  ``order`` is a whole number, unique; a null
+    key is one like others.  Rows that share keys, directly or by others, are a
+    component.  One of at most ``bound`` rows is walked by one task, however
+    long its chains; larger ones are decided in rounds (``_in_rounds``).
+    """
+    a, b = keys
+    every = staging.cut(rows.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b")), "rows")
+    links = None
+    for k in ("a", "b"):  # each row to the first of its key: as many links as rows
+        least = every.groupBy(F.col(k).alias("k")).agg(F.min("o").alias("b"))
+        met = every.select(F.col("o").alias("a"), F.col(k).alias("mine")).join(least.hint("merge"), F.col("mine").eqNullSafe(F.col("k"))).select("a", "b")
+        links = met if links is None else links.unionByName(met)
+    of = components(links, staging).withColumnRenamed("id", "o")
+    small, large = by_size(every.join(of, "o", "left").withColumn("component", F.coalesce("component", "o")), bound)
+    field = every.schema["o"]
+    stay = small.groupBy("component").applyInArrow(_walk(_arrow(field.dataType)), f"o {field.dataType.simpleString()}")
+    large = staging.cut(large.select("o", "a", "b"), "undecided")
+    if not large.isEmpty():
+        stay = stay.unionByName(_in_rounds(large, staging))
+    return stay.select(F.col("o").alias(order))
+
+
+def _arrow(kind) -> pa.DataType:
+    return pa.int32() if kind.simpleString() == "int" else pa.int64()
+
+
+def _in_rounds(left: DataFrame, staging: Staging) -> DataFrame:
+    """o of the rows that stay, decided all at once in rounds.
+
+    A row that is the first undecided one of both its keys stays, and those that
     share a key with it go.  A round is partial minima by key and merge joins of
     narrow rows, so a key of any number of rows is never gathered; rounds are as
     many as the longest run of rows of which each waits for the one before, and
-    each works on what is still undecided.  ``order`` is unique; a null key is one like others.
+    each works on what is still undecided.
     """
-    a, b = keys
-    left = staging.cut(rows.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b")), "undecided")
     stay = None
     while left.limit(1).count():
         first = left
@@ -35,4 +80,4 @@ def first_by_either(rows: DataFrame, order: str, keys: tuple[str, str], staging:
             rest = rest.join(chosen.hint("merge"), rest[k] == chosen["c"], "left_anti")
         new = staging.cut(rest.select("o", "a", "b"), "undecided")
         left = new
-    return (stay if stay is not None else left).select(F.col("o").alias(order))
+    return (stay if stay is not None else left).select("o")
