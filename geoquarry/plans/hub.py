@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoquarry.operators import fusion, sessions, snapshots
+from geoquarry.operators import fusion, sessions, snapshots, upserts
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.joins import FUNCTION, GEOMETRY, QUALITY_SQL, fused, grouped
@@ -144,6 +144,58 @@ def stored_snapshots(spark, sf_dir):
     return newest.groupBy("project", "territory", "version").agg(F.count(F.lit(1)).alias("features"), F.sum("id").alias("ids"))
 
 
+RUN_STORE_SQL = """r AS (SELECT o_orderkey AS run, 'p' || (o_custkey % 3) AS project, 't' || (o_custkey % 7) AS territory, ['osm', 'overture', 'city'][1 + cast(o_orderkey % 3 AS INT)] AS source, ['building', 'road'][1 + cast(o_custkey % 2 AS INT)] AS domain,
+      CASE WHEN o_orderkey % 5 = 0 THEN 'failed' WHEN o_orderkey % 2 = 0 THEN 'completed' ELSE 'running' END AS status,
+      CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS updates, cast(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS created FROM orders)"""
+
+
+def run_store(spark, sf_dir):
+    """Runs that began (all), were completed (even ones) and failed at last (every fifth), each an upsert of its project; one project is compacted in between, one at last."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
+    runs = o.select(k.alias("run"), F.concat(F.lit("p"), (c % 3).cast("string")).alias("project"), F.concat(F.lit("t"), (c % 7).cast("string")).alias("territory"), pick(("osm", "overture", "city"), k % 3).alias("source"), pick(("building", "road"), c % 2).alias("domain"), day.alias("created"))
+    store = upserts.Upserts(spark, Staging(spark, "runs").root, "runs", ("run",), "updates")
+    for updates, (status, part) in enumerate((("running", "true"), ("completed", "run % 2 = 0"), ("failed", "run % 5 = 0")), 1):
+        for p in ("p0", "p1", "p2"):
+            now = runs.where((F.col("project") == p) & F.expr(part)).drop("project")
+            store.upsert(now.select("*", F.lit(status).alias("status"), F.lit(updates).alias("updates")), p)
+        if updates == 2:
+            store.compact("p1")
+    store.compact("p2")
+    return store
+
+
+@query("sk10_upserted_runs", f"WITH {RUN_STORE_SQL} SELECT run, project, territory, source, domain, status, updates, created FROM r")
+def upserted_runs(spark, sf_dir):
+    """Every run as its last upsert left it, whether its project is compacted or not."""
+    return run_store(spark, sf_dir).scan()
+
+
+@query(
+    "sc30_repository_scans",
+    f"""WITH {RUN_STORE_SQL} SELECT 'territory' AS scan, run, status, row_number() OVER (PARTITION BY territory, source ORDER BY created DESC, run DESC) AS place FROM r WHERE project = 'p1' AND source = 'osm' AND domain = 'road'
+    UNION ALL SELECT 'run', run, status, 1 FROM r WHERE project = 'p2' AND run % 100 < 3""",
+)
+def repository_scans(spark, sf_dir):
+    """One project's runs by territory, of one source and domain, newest first; another's by run."""
+    store = run_store(spark, sf_dir)
+    by_territory = upserts.newest_first(store.scan("p1"), ("territory", "source"), "created", "run", F.col("source") == "osm", F.col("domain") == "road")
+    by_run = upserts.newest_first(store.scan("p2"), ("run",), "created", "run", F.col("run") % 100 < 3)
+    return by_territory.select(F.lit("territory").alias("scan"), "run", "status", "place").unionByName(by_run.select(F.lit("run").alias("scan"), "run", "status", "place"))
+
+
+@query(
+    "sk10_raw_payloads",
+    """SELECT doc_id, CASE WHEN strlen(text) >= 20000 THEN strlen(text) END AS payload_bytes, CASE WHEN strlen(text) >= 20000 THEN 'Raw payload is ' || strlen(text) || ' bytes; future ingestion should chunk this source response.' END AS storage_warning FROM documents""",
+)
+def raw_payloads(spark, sf_dir):
+    """Documents as raw payloads; those of 20,000 bytes or more (5 MiB by default) carry a warning."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("payload"))
+    return upserts.raw_records(d, limit=20_000).drop("payload")
+
+
 RUNS_SQL = """u AS (SELECT user_id AS run, list_distinct(list(event_type)) AS requested, list_distinct(list(event_type) FILTER (event_id % 5 <> 0 AND user_id % 9 <> 0)) AS completed, list_distinct(list(event_type) FILTER (event_id % 37 = 0)) AS errors,
       list_distinct(list(event_type) FILTER (event_id % 53 = 0)) AS warnings FROM events GROUP BY 1)"""
 
