@@ -68,17 +68,20 @@ def asking(boxes: DataFrame, levels: list[int], box: str = "box", above: bool =
     return _finite(boxes, box).withColumn("at", F.explode(asked)).withColumn("at", F.explode(_cells(F.col(box), F.col("at"))))
 
 
-def _corner(a: Column, b: Column) -> Column:
+def corner(a: Column, b: Column) -> Column:
     """Whether the cell is that of the common box's south-west corner."""
     size = _edge(F.col("at.z"))
     return (F.col("at.x") == cell(F.greatest(a["west"], b["west"]), size)) & (F.col("at.y") == cell(F.greatest(a["south"], b["south"]), size))
 
 
-def meeting(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of ``left`` with each row of ``right`` whose box ``b`` meets its box ``a``, edges included; columns have distinct names."""
-    meet = G.boxes_meet(F.col(a), F.col(b)) & _corner(F.col(a), F.col(b))
-    up = asking(left, levels_of(right, b), a).join(stored(right, b), "at").where(meet)
-    down = stored(left, a).join(asking(right, levels_of(left, a), b, above=True), "at").where(meet)
+def meeting(left: DataFrame, right: DataFrame, a: str, b: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``left`` with each row of ``right`` whose box ``b`` meets its box ``a``, edges included.
+
+    Columns have distinct names but for those of ``on``, which both sides have and which must be equal.
+    """
+    meet = G.boxes_meet(F.col(a), F.col(b)) & corner(F.col(a), F.col(b))
+    up = asking(left, levels_of(right, b), a).join(stored(right, b), [*on, "at"]).where(meet)
+    down = stored(left, a).join(asking(right, levels_of(left, a), b, above=True), [*on, "at"]).where(meet)
     return up.unionByName(down).drop("at")
 
 
@@ -109,5 +112,5 @@ def overlap_pairs(boxes: DataFrame, key: str, least: float) -> DataFrame:
     s, n = F.greatest(b1["south"], b2["south"]), F.least(b1["north"], b2["north"])
     area = lambda t: F.greatest(t["east"] - t["west"], F.lit(0.0)) * F.greatest(t["north"] - t["south"], F.lit(0.0))
     both, smaller = (e - w) * (n - s), F.least(area(b1), area(b2))
-    met = asks.join(holds, "at").where(once & _corner(b1, b2) & (e > w) & (n > s) & (smaller > 0) & (both / smaller >= least))
+    met = asks.join(holds, "at").where(once & corner(b1, b2) & (e > w) & (n > s) & (smaller > 0) & (both / smaller >= least))
     return met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), (both / smaller).alias("ratio"))

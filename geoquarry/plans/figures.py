@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geo, geometries as G, rings
-from geoquarry.operators import spatial
+from geoquarry.operators import edge_index, spatial
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.sources.tables import table
@@ -263,6 +263,36 @@ def edges_meet(spark, sf_dir):
     return f.select("id", meet.alias("meet"))
 
 
+@query(
+    "ge21_edge_index",
+    FIGURE_SQL + f""", t AS (SELECT id, parts[1][1] AS r, list_transform({_sql_line(BENT)}, lambda p: {{'lon': lon + (p.lon - 2 + id % 7)*size, 'lat': lat + (p.lat + id % 4)*size}}) AS l FROM f WHERE type IN ('LineString', 'Polygon'))
+    SELECT id, {_meet("r", "l")} AS meet FROM t""",
+)
+def edges_meet_by_index(spark, sf_dir):
+    """GE21 by the index of edges, which also serves lines too long for pairs in one row."""
+    f = figures(spark, sf_dir).where("g.type IN ('LineString', 'Polygon')")
+    shift = lambda p: G.point(F.col("lon") + (p["lon"] - 2 + F.col("id") % 7) * F.col("size"), F.col("lat") + (p["lat"] + F.col("id") % 4) * F.col("size"))
+    line = F.transform(F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in BENT]), shift)
+    return edge_index.lines_meet(f, "id", G.outer(F.col("g")), line)
+
+
+@query(
+    "ge23_long_line",
+    fixtures.with_("poi")
+    + """, e AS (SELECT p.poi_id AS n, p.lon AS x1, p.lat AS y1, q.lon AS x2, q.lat AS y2 FROM poi p JOIN poi q ON q.poi_id = p.poi_id + 1),
+    c AS (SELECT a.n AS i, b.n AS j FROM e a JOIN e b ON b.n > a.n + 1
+      WHERE ((a.x2-a.x1)*(b.y1-a.y1) - (a.y2-a.y1)*(b.x1-a.x1))*((a.x2-a.x1)*(b.y2-a.y1) - (a.y2-a.y1)*(b.x2-a.x1)) < 0
+        AND ((b.x2-b.x1)*(a.y1-b.y1) - (b.y2-b.y1)*(a.x1-b.x1))*((b.x2-b.x1)*(a.y2-b.y1) - (b.y2-b.y1)*(a.x2-b.x1)) < 0)
+    SELECT i, count(*) AS crossings, min(j) AS first, max(j) AS last FROM c GROUP BY 1""",
+)
+def long_line(spark, sf_dir):
+    """The line through all places in order of id: where each of its edges is crossed by later ones."""
+    p = fixtures.poi(spark, sf_dir)
+    q = p.select((F.col("poi_id") - 1).alias("poi_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    e = p.join(q, "poi_id").select(F.lit(0).alias("key"), F.col("poi_id").alias("n"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
+    return edge_index.self_crossings(e).groupBy("i").agg(F.count(F.lit(1)).alias("crossings"), F.min("j").alias("first"), F.max("j").alias("last"))
+
+
 def pairs_of(spark, sf_dir):
     """Each figure with that of another kind, laid over it."""
     k = F.col("id")
