@@ -58,6 +58,27 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.join(top, ["project", "territory", "version"])
 
 
+def query_latest(snapshots: DataFrame, features: DataFrame, order: tuple[str, ...], box: tuple[float, float, float, float] | None = None, domains: tuple | None = None, min_confidence: float | None = None, preferred_only: bool = False) -> DataFrame:
+    """project, territory and ``features`` of the latest snapshot of each, filtered before they meet.
+
+    ``snapshots`` has project, territory, snapshot and what orders them; ``features``
+    has snapshot, domain, confidence (unknown counts as 0), preferred and bounds
+    (west, south, east, north; unknown bounds are in no box), which must meet the
+    box, edges included.  A condition that is None or False doesn't filter.
+    """
+    last = snapshots.groupBy("project", "territory").agg(F.max(F.struct(*order, "snapshot")).alias("last")).select("project", "territory", F.col("last.snapshot").alias("snapshot"))
+    if domains is not None:
+        features = features.where(F.col("domain").isin(*domains))
+    if min_confidence is not None:
+        features = features.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
+    if preferred_only:
+        features = features.where("preferred")
+    if box is not None:
+        west, south, east, north = box
+        features = features.where((F.col("east") >= west) & (F.col("west") <= east) & (F.col("north") >= south) & (F.col("south") <= north))
+    return last.join(features, "snapshot")
+
+
 def run_status(runs: DataFrame) -> DataFrame:
     """``runs`` (run, requested, completed, errors, warnings: arrays) with missing domains and a status.
 

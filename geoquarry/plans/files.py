@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G, rings, tiles
 from geoquarry.operators import chunks
+from geoquarry.operators.prefix import running_total
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
 from geoquarry.plans.figures import FIGURE_SQL, _sql_line, ELL, ells, figures
@@ -271,6 +272,24 @@ def obj_prisms(spark, sf_dir):
     return o.select("building_id", F.size("o").alias("lines"), F.get("o", F.size("o") - 1).alias("roof"))
 
 
+@query(
+    "sk6_running_vertices",
+    fixtures.with_("buildings")
+    + """, n AS (SELECT building_id, 2*(4 + building_id % 3) AS v FROM buildings), o AS (SELECT building_id, v // 2 AS k, coalesce(sum(v) OVER (ORDER BY building_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM n)
+    SELECT building_id, cast(3*k + 1 AS BIGINT) AS lines, 'f ' || array_to_string(list_transform(range(k, 2*k), lambda i: cast(first + 1 + i AS BIGINT)), ' ') AS roof FROM o""",
+)
+def running_vertices(spark, sf_dir):
+    """Prisms of four to six corners, whose vertices are numbered on by the running sum of those of all prisms before."""
+    b, m = fixtures.buildings(spark, sf_dir), (F.col("building_id") % 3).cast("int")
+    ring = ring_of()
+    side = lambda i: F.transform(F.slice(ring, i, 1), lambda p: G.point(p["lon"], (p["lat"] + F.col("north")) / 2))  # noqa: E731  one more corner on a side
+    corners = F.concat(F.slice(ring, 1, 2), F.when(m > 0, side(2)).otherwise(F.array().cast(G.POSITIONS)), F.slice(ring, 3, 2).cast(G.POSITIONS), F.when(m > 1, side(1)).otherwise(F.array().cast(G.POSITIONS)))
+    c = b.select("building_id", corners.alias("corners"), F.coalesce("height", F.lit(3.0)).alias("height"))
+    placed = running_total(c, ("building_id",), F.size("corners") * 2, "offset", Staging(spark, "vertices"))
+    o = placed.select("building_id", writers.prism(F.col("corners"), F.col("height"), F.col("offset")).alias("o"))
+    return o.select("building_id", F.size("o").cast("long").alias("lines"), F.get("o", F.size("o") - 1).alias("roof"))
+
+
 @query("sk7_gltf_nodes", FIGURE_SQL + " SELECT id, 'shape-' || id AS name, type FROM f")
 def gltf_nodes(spark, sf_dir):
     """Nodes and meshes of a scene without buffers, read again."""

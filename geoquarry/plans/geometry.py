@@ -165,6 +165,34 @@ def grid(spark, west, south, east, north, cell_km2=12.0, most=12):
     return r.select(F.concat(F.lit("r"), "r", F.lit("-c"), "c").alias("cell"), F.round(west + F.col("c") * (east - west) / cols, 9).alias("west"), F.round(south + F.col("r") * (north - south) / rows, 9).alias("south"))
 
 
+def grid_cells(boxes, key, cell_km2=12.0, most=12):
+    """``key``, cell, west, south, east, north: cells of about ``cell_km2`` over each box, at most ``most`` on each axis; outer edges are exact."""
+    import math
+
+    side = math.sqrt(cell_km2)
+    w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
+    held = lambda km: F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(km / side))).cast("int")
+    cols, rows = held((e - w) * 111.32 * F.cos(F.radians((s + n) / 2))), held((n - s) * 111.32)
+    b = boxes.select(key, "west", "south", "east", "north", cols.alias("cols"), rows.alias("rows"))
+    b = b.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    at = lambda low, high, i, m: F.when(F.col(i) == F.col(m), high).otherwise(low + F.col(i) * (high - low) / F.col(m))
+    after = b.withColumns({"r1": F.col("r") + 1, "c1": F.col("c") + 1})
+    return after.select(key, F.concat(F.lit("r"), "r", F.lit("-c"), "c").alias("cell"), at(w, e, "c", "cols").alias("west"), at(s, n, "r", "rows").alias("south"), at(w, e, "c1", "cols").alias("east"), at(s, n, "r1", "rows").alias("north"))
+
+
+@query(
+    "tp1_territory_grids",
+    fixtures.with_("territories")
+    + """, m AS (SELECT *, least(12, greatest(1, ceil((east-west)*111.32*cos(radians((south+north)/2))/sqrt(2.0::DOUBLE))))::INT AS cols, least(12, greatest(1, ceil((north-south)*111.32/sqrt(2.0::DOUBLE))))::INT AS rows_ FROM territories)
+    SELECT territory_id, 'r' || r || '-c' || c AS cell, round(west + c*(east-west)/cols, 9) AS west, round(south + r*(north-south)/rows_, 9) AS south, round(west + (c+1)*(east-west)/cols, 9) AS east, round(south + (r+1)*(north-south)/rows_, 9) AS north
+    FROM m, range(0, 12) x(r), range(0, 12) y(c) WHERE c < cols AND r < rows_""",
+)
+def territory_grids(spark, sf_dir):
+    """The grid of cells that an import of each territory is cut into."""
+    g = grid_cells(fixtures.territories(spark, sf_dir), "territory_id", 2.0)
+    return g.select("territory_id", "cell", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")])
+
+
 @query(
     "jn15_tile_pyramid",
     fixtures.with_("poi")

@@ -332,6 +332,23 @@ def query_of_latest(spark, sf_dir):
     return s.join(f, "snapshot").select("project", "territory", "id", "domain")
 
 
+@query(
+    "fp3_whole_query",
+    f"""WITH {LATEST_SQL}, f AS (SELECT l_orderkey AS snapshot, l_partkey AS id, l_linenumber % 3 AS domain, l_returnflag <> 'R' AS preferred, CASE WHEN l_partkey % 4 <> 0 THEN cast(l_discount AS DOUBLE)*10 END AS confidence,
+      37.5::DOUBLE + cast(l_partkey % 97 AS DOUBLE)*0.002::DOUBLE AS west, 55.6::DOUBLE + cast(l_partkey % 89 AS DOUBLE)*0.002::DOUBLE AS south, cast(1 + l_partkey % 5 AS DOUBLE)*0.001::DOUBLE AS size FROM lineitem)
+    SELECT s.project, s.territory, f.id, f.domain FROM s JOIN f ON f.snapshot = s.x[2]
+    WHERE domain IN (0, 2) AND preferred AND coalesce(confidence, 0) >= 0.3 AND west + size >= 37.55 AND west <= 37.65 AND south + size >= 55.62 AND south <= 55.72""",
+)
+def whole_query(spark, sf_dir):
+    """Latest snapshot, domain, confidence, preference and box in one query; the features' conditions are in their scan."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    s = o.select((F.col("o_custkey") % 20).alias("project"), F.col("o_orderstatus").alias("territory"), F.col("o_orderkey").alias("snapshot"), "o_orderdate")
+    k = F.col("l_partkey")
+    west, south, size = F.lit(37.5) + (k % 97).cast("double") * F.lit(0.002), F.lit(55.6) + (k % 89).cast("double") * F.lit(0.002), (1 + k % 5).cast("double") * F.lit(0.001)
+    f = li.select(F.col("l_orderkey").alias("snapshot"), k.alias("id"), (F.col("l_linenumber") % 3).alias("domain"), (F.col("l_returnflag") != "R").alias("preferred"), F.when(k % 4 != 0, F.col("l_discount").cast("double") * 10).alias("confidence"), west.alias("west"), south.alias("south"), (west + size).alias("east"), (south + size).alias("north"))
+    return snapshots.query_latest(s, f, ("o_orderdate",), (37.55, 55.62, 37.65, 55.72), (0, 2), 0.3, True).select("project", "territory", "id", "domain")
+
+
 @query(
     "pl1_source_plans",
     f"""WITH {CANDIDATES_SQL}, {SCORE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY round(score, 9) DESC, source_id) AS rn FROM s WHERE NOT rejected),
@@ -375,6 +392,22 @@ def priority_plans(spark, sf_dir):
     return j.withColumn("place", F.row_number().over(W.partitionBy("role").orderBy("rank", "source")))
 
 
+@query(
+    "tk6_first_available",
+    fixtures.with_("buildings", "candidates")
+    + f""", p AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{s}', {n})" for r, s, n in _RANKED)}) v(role, source, rank)), r AS (SELECT unnest({list(RANKS)}) AS role),
+    a AS (SELECT building_id, role, source, coalesce(rank, 10000) AS rank FROM candidates CROSS JOIN r LEFT JOIN p USING (role, source))
+    SELECT building_id, role, count(*) AS available, arg_min(source, struct_pack(r := rank, s := source)) AS first, min(rank) AS rank FROM a GROUP BY 1, 2""",
+)
+def first_available(spark, sf_dir):
+    """Of the sources that have a building, the one that each role takes first, and its priority (10000 if the role doesn't list it)."""
+    p = spark.createDataFrame([(r, s, int(n)) for r, s, n in _RANKED], "role string, source string, rank int")
+    roles = F.explode(F.array(*[F.lit(r) for r in RANKS]))
+    j = fixtures.candidates(spark, sf_dir).select("building_id", "source", roles.alias("role")).join(F.broadcast(p), ["role", "source"], "left")  # a row for each listed source
+    rank = F.coalesce("rank", F.lit(10000))
+    return j.groupBy("building_id", "role").agg(F.count(F.lit(1)).alias("available"), F.min_by("source", F.struct(rank, "source")).alias("first"), F.min(rank).alias("rank"))
+
+
 @query(
     "jn14_merged_layers",
     """WITH d AS (SELECT * FROM (VALUES ('buildings', 0), ('roads', 1), ('green', 2), ('water', 3), ('terrain', 4)) v(category, i)), e AS (SELECT s_nationkey AS project, ['buildings','water','notes','roads','sketch'][1 + cast(s_suppkey % 5 AS INT)] AS category, arg_max(s_name, s_suppkey) AS name, cast(max(s_suppkey) % 9 AS INT) AS ord FROM supplier GROUP BY 1, 2),

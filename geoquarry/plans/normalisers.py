@@ -313,3 +313,29 @@ def mapped(rows, fields: dict[str, str], geometry: tuple[str, ...] = ("lon", "la
     for g in geometry:
         out = out.where(F.col(g).isNotNull())
     return out
+
+
+@query(
+    "sf20_layers_of_features",
+    GEOJSON_SQL
+    + ", n AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in N.KINDS) + ") v(kind, domain, layer)) SELECT kind, domain, layer, count(*) AS n FROM k JOIN n USING (kind) GROUP BY 1, 2, 3",
+)
+def layers_of_features(spark, sf_dir):
+    """The figures' source kinds with the domain and layer that each belongs to."""
+    named = F.create_map(*[x for kind, d, layer in N.KINDS for x in (F.lit(kind), F.struct(F.lit(d).alias("domain"), F.lit(layer).alias("layer")))])
+    f = features(spark, sf_dir).where("kind IS NOT NULL").select("kind", named[F.col("kind")].alias("n"))
+    return f.groupBy("kind", "n.domain", "n.layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fp10_supported_candidates",
+    fixtures.with_("buildings", "candidates")
+    + """, c AS (SELECT source AS s, ['building', 'poi', 'road', 'terrain', 'transport_stop'][1 + cast(building_id % 5 AS INT)] AS d FROM candidates)
+    SELECT s AS source, d AS domain, count(*) AS n, CASE WHEN s = 'osm' THEN d <> 'terrain' WHEN s IN ('microsoft-buildings', 'local-buildings') THEN d = 'building' WHEN s = 'overture' THEN d IN ('building', 'poi', 'road') WHEN s = 'city-geojson' THEN d <> 'terrain' ELSE true END AS supported
+    FROM c GROUP BY 1, 2""",
+)
+def supported_candidates(spark, sf_dir):
+    """Candidates by source and wanted domain, and whether the source serves it."""
+    domain = F.get(F.array(*[F.lit(d) for d in ("building", "poi", "road", "terrain", "transport_stop")]), (F.col("building_id") % 5).cast("int"))
+    c = fixtures.candidates(spark, sf_dir).select("source", domain.alias("domain"))
+    return c.groupBy("source", "domain").agg(F.count(F.lit(1)).alias("n")).withColumn("supported", N.supports(F.col("source"), F.col("domain")))

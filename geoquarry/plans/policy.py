@@ -229,3 +229,11 @@ def duplicates(spark, sf_dir):
 @query("tk4_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query("st3_intersect", "SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0 INTERSECT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < 0")
+def intersect_(spark, sf_dir):
+    """Distinct nations and segments that both sides have."""
+    c = table(spark, sf_dir, "customer")
+    side = lambda where: c.where(where).select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return side("c_acctbal > 0").intersect(side("c_acctbal < 0"))
