@@ -153,6 +153,29 @@ def voronoi_cell(site: np.ndarray, others: np.ndarray, box: np.ndarray) -> np.nd
     return np.concatenate([out, out[:1]]) if len(out) > 2 else None
 
 
+#: Radians that an edge drawn straight in degrees may lie off its great circle (about 6 cm).
+DRAWN = 1e-8
+
+
+def along_great_circles(ring: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """A ring within a box with positions added where an edge, drawn straight in degrees, would leave its great circle; sides of the box stay."""
+    low, high = box.min(axis=0), box.max(axis=0)
+    out = []
+    for a, b in zip(ring[:-1], ring[1:], strict=True):
+        u, v = _unit(a), _unit(b)
+        side = ((a == b) & ((a == low) | (a == high))).any()
+        bend = np.linalg.norm(u - v) ** 2 / 8 * np.tan(np.radians(min(np.abs([a[1], b[1]]).max(), 89.0)))
+        m = 1 if side else int(np.ceil(np.sqrt(max(bend / DRAWN, 1.0))))
+        t = (np.arange(m) / m)[:, None]
+        w = u * (1 - t) + v * t
+        lon, lat = np.degrees(np.arctan2(w[:, 1], w[:, 0])), np.degrees(np.arctan2(w[:, 2], np.hypot(w[:, 0], w[:, 1])))
+        lon += 360 * np.round((a[0] - lon) / 360)
+        part = np.clip(np.stack([lon, lat], axis=1), low, high)
+        part[0] = a
+        out.append(part)
+    return np.concatenate([*out, ring[:1]])
+
+
 def hull(pts: np.ndarray) -> np.ndarray | None:
     """Closed convex hull, counter-clockwise, without collinear points; null for fewer than three distinct points."""
     p = np.unique(pts, axis=0)

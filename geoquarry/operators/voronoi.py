@@ -7,7 +7,8 @@ blocks know ends at a block's width: a cell whose corners are all within half
 that (its security radius) is closed.  Of the others every corner is looked up
 among all sites: if one is nearer to the corner than the cell's own, it cuts too.
 A cell is closed when no corner has a nearer site, as a cell that a site cuts
-loses a corner.  Edges between corners are straight in degrees, as in all geometry here.
+loses a corner.  Edges between corners are great circles; long ones have positions
+added, so that drawn straight in degrees, as all geometry here, they stay on them.
 
 At scale: no task holds all sites; a site meets at most ``NEAR`` others at first and
 then those that cut it.  Corners are looked up by descent through the pyramid of
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geoquarry.operators.nearest import SPHERE, nearest
-from geoquarry.operators.shapes import metres, voronoi_cell
+from geoquarry.operators.shapes import along_great_circles, metres, voronoi_cell
 from geoquarry.plans.staging import Staging
 
 #: Sites that nine blocks hold at most, and how often blocks are quartered in each direction.
@@ -96,6 +97,17 @@ def _cut(sites: DataFrame, kind: str, frame: np.ndarray) -> DataFrame:
     return wanted.mapInArrow(run, f"site {kind}, lon double, lat double, ring array<array<double>>, used array<struct<lon:double,lat:double>>, open boolean")
 
 
+def _drawn(cells: DataFrame, kind: str, frame: np.ndarray) -> DataFrame:
+    """site, ring: the cells with positions added along edges that are long enough to bend."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rings = [along_great_circles(np.array(r), frame).tolist() for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rings, pa.list_(pa.list_(pa.float64())))], names=["site", "ring"])
+
+    return cells.select("site", "ring").mapInArrow(run, f"site {kind}, ring array<array<double>>")
+
+
 def voronoi(sites: DataFrame, key: str, box: tuple[float, float, float, float]) -> DataFrame:
     """``key``, ring: cell of each of ``sites`` (lon, lat) within a box; sites without a cell have no row.
 
@@ -128,6 +140,6 @@ def voronoi(sites: DataFrame, key: str, box: tuple[float, float, float, float])
         step = open_.drop("open").join(more, "site", "left").withColumn("known", F.when(F.col("others").isNull(), F.lit(float("inf"))).otherwise(0.0))
         tried = staging.cut(_cut(step, kind, frame), "cells")
         done, open_ = done.unionByName(tried.where(~F.col("open")).select("site", "ring")), tried.where("open")
-    cells = done.where(F.col("ring").isNotNull())
+    cells = _drawn(done.where(F.col("ring").isNotNull()), kind, frame)
     at = there.select(key, "lon", "lat").join(places, ["lon", "lat"])
     return at.join(cells, "site").select(key, "ring")
