@@ -305,6 +305,48 @@ def poi_icon(category, subtype):
     return S._cases([(category == "parking", "parking"), ((category == "education") | (subtype == "school"), "school"), ((category == "healthcare") | (subtype == "hospital"), "hospital"), ((category == "park") | (subtype == "park"), "park")], "poi")
 
 
+# Categories and subtypes of points that a three-dimensional map shows.
+SHOWN_POI = ("parking", "bus_stop", "tram_stop", "station", "subway", "school", "education", "hospital", "healthcare", "public", "park")
+_SUBTYPES = (None, "school", "hospital", "park", "parking")
+
+
+def poi_important(category, subtype):
+    return category.isin(*SHOWN_POI) | F.coalesce(subtype.isin(*SHOWN_POI), F.lit(False))
+
+
+@query(
+    "sf26_poi_icons",
+    fixtures.with_("poi")
+    + f""", p AS (SELECT poi_id, category, [{", ".join("NULL" if x is None else f"'{x}'" for x in _SUBTYPES)}][1 + cast(poi_id % 5 AS INT)] AS subtype FROM poi)
+    SELECT poi_id, CASE WHEN category = 'parking' THEN 'parking' WHEN category = 'education' OR subtype = 'school' THEN 'school' WHEN category = 'healthcare' OR subtype = 'hospital' THEN 'hospital' WHEN category = 'park' OR subtype = 'park' THEN 'park' ELSE 'poi' END AS icon,
+      list_contains({list(SHOWN_POI)}, category) OR coalesce(list_contains({list(SHOWN_POI)}, subtype), false) AS important FROM p""",
+)
+def poi_icons(spark, sf_dir):
+    """Each point's icon, and whether a three-dimensional map shows it."""
+    subtype = F.get(F.array(*[F.lit(x) for x in _SUBTYPES]), (F.col("poi_id") % 5).cast("int"))
+    p = fixtures.poi(spark, sf_dir).select("poi_id", "category", subtype.alias("subtype"))
+    return p.select("poi_id", poi_icon(F.col("category"), F.col("subtype")).alias("icon"), poi_important(F.col("category"), F.col("subtype")).alias("important"))
+
+
+def value_colour(levels, year, palette: int):
+    """Index into a palette of ``palette`` colours by the value itself, where no class is known: floors one by one, years by breaks; -1 for the unknown."""
+    floors = F.when(levels > 0, F.least(F.lit(palette - 1), F.floor(levels + 0.5) - 1)).otherwise(-1)
+    breaks = S._cases([(year < y, F.lit(i)) for i, y in enumerate((1800, 1920, 1960, 1990, 2020))], F.lit(5))  # fixed values
+    return floors.cast("int"), F.when(year >= 1000, breaks).otherwise(-1).cast("int")
+
+
+@query(
+    "sf28_value_breaks",
+    fixtures.with_("buildings")
+    + """SELECT building_id, CASE WHEN levels > 0 THEN least(3, floor(levels + 0.5) - 1) ELSE -1 END::INT AS floors,
+      CASE WHEN year IS NULL OR year < 1000 THEN -1 WHEN year < 1800 THEN 0 WHEN year < 1920 THEN 1 WHEN year < 1960 THEN 2 WHEN year < 1990 THEN 3 WHEN year < 2020 THEN 4 ELSE 5 END AS age FROM buildings""",
+)
+def value_breaks(spark, sf_dir):
+    """Colours of buildings by their floors and years themselves, as where they have no class."""
+    floors, age = value_colour(F.col("levels"), F.col("year"), 4)
+    return fixtures.buildings(spark, sf_dir).select("building_id", floors.alias("floors"), age.alias("age"))
+
+
 @query(
     "sf28_preset_colours",
     fixtures.with_("buildings")

@@ -68,6 +68,17 @@ def as_points(c):
     return F.transform(c, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 
+@query(
+    "sf31_file_names",
+    r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(trim(n), '[\\/:*?"<>|]+', '-', 'g'), '\s+', '-', 'g'), ''), 'export') AS name FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '?a=1  b' WHEN 2 THEN ' ' END AS n FROM pages)""",
+)
+def file_names(spark, sf_dir):
+    """Names of files for pages' addresses, some with white space, blank or missing."""
+    k = F.col("page_id") % 4
+    name = F.when(k == 0, F.col("url")).when(k == 1, F.concat("url", F.lit("?a=1  b"))).when(k == 2, " ")
+    return table(spark, sf_dir, "pages").select("page_id", writers.file_name(name).alias("name"))
+
+
 @query(
     "ge12_clipped_to_box",
     fixtures.with_("buildings")

@@ -190,6 +190,14 @@ class Archive:
         return None
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a file; Hadoop's names for S3 are not pyarrow's."""
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            path = "s3://" + path.removeprefix(scheme)
+    return fs.FileSystem.from_uri(path)
+
+
 def read_tiles(spark: SparkSession, path: str, box: tuple[float, float, float, float], zoom: int) -> DataFrame:
     """z, x, y, layer, id, g, properties of the features in the tiles of a zoom that cover a box, whose own box meets it."""
     zoom = min(max(zoom, 0), 14)
@@ -202,7 +210,7 @@ def read_tiles(spark: SparkSession, path: str, box: tuple[float, float, float, f
     kinds = pa.schema([("z", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("layer", pa.string()), ("id", pa.string()), ("type", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(position)))), ("properties", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(path)
+        store, at = _store(path)
         with store.open_input_file(at) as file:
             archive = Archive(file)
             for b in batches:

@@ -48,6 +48,12 @@ def safe_name(c: Column) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", "export").otherwise(t)
 
 
+def file_name(c: Column, default: str = "export") -> Column:
+    """A download's name: runs of characters that file systems refuse become a dash, then runs of white space; empty and null become ``default``."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(c), r'[\\/:*?"<>|]+', "-"), r"\s+", "-")
+    return F.when(F.coalesce(t, F.lit("")) == "", default).otherwise(t)
+
+
 def prism(ring: Column, height: Column, offset: Column) -> Column:
     """OBJ lines of an extruded ring without its closing point; ``offset`` is the number of vertices before it.
 
