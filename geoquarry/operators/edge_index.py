@@ -54,5 +54,5 @@ def self_crossings(edges: DataFrame) -> DataFrame:
     side = lambda e, x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
     proper = (side(a, c["x1"], c["y1"]) * side(a, c["x2"], c["y2"]) < 0) & (side(c, a["x1"], a["y1"]) * side(c, a["x2"], a["y2"]) < 0)
     shares = ((a["x2"] == c["x1"]) & (a["y2"] == c["y1"])) | ((c["x2"] == a["x1"]) & (c["y2"] == a["y1"]))
-    met = asks.join(holds, ["key", "at"]).where(once & spatial.corner(b1, b2) & G.boxes_meet(b1, b2) & ~shares & proper)
+    met = asks.join(holds.hint("merge"), ["key", "at"]).where(once & spatial.corner(b1, b2) & G.boxes_meet(b1, b2) & ~shares & proper)
     return met.select("key", F.least("n1", "n2").alias("i"), F.greatest("n1", "n2").alias("j"))

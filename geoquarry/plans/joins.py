@@ -37,7 +37,7 @@ def jn1(spark, sf_dir):
 def grouped(spark, sf_dir):
     staging = Staging(spark, "fusion")
     c = staging.cut(fixtures.candidates(spark, sf_dir), "candidates")
-    return c, fusion.greedy_groups(c, spatial.overlap_pairs(c, "ordinal", 0.45), staging)
+    return c, fusion.greedy_boxes(c, 0.45, staging)
 
 
 @query("jn2_greedy_groups")
