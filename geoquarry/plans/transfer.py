@@ -11,7 +11,7 @@ from geoquarry.plans.catalog import query
 from geoquarry.plans.geometry import ring_of
 from geoquarry.plans.staging import Staging
 from geoquarry.sources import formats, writers
-from geoquarry.sources.tables import table
+from geoquarry.sources.tables import spread, table
 from geoquarry.streaming import ingest
 
 
@@ -87,7 +87,7 @@ def file_names(spark, sf_dir):
 )
 def clip(spark, sf_dir):
     """Box test on columns first; only rings that meet the box are cut."""
-    b = fixtures.buildings(spark, sf_dir).where("east > 37.5503 AND west < 37.6 AND north > 55.6103 AND south < 55.7")
+    b = spread(fixtures.buildings(spark, sf_dir).where("east > 37.5503 AND west < 37.6 AND north > 55.6103 AND south < 55.7").select("building_id", "west", "south", "east", "north"), "building_id")
     edge = [F.lit(x) for x in (37.5503, 55.6103, 37.6, 55.7)]
     frame = F.array(*[G.point(edge[i], edge[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))])
     cut = G.clipped_to_ring(as_points(pairs()).cast(G.POSITIONS), frame)
@@ -100,7 +100,7 @@ def clip(spark, sf_dir):
 )
 def shape_measures(spark, sf_dir):
     """Boxes with the middle of each side added: simplification and hull give back the corners; odd ones are tied into a bow."""
-    b = fixtures.buildings(spark, sf_dir)
+    b = spread(fixtures.buildings(spark, sf_dir).select("building_id", "west", "south", "east", "north"), "building_id")
     corner = pairs()
     middle = lambda i: F.array((corner[i][0] + corner[i + 1][0]) / 2, (corner[i][1] + corner[i + 1][1]) / 2)
     dense = F.array(*[x for i in range(4) for x in (corner[i], middle(i))], corner[4])
