@@ -8,6 +8,8 @@ of edges is spread over tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoquarry.functions import geometries as G, rings
@@ -42,17 +44,56 @@ def lines_meet(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
     return rows.select(key).join(found, F.col(key) == F.col("met"), "left").select(key, F.col("met").isNotNull().alias("meet"))
 
 
+#: How far a cell is taken to reach beyond its sides: more than a computed crossing lies off its edges.
+REACH = 1e-9
+
+
+def _passed(e: Column, z: Column) -> Column:
+    """Array of (z, x, y) of the cells of a level that an edge passes, those within ``REACH`` of it included: column by column, so a long thin edge is no full box."""
+    size = F.pow(F.lit(2.0), z)
+    apart = F.greatest(size * REACH, F.lit(1e-12))
+    low, high = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
+    bottom, top = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    slope = (e["y2"] - e["y1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0))
+
+    def column(x):
+        at = lambda v: F.least(top, F.greatest(bottom, e["y1"] + (F.least(high, F.greatest(low, v)) - e["x1"]) * slope))
+        a, b = at(x * size - apart), at((x + 1) * size + apart)
+        upright = slope.isNull()
+        ys = F.sequence(spatial.cell(F.when(upright, bottom).otherwise(F.least(a, b)) - apart, size), spatial.cell(F.when(upright, top).otherwise(F.greatest(a, b)) + apart, size))
+        return F.transform(ys, lambda y: F.struct(z.alias("z"), x.alias("x"), y.alias("y")))
+
+    return F.flatten(F.transform(F.sequence(spatial.cell(low - apart, size), spatial.cell(high + apart, size)), column))
+
+
 def self_crossings(edges: DataFrame) -> DataFrame:
     """key, i, j (i < j) of the edges of one line that properly cross; ``edges`` has key, n, x1, y1, x2, y2, numbered along the line.
 
     Neighbours share an end and don't cross properly; nor do first and last of a ring.
+    No edge lies at a level above that of the mean edge: longer ones pass through
+    many cells there, together no more than a few for each edge, so long edges among
+    many short ones meet only those along their way.  A pair counts in the cell of its crossing.
     """
-    b = _boxed(edges, False)
-    asks, holds = spatial.asking(b, spatial.levels_of(b)).toDF("key", "n1", "e1", "b1", "at"), spatial.stored(b).toDF("key", "n2", "e2", "b2", "at")
-    b1, b2, a, c = F.col("b1"), F.col("b2"), F.col("e1"), F.col("e2")
-    once = (F.col("n1") < F.col("n2")) | ((F.col("n1") > F.col("n2")) & (spatial.level(b1) < spatial.level(b2)))
+    b = spatial._finite(_boxed(edges, False), "box").select("key", "n", "e", spatial.level(F.col("box")).alias("own"))
+    side_ = F.greatest(F.abs(F.col("e.x2") - F.col("e.x1")), F.abs(F.col("e.y2") - F.col("e.y1")))
+    mean = b.agg(F.avg(side_)).first()[0]
+    cap = max(math.ceil(math.log2(mean)), spatial.LEAST) if mean else spatial.LEAST
+    b = b.withColumn("own", F.least("own", F.lit(cap)))
+    levels = sorted(r[0] for r in b.select("own").distinct().collect())  # a few numbers
+    known = F.array(*[F.lit(z) for z in levels]) if levels else F.array().cast("array<int>")
+    asked = b.withColumn("z", F.explode(F.filter(known, lambda z: z >= F.col("own"))))
+    asks = asked.withColumn("at", F.explode(_passed(F.col("e"), F.col("z")))).select("key", "n", "e", "own", "at").toDF("key", "n1", "e1", "z1", "at")
+    holds = b.withColumn("at", F.explode(_passed(F.col("e"), F.col("own")))).toDF("key", "n2", "e2", "z2", "at")
+    once = (F.col("n1") < F.col("n2")) | ((F.col("n1") > F.col("n2")) & (F.col("z1") < F.col("z2")))  # of one level each asks the other
+    first = F.col("n1") < F.col("n2")
+    a, c = F.when(first, F.col("e1")).otherwise(F.col("e2")), F.when(first, F.col("e2")).otherwise(F.col("e1"))
+    met = asks.join(holds.hint("merge"), ["key", "at"]).where(once)
+    met = met.select("key", "at", F.least("n1", "n2").alias("i"), F.greatest("n1", "n2").alias("j"), a.alias("a"), c.alias("c"))
+    a, c = F.col("a"), F.col("c")
     side = lambda e, x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    proper = (side(a, c["x1"], c["y1"]) * side(a, c["x2"], c["y2"]) < 0) & (side(c, a["x1"], a["y1"]) * side(c, a["x2"], a["y2"]) < 0)
+    from_a, to_a = side(c, a["x1"], a["y1"]), side(c, a["x2"], a["y2"])
+    proper = (side(a, c["x1"], c["y1"]) * side(a, c["x2"], c["y2"]) < 0) & (from_a * to_a < 0)
     shares = ((a["x2"] == c["x1"]) & (a["y2"] == c["y1"])) | ((c["x2"] == a["x1"]) & (c["y2"] == a["y1"]))
-    met = asks.join(holds.hint("merge"), ["key", "at"]).where(once & spatial.corner(b1, b2) & G.boxes_meet(b1, b2) & ~shares & proper)
-    return met.select("key", F.least("n1", "n2").alias("i"), F.greatest("n1", "n2").alias("j"))
+    t, size = from_a / F.nullif(from_a - to_a, F.lit(0.0)), F.pow(F.lit(2.0), F.col("at.z"))
+    here = (F.col("at.x") == spatial.cell(a["x1"] + t * (a["x2"] - a["x1"]), size)) & (F.col("at.y") == spatial.cell(a["y1"] + t * (a["y2"] - a["y1"]), size))
+    return met.where(~shares & proper & here).select("key", "i", "j")

@@ -8,7 +8,7 @@ from geoquarry.functions import geo, geometries as G, rings
 from geoquarry.operators import edge_index, spatial
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
-from geoquarry.sources.tables import table
+from geoquarry.sources.tables import spread, table
 
 RING = ((0, 0), (4, 0), (6, 3), (3, 6), (0, 4), (0, 0))
 HOLE = ((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))
@@ -36,9 +36,9 @@ def _ring(corners, lon, lat, size):
 
 def figures(spark, sf_dir):
     """id, lon, lat, size and geometry g of each part."""
-    k = F.col("p_partkey")
+    k = F.col("id")
     lon, lat = F.lit(37.5) + (k % 97).cast("double") * F.lit(0.002), F.lit(55.6) + (k % 89).cast("double") * F.lit(0.002)
-    p = table(spark, sf_dir, "part").select(k.alias("id"), lon.alias("lon"), lat.alias("lat"), ((k % 5 + 1).cast("double") * F.lit(0.0005)).alias("size"), (k % 6).cast("int").alias("kind"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id").select("id", lon.alias("lon"), lat.alias("lat"), ((k % 5 + 1).cast("double") * F.lit(0.0005)).alias("size"), (k % 6).cast("int").alias("kind"))
     parts = _placed(F.get(F.array(*[_literal(f) for f in FIGURES]), F.col("kind")), F.col("lon"), F.col("lat"), F.col("size"))
     return p.select("id", "lon", "lat", "size", G.geometry(F.get(F.array(*[F.lit(x) for x in KINDS]), F.col("kind")), parts).alias("g"))
 
@@ -287,7 +287,7 @@ def edges_meet_by_index(spark, sf_dir):
 )
 def long_line(spark, sf_dir):
     """The line through all places in order of id: where each of its edges is crossed by later ones."""
-    p = fixtures.poi(spark, sf_dir)
+    p = spread(fixtures.poi(spark, sf_dir).select("poi_id", "lon", "lat"), "poi_id")
     q = p.select((F.col("poi_id") - 1).alias("poi_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
     e = p.join(q, "poi_id").select(F.lit(0).alias("key"), F.col("poi_id").alias("n"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
     return edge_index.self_crossings(e).groupBy("i").agg(F.count(F.lit(1)).alias("crossings"), F.min("j").alias("first"), F.max("j").alias("last"))

@@ -11,7 +11,7 @@ from geoquarry.plans.analysis import LENGTH_SQL
 from geoquarry.plans.catalog import query
 from geoquarry.plans.staging import Staging
 from geoquarry.plans.territory import AREA_SQL
-from geoquarry.sources.tables import table
+from geoquarry.sources.tables import spread, table
 
 
 def ring_of(west="west", south="south", east="east", north="north"):
@@ -38,7 +38,7 @@ def line_measures(spark, sf_dir):
       round((2*west+east+east+west)/5, 7) AS mean_lon FROM buildings""",
 )
 def ring_measures(spark, sf_dir):
-    b = fixtures.buildings(spark, sf_dir).withColumn("ring", ring_of())
+    b = spread(fixtures.buildings(spark, sf_dir).select("building_id", "west", "south", "east", "north"), "building_id").withColumn("ring", ring_of())
     c = rings.centroid(F.col("ring"))
     return b.select(
         "building_id",

@@ -12,7 +12,7 @@ from geoquarry.plans.policy import CANDIDATES_SQL, SCORE_SQL, candidates as poli
 from geoquarry.plans.staging import Staging
 from geoquarry.plans.summaries import uri_part
 from geoquarry.plans.territory import AREA_SQL
-from geoquarry.sources.tables import table
+from geoquarry.sources.tables import spread, table
 
 #: Groups replayed candidate by candidate: each keeps the founders of its place in a list; places never overlap each other.
 GROUPS_SQL = (
@@ -403,7 +403,8 @@ def first_available(spark, sf_dir):
     """Of the sources that have a building, the one that each role takes first, and its priority (10000 if the role doesn't list it)."""
     p = spark.createDataFrame([(r, s, int(n)) for r, s, n in _RANKED], "role string, source string, rank int")
     roles = F.explode(F.array(*[F.lit(r) for r in RANKS]))
-    j = fixtures.candidates(spark, sf_dir).select("building_id", "source", roles.alias("role")).join(F.broadcast(p), ["role", "source"], "left")  # a row for each listed source
+    c = spread(fixtures.candidates(spark, sf_dir).select("building_id", "source"), "building_id")  # groups below stay where they are
+    j = c.select("building_id", "source", roles.alias("role")).join(F.broadcast(p), ["role", "source"], "left")  # a row for each listed source
     rank = F.coalesce("rank", F.lit(10000))
     return j.groupBy("building_id", "role").agg(F.count(F.lit(1)).alias("available"), F.min_by("source", F.struct(rank, "source")).alias("first"), F.min(rank).alias("rank"))
 

@@ -44,3 +44,21 @@ def test_rings_of_a_hundred_thousand_vertices(spark):
     twice = spark.createDataFrame([(7, i, *p, *q) for i, (p, q) in enumerate(zip(star(9999, turns=2), star(9999, turns=2)[1:], strict=False))], "key long, n long, x1 double, y1 double, x2 double, y2 double")
     pairs = edge_index.self_crossings(twice).collect()
     assert pairs and all(r.i < r.j for r in pairs) and len({(r.i, r.j) for r in pairs}) == len(pairs)
+
+
+def test_long_edges_among_short_ones_meet_along_their_way(spark):
+    """Short steps and jumps right across them: jumps used to meet every short edge of their box."""
+    line = [(i * 0.001 % 0.2, (i // 200) * 0.0011 + i * 0.001 % 0.2) for i in range(3000)]
+    edges = [(0, n, *line[n], *line[n + 1]) for n in range(len(line) - 1)]
+    side = lambda e, x, y: (e[4] - e[2]) * (y - e[3]) - (e[5] - e[3]) * (x - e[2])
+    jumps = [e for e in edges if abs(e[4] - e[2]) > 0.01]
+    want = set()
+    for a in jumps:
+        for b in edges:
+            if abs(a[1] - b[1]) > 1 and side(a, b[2], b[3]) * side(a, b[4], b[5]) < 0 and side(b, a[2], a[3]) * side(b, a[4], a[5]) < 0:
+                want.add((min(a[1], b[1]), max(a[1], b[1])))
+    df = spark.createDataFrame(edges, "key int, n long, x1 double, y1 double, x2 double, y2 double")
+    got = [(r.i, r.j) for r in edge_index.self_crossings(df).collect()]
+    assert len(got) == len(set(got)) and {(i, j) for i, j in got if edges[i] in jumps or edges[j] in jumps} == want
+    cells = df.select(F.struct("x1", "y1", "x2", "y2").alias("e")).select(F.size(edge_index._passed(F.col("e"), F.lit(-8))).alias("n"))
+    assert cells.agg(F.sum("n")).first()[0] < 5 * len(edges)
