@@ -134,9 +134,9 @@ def stable_texts(spark, sf_dir):
     FIGURE_SQL + """ SELECT count(*) AS ids, count(*) AS features FROM (SELECT DISTINCT type, parts FROM f WHERE id % 2 = 0)""",
 )
 def geometry_identities(spark, sf_dir):
-    """Features without an id of their own are named by a hash of their geometry: as many names as geometries."""
+    """Features without an id of their own are named by hashes of their geometry: as many names as geometries, for which the short hash alone is too narrow."""
     f = figures(spark, sf_dir).where("id % 2 = 0").select(T.to_geojson(F.col("g")).alias("t")).distinct()
-    named = f.select(F.concat(F.lit("canonical:building:osm:"), S.fnv1a(F.col("t"))).alias("canonical_id"))
+    named = f.select(F.concat(F.lit("canonical:building:osm:"), S.fnv1a(F.col("t")), F.lit("-"), F.sha2("t", 256)).alias("canonical_id"))
     return named.agg(F.count_distinct("canonical_id").alias("ids"), F.count(F.lit(1)).alias("features"))
 
 

@@ -19,3 +19,10 @@ def test_clip_is_worked_out_once(spark):
 def test_rows_of_one_file_are_dealt_out(spark):
     got = QUERIES["ge12_clipped_to_box"].run(spark, "/root/testdata/sf0.001")
     assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_as_many_names_as_geometries(spark, tmp_path):
+    """Of 150,000 geometries some share a hash of 32 bits."""
+    spark.range(300_000).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    one = QUERIES["sf22_geometry_identities"].run(spark, str(tmp_path)).first()
+    assert one.ids == one.features > 100_000
