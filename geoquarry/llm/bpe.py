@@ -29,7 +29,9 @@ LEAF = 24
 #: Above every rank.
 NEVER = 1 << 60
 #: Memoised matches of a worker; beyond that it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
+#: Rows that a worker holds at once as Python objects and as results.
+ROWS = 128
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,7 +152,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, rank_path: str, patte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(*shared.value)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             n, ids, ids_sha, dec_sha = [], [], [], []
             for text in batch.column(len(keep)).to_pylist():
                 packed = bpe.encode_packed(text or "")

@@ -43,11 +43,19 @@ MEMO = 300_000
 
 def ngrams(word: str) -> list[int]:
     """Rows of the embedding table for one word."""
+    return sorted(_hashed(word))
+
+
+def _hashed(word: str) -> set[int]:
     w = f"<{word}>"
+    if w.isascii():  # bytes are characters, so parts need no encoding of their own
+        w = w.encode()
+        raw = {w}.union(*[[w[i : i + n] for i in range(len(w) - n + 1)] for n in range(SHORT, LONG + 1)])
+        return {g % BUCKETS for g in map(crc32, raw)}
     raw = {w}
     for n in range(SHORT, LONG + 1):
         raw.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return sorted({crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in raw})
+    return {crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in raw}
 
 
 def tokens(text: str | None) -> list[str]:
@@ -142,26 +150,30 @@ def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed:
     return folded
 
 
+class _Words(dict):
+    """Logit of each word met: the mean over its n-grams."""
+
+    def __init__(self, rows: list[float]):
+        self.rows = rows
+
+    def __missing__(self, w: str) -> float:
+        grams = _hashed(w)
+        found = math.fsum(map(self.rows.__getitem__, grams)) / len(grams)
+        if len(self) > MEMO:
+            self.clear()
+        self[w] = found
+        return found
+
+
 class Scorer:
     """Probability of class 1 for a text, by the folded table."""
 
     def __init__(self, folded: np.ndarray):
-        self.bias, self.rows, self.memo = float(folded[-1]), folded[:-1].astype(np.float64) * GAIN, {}
-
-    def _word(self, w: str) -> float:
-        found = float(self.rows[ngrams(w)].mean())
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo[w] = found
-        return found
+        self.bias, self.memo = float(folded[-1]), _Words((folded[:-1].astype(np.float64) * GAIN).tolist())
 
     def __call__(self, text: str | None) -> float:
-        words, memo = tokens(text), self.memo
-        total = 0.0
-        for w in words:
-            z = memo.get(w)
-            total += self._word(w) if z is None else z
-        z = self.bias + (total / len(words) if words else 0.0)
+        words = tokens(text)
+        z = self.bias + (sum(map(self.memo.__getitem__, words)) / len(words) if words else 0.0)
         return 1 / (1 + math.exp(-min(max(z, -700.0), 700.0)))
 
 
