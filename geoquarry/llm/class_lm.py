@@ -8,8 +8,8 @@ Emission uses every word's own count, however rare.
 At scale: texts are turned into word codes once, in a written table.  The
 ``HEAD`` most frequent words (of ``HEAD_BYTES`` at most) are coded by a broadcast
 table; all others get their code and count by a merge join.  Classes are a byte a
-unit, broadcast; so that this stays bounded, the count that makes a word a unit
-doubles where more than ``UNITS`` words have it.
+unit, broadcast for the first ``UNITS`` of them; those of further ones are a table
+that is joined (``exchange.Far``), with the same result.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from geoquarry.llm.exchange import cluster, flat
+from geoquarry.llm.exchange import Far, classes_at, cluster, flat
 from geoquarry.llm.words import id_bucket, whole
 from geoquarry.plans.staging import Staging
 
 CLASSES, OWN, HEAD, FAMILIES = 64, 4096, 1 << 17, 512
 #: A word is a unit of its own if it is seen so often, or is one of the ``OWN`` most frequent.
 LEAST = 3
-#: Bytes of a word that the driver may list, and units, whose classes are broadcast, at most.
+#: Bytes of a word that the driver may list, and units whose classes are broadcast, at most.
 HEAD_BYTES, UNITS = 64, 1 << 25
 SWEEPS = 3
 #: Smoothing of unigrams (base and emission) and of class transitions.
@@ -73,7 +73,7 @@ def family(word: bytes) -> int:
     return (tail[0] * 131 + tail[-1]) % FAMILIES
 
 
-def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, own: int = OWN, sweeps: int = SWEEPS, least: int = LEAST) -> DataFrame:
+def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, own: int = OWN, sweeps: int = SWEEPS, least: int = LEAST, most: int = UNITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) mod 10 is not 0 and scores
@@ -92,8 +92,6 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, n_words = total["n"] or 0, total["v"] or 0
     top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head).collect()  # a fixed number of rows of a fixed width
-    while counts.where(F.col("n") >= least).count() > UNITS:
-        least *= 2
     listed_words = [r["word"].encode("utf-8", "surrogatepass") for r in top]
     n_head = len(top)
     known_codes = n_head + FAMILIES
@@ -164,7 +162,10 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
     staging.drop(begun)
     code_of.destroy()
     staging.release()  # shuffles of the codes
-    classes_of, pairs, _ = cluster(encoded.where("train").select("codes"), unit_head, n_units, n_all, classes, sweeps)
+    near, far, texts = max(most, known_codes), None, encoded.withColumn("r", F.col("row.row"))
+    if n_units > near:
+        far = Far(texts, near, n_units, classes, staging)
+    classes_of, pairs, _ = cluster(texts.where("train").select(*["r"] * (far is not None), "codes"), unit_head, n_units, n_all, classes, sweeps, far)
 
     # counts of classes: head words by their codes, the others by the vocabulary's
     shared = spark.sparkContext.broadcast(classes_of)
@@ -172,12 +173,15 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
     def of_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(classes), np.zeros(classes)
         for b in batches:
-            c = shared.value[b.column(1).to_numpy()]
+            c = shared.value[np.minimum(b.column(1).to_numpy(), len(shared.value) - 1)]
+            if b.num_columns > 2:  # null for the codes below
+                c = np.where(b.column(2).is_null(), c, b.column(2).fill_null(0).to_numpy()).astype(np.int64)
             n += np.bincount(c, b.column(0).to_numpy(), classes)
             v += np.bincount(c, minlength=classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes), pa.int64()), pa.array(n.astype(np.int64)), pa.array(v.astype(np.int64))], names=["class", "n", "v"])
 
-    of_class = vocabulary.select("n", "code").mapInArrow(of_classes, "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    words = vocabulary.select("n", "code") if far is None else vocabulary.join(far.classes.hint("merge"), "code", "left").select("n", "code", "class")
+    of_class = words.mapInArrow(of_classes, "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     shared.destroy()
     n_class, v_class = np.zeros(classes), np.zeros(classes)
     for r in of_class:
@@ -202,7 +206,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
         for b in batches:
             u, starts = flat(b.column(1))
             first, n = starts[:-1], np.diff(starts)
-            c = m["classes"][u].astype(np.int64)
+            c = classes_at(u, m["classes"], b.column(4) if b.num_columns > 4 else None).astype(np.int64)
             before = np.concatenate([[classes], c[:-1]])[: len(c)]
             before[first] = classes
             own = m["base"][np.minimum(u, n_head)]
@@ -210,7 +214,8 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
             known, base, score = (np.add.reduceat(x, first) if len(u) else x for x in per_token)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), b.column(2), b.column(3)], names=["row", "n_tokens", "known", "base", "score", "rare_known", "rare_log"])
 
-    out = encoded.select("row", "codes", "rare_known", "rare_log").mapInArrow(sum_up, f"{row_type}, n_tokens long, known long, base double, score double, rare_known long, rare_log double")
+    coded = encoded.select("row", "codes", "rare_known", "rare_log") if far is None else far.met(texts.select("r", "row", "codes", "rare_known", "rare_log"))
+    out = coded.mapInArrow(sum_up, f"{row_type}, n_tokens long, known long, base double, score double, rare_known long, rare_log double")
     log = F.coalesce("rare_log", F.lit(0.0))
     scored = out.select(
         F.col("row.doc_id").alias("doc_id"),

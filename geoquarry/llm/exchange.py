@@ -13,7 +13,9 @@ caller allows, a bound on the time that is not the optimum's.
 At scale: a task counts how often units stand beside classes, packs the counts by
 parts of the units, a shuffle brings equal parts together, and each part's units
 move where they lie, from their sparse counts.  The driver holds the table of class
-pairs and one byte for each unit, its class, which is broadcast.
+pairs and one byte for each unit, its class, which is broadcast.  Units beyond a
+fixed number of these are ``Far``: their classes are a table, which joins bring to
+the texts, and no driver or task holds it.
 """
 
 from __future__ import annotations
@@ -48,14 +50,63 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, (at - at[0]) // 4
 
 
+def classes_at(codes: np.ndarray, near: np.ndarray, far: pa.Array | None) -> np.ndarray:
+    """Classes of word codes: of the first ones by ``near``, of the others in order as ``Far.met`` has brought them."""
+    if far is None:
+        return near[codes]
+    out = near[np.minimum(codes, len(near) - 1)]
+    out[codes >= len(near)] = far.flatten().to_numpy()
+    return out
+
+
+def _coded(b: pa.RecordBatch, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a batch of texts, where each text starts, and their classes."""
+    codes, starts = flat(b.column(0))
+    return codes, starts, classes_at(codes, near, b.column(1) if b.num_columns > 1 else None)
+
+
+class Far:
+    """Units from ``near`` on, whose classes are a table (code, class) instead of broadcast; ``rows`` are all texts as r, codes."""
+
+    def __init__(self, rows: DataFrame, near: int, n_units: int, k: int, staging: Staging):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                codes, starts = flat(b.column(1))
+                at = np.flatnonzero(codes >= near)
+                row = np.repeat(b.column(0).to_numpy(), np.diff(starts))[at]
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(codes[at], pa.int64())], names=["r", "i", "code"])
+
+        self.near, self.staging = near, staging
+        self.places = staging.cut(rows.select("r", "codes").mapInArrow(run, "r long, i long, code long"), "far-places")  # i rises within a row
+        first = rows.sparkSession.range(near, n_units)
+        self.classes = staging.cut(first.select(F.col("id").alias("code"), (F.col("id") % k).cast("int").alias("class")), "far")
+
+    def met(self, rows: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+        """``rows`` with a column ``far`` in place of r: the classes of their far codes in order, null without any."""
+        classes = self.classes if classes is None else classes
+        found = self.places.join(classes.hint("merge"), "code").groupBy("r").agg(F.sort_array(F.collect_list(F.struct("i", "class"))).alias("got"))
+        return rows.join(found.hint("merge"), "r", "left").select(*[c for c in rows.columns if c != "r"], F.col("got.class").alias("far"))
+
+    def after(self, went: DataFrame) -> DataFrame:
+        """Classes once the units of ``went`` (packed units and classes) have moved."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for u, c in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(u, np.int64)), pa.array(np.frombuffer(c, np.uint8), pa.int32())], names=["code", "to"])
+
+        to = went.mapInArrow(run, "code long, to int")
+        return self.staging.cut(self.classes.join(to.hint("merge"), "code", "left").select("code", F.coalesce("to", "class").alias("class")), "far")
+
+
 def pair_counts(encoded: DataFrame, class_of, k: int) -> np.ndarray:
     """(k + 1, k): how often a class follows a class, or a text's start (the last row); partial sums, then k * (k + 1) numbers to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1) * k, np.int64)
         for b in batches:
-            u, starts = flat(b.column(0))
-            c = class_of.value[u].astype(np.int64)
+            _, starts, c = _coded(b, class_of.value)
+            c = c.astype(np.int64)
             before = np.concatenate([[k], c[:-1]])[: len(c)]
             before[starts[:-1][starts[:-1] < len(c)]] = k
             total += np.bincount(before * k + c, minlength=len(total))
@@ -102,7 +153,11 @@ def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def beside(encoded: DataFrame, class_of, unit_head, k: int, parts: int, turn: int, turns: int) -> DataFrame:
-    """part, keys, counts: of units that are ``turn`` modulo ``turns``, unit * 2k + class before it, or + k + class behind it, and how often; packed by each task."""
+    """part, keys, counts: of units that are ``turn`` modulo ``turns``, unit * 2k + class before it, or + k + class behind it, and how often; packed by each task.
+
+    With far units a unit has 3k keys, the last k for its own class, which its part cannot look up.
+    """
+    width = 2 * k if len(encoded.columns) == 1 else 3 * k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, head = class_of.value, unit_head.value
@@ -112,7 +167,7 @@ def beside(encoded: DataFrame, class_of, unit_head, k: int, parts: int, turn: in
             found = np.sort(np.concatenate(keys))
             first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
             at, n = found[first], np.diff(np.append(first, len(found)))
-            part = (at // (2 * k * turns) % parts).astype(np.min_scalar_type(parts))  # narrow numbers sort by radix
+            part = (at // (width * turns) % parts).astype(np.min_scalar_type(parts))  # narrow numbers sort by radix
             order = np.argsort(part, kind="stable")
             at, n, part = at[order], n[order], part[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -120,19 +175,23 @@ def beside(encoded: DataFrame, class_of, unit_head, k: int, parts: int, turn: in
                 yield _packed(int(part[i]), at[i:j], n[i:j])
 
         for b in batches:
-            codes, starts = flat(b.column(0))
+            codes, starts, c = _coded(b, of)
             if len(codes) < 2:
                 continue
-            u, c = codes.copy(), of[codes]
+            u = codes.copy()
             if len(head):
                 np.copyto(u, head[np.minimum(codes, len(head) - 1)], where=codes < len(head), casting="same_kind")
             follows = np.ones(len(u), bool)  # a word that starts a text has none before it
             follows[starts[:-1]] = False
             mine = u % turns == turn
             second, first = follows[1:] & mine[1:], follows[1:] & mine[:-1]
-            keys.append(u[1:][second].astype(np.int64) * (2 * k) + c[:-1][second])
-            keys.append(u[:-1][first].astype(np.int64) * (2 * k) + (c[1:][first].astype(np.int64) + k))
+            keys.append(u[1:][second].astype(np.int64) * width + c[:-1][second])
+            keys.append(u[:-1][first].astype(np.int64) * width + (c[1:][first].astype(np.int64) + k))
             held += len(keys[-2]) + len(keys[-1])
+            if width > 2 * k:
+                own = u.astype(np.int64) * width + (c.astype(np.int64) + 2 * k)
+                keys += [own[1:][second], own[:-1][first]]
+                held += len(keys[-2]) + len(keys[-1])
             if held > PACK:
                 yield from pack()
                 keys, held = [], 0
@@ -219,18 +278,34 @@ def best_classes(at: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarra
     return units, best
 
 
-def moved(encoded: DataFrame, class_of: np.ndarray, unit_head, pairs: np.ndarray, turn: int, turns: int, parts: int) -> np.ndarray:
-    """Classes of all units after those that are ``turn`` modulo ``turns`` went where each does best; codes and classes of the movers come back."""
+def _told_classes(at: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_classes`` of keys that tell the units' own classes, and these classes."""
+    k = len(pairs)
+    unit, slot = at // (3 * k), at % (3 * k)
+    told = slot >= 2 * k
+    units, own = unit[told], (slot[told] - 2 * k).astype(np.uint8)  # each unit is told one class, in order of units
+    local, best = best_classes(np.searchsorted(units, unit[~told]) * (2 * k) + slot[~told], n[~told], own, pairs)
+    return units[local], best, own[local]
+
+
+def moved(encoded: DataFrame, class_of: np.ndarray, unit_head, pairs: np.ndarray, turn: int, turns: int, parts: int, far: Far | None = None) -> tuple[np.ndarray, DataFrame | None]:
+    """Classes of all units after those that are ``turn`` modulo ``turns`` went where each does best; codes and classes of the movers come back, those of far units as a table."""
     k, spark = len(pairs), encoded.sparkSession.sparkContext
-    shared = spark.broadcast(class_of)
+    shared, near = spark.broadcast(class_of), len(class_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, keys, counts = None, [], []
 
         def done():
-            units, best = best_classes(*_added(keys, counts), shared.value, pairs)
-            go = best != shared.value[units]
-            return pa.RecordBatch.from_arrays([pa.array([units[go].tobytes()], pa.binary()), pa.array([best[go].tobytes()], pa.binary())], names=["units", "classes"])
+            at, n = _added(keys, counts)
+            if far_units:
+                units, best, own = _told_classes(at, n, pairs)
+            else:
+                units, best = best_classes(at, n, shared.value, pairs)
+                own = shared.value[units]
+            kinds = [(best != own) & (units < near), (best != own) & (units >= near)]
+            packed = [[x[go].tobytes() for go in kinds] for x in (units, best)]
+            return pa.RecordBatch.from_arrays([pa.array([False, True]), *[pa.array(x, pa.binary()) for x in packed]], names=["far", "units", "classes"])
 
         for b in batches:
             for p, x, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -247,19 +322,28 @@ def moved(encoded: DataFrame, class_of: np.ndarray, unit_head, pairs: np.ndarray
         if part is not None:
             yield done()
 
+    far_units = far is not None
     packed = beside(encoded, shared, unit_head, k, parts, turn, turns).repartition(parts, "part").sortWithinPartitions("part")
+    went, tail = packed.mapInArrow(run, "far boolean, units binary, classes binary"), None
+    if far_units:
+        went = far.staging.cut(went, "went")
+        tail = far.after(went.where("far").select("units", "classes"))
     out = class_of.copy()
-    for r in packed.mapInArrow(run, "units binary, classes binary").toLocalIterator():
+    for r in went.where("NOT far").toLocalIterator():
         out[np.frombuffer(r["units"], np.int64)] = np.frombuffer(r["classes"], np.uint8)
     shared.destroy()
-    return out
+    if far_units:
+        far.staging.drop(went)
+    return out, tail
 
 
-def cluster(encoded: DataFrame, unit_head: np.ndarray, n_units: int, n_tokens: int, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def cluster(encoded: DataFrame, unit_head: np.ndarray, n_units: int, n_tokens: int, classes: int, sweeps: int, far: Far | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Class of each word code, class bigram counts with the text start as an extra row, and the objective at first and after each kept step.
 
     ``encoded`` has the word codes of each training text as packed int32;
-    ``unit_head`` maps the first codes to units, all others are units themselves.
+    ``unit_head`` maps the first codes to units, all others are units themselves.  With
+    ``far`` the classes returned are those of the codes below ``far.near``; the
+    others' are in ``far.classes``, and ``encoded`` has r beside the codes.
     """
     k, spark = classes, encoded.sparkSession.sparkContext
     if k > 256:
@@ -272,21 +356,30 @@ def cluster(encoded: DataFrame, unit_head: np.ndarray, n_units: int, n_tokens: i
         class_of[: len(unit_head)] = class_of[unit_head]
         return class_of
 
-    class_of = spread((np.arange(n_units) % k).astype(np.uint8))  # round robin by rank: every class starts with words of all frequencies
-    pairs = pair_counts(encoded, spark.broadcast(class_of), k)
+    class_of = spread((np.arange(n_units if far is None else far.near) % k).astype(np.uint8))  # round robin by rank: every class starts with words of all frequencies
+    texts = encoded if far is None else staging.cut(far.met(encoded), "texts")
+    pairs = pair_counts(texts, spark.broadcast(class_of), k)
     history, idle, turns = [objective(pairs[:k])], 0, 2
     for step in range(2 * sweeps):
-        tried = spread(moved(encoded, class_of, heads, pairs[:k], step % turns, turns, parts))
-        new = pair_counts(encoded, spark.broadcast(tried), k)
+        tried, tail = moved(texts, class_of, heads, pairs[:k], step % turns, turns, parts, far)
+        tried = spread(tried)
+        seen = texts if far is None else staging.cut(far.met(encoded, tail), "texts")
+        new = pair_counts(seen, spark.broadcast(tried), k)
         up = objective(new[:k]) - history[-1]
         if up > 0:
             class_of, pairs = tried, new
             history.append(history[-1] + up)
         else:
             turns = min(2 * turns, 16)
+        if far is not None:
+            kept = (seen, tail) if up > 0 else (texts, far.classes)
+            staging.drop(*((texts, far.classes) if up > 0 else (seen, tail)))
+            texts, far.classes = kept
         idle = 0 if up > LEAST_GAIN * n_tokens else idle + 1
         staging.release()  # the step's counts
         if idle == turns:
             break
     heads.destroy()
+    if far is not None:
+        staging.drop(texts)
     return class_of, pairs, history

@@ -70,3 +70,18 @@ def test_rare_words_move_by_their_own_contexts(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = [r for r in score_documents(df, classes=8, head=2, own=1).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
+
+
+def test_units_beyond_those_broadcast_keep_their_classes(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(300):
+        tongue = rnd.choice("abcd")
+        rows.append((i, " ".join(f"{tongue}{rnd.randrange(60)}zz" for _ in range(rnd.randrange(1, 40))), 1, "w"))
+    rows += [(900, None, 1, "w"), (901, "new a1zz", 1, "w")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    key = lambda r: r.doc_id
+    whole = sorted(score_documents(df, classes=8, head=2, own=1).collect(), key=key)
+    few = sorted(score_documents(df, classes=8, head=2, own=1, most=600).collect(), key=key)  # 240 words are units, all but 86 far
+    assert [r.doc_id for r in few] == [r.doc_id for r in whole]
+    assert all(abs(a.score - b.score) < 1e-9 * abs(a.score) for a, b in zip(whole, few, strict=True))
