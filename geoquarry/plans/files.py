@@ -258,7 +258,7 @@ def dxf_shapes(spark, sf_dir):
     layer = F.concat(F.lit("l"), (F.col("id") % 3).cast("string"))
     body = T.to_dxf(F.col("g"), layer, F.lit(7.5))
     section = F.concat(F.array(F.lit("0"), F.lit("SECTION"), F.lit("2"), F.lit("ENTITIES")), body, F.array(F.lit("0"), F.lit("ENDSEC")))
-    f.select(F.array_join(section, "\n")).write.text(at)
+    f.select(F.array_join(section, "\n")).write.option("maxRecordsPerFile", 20_000).text(at)  # a file is read whole by one task
     d = formats.read_dxf(spark, at)
     return d.groupBy(F.get_json_object("properties", "$.layer").alias("layer"), "g.type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(G.positions(F.col("g"))[0]["lat"]), 6).alias("lat"))
 

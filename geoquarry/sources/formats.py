@@ -7,6 +7,8 @@ so large inputs should come as many files.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Accepted names of coordinate columns, in order of preference; nodata default of grids.
@@ -216,9 +218,9 @@ def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [{"file": name.rsplit("/", 1)[-1], **r} for r in decode(data.as_py())]
-                for lo in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_pylist(rows[lo : lo + 4096], schema=kinds)
+                rows = iter(decode(data.as_py()))
+                while some := [{"file": name.rsplit("/", 1)[-1], **r} for r in itertools.islice(rows, 4096)]:
+                    yield pa.RecordBatch.from_pylist(some, schema=kinds)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, DECODED)
 
