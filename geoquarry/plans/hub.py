@@ -401,12 +401,14 @@ def priority_plans(spark, sf_dir):
 )
 def first_available(spark, sf_dir):
     """Of the sources that have a building, the one that each role takes first, and its priority (10000 if the role doesn't list it)."""
-    p = spark.createDataFrame([(r, s, int(n)) for r, s, n in _RANKED], "role string, source string, rank int")
-    roles = F.explode(F.array(*[F.lit(r) for r in RANKS]))
     c = spread(fixtures.candidates(spark, sf_dir).select("building_id", "source"), "building_id")  # groups below stay where they are
-    j = c.select("building_id", "source", roles.alias("role")).join(F.broadcast(p), ["role", "source"], "left")  # a row for each listed source
-    rank = F.coalesce("rank", F.lit(10000))
-    return j.groupBy("building_id", "role").agg(F.count(F.lit(1)).alias("available"), F.min_by("source", F.struct(rank, "source")).alias("first"), F.min(rank).alias("rank"))
+    best = []
+    for role, sources in RANKS.items():
+        rank = F.create_map(*[F.lit(x) for s in sources for x in (s.rsplit(":", 1)[0], int(s.rsplit(":", 1)[1]))])[F.col("source")]
+        best.append(F.min(F.struct(F.coalesce(rank, F.lit(10000)).alias("rank"), F.col("source").alias("first"))).alias(role))
+    b = c.groupBy("building_id").agg(F.count(F.lit(1)).alias("available"), *best)  # a group for each building, not for each of its roles
+    roles = F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r)["first"].alias("first"), F.col(r)["rank"].alias("rank")) for r in RANKS]))
+    return b.select("building_id", "available", roles).select("building_id", "role", "available", "first", "rank")
 
 
 @query(

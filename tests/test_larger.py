@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G
 from geoquarry.operators import spatial
+from geoquarry.plans import hub
 from geoquarry.sources import binary
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +28,11 @@ def test_dxf_entities_are_read_one_after_the_other():
     assert n == 40_000 and peak < 2 * len(data)
 
 
+def test_roles_make_no_groups_of_their_own(spark):
+    lines = [x for x in plan_of(hub.first_available(spark, SF)) if "Aggregate [" in x]
+    assert len(lines) == 1 and "Aggregate [building_id" in lines[0] and "role" not in lines[0].split("]")[0]
+
+
 def test_territory_candidates_are_dealt_before_rings_are_tested(spark):
     box = lambda w, s, e, n: F.array(G.point(F.lit(w), F.lit(s)), G.point(F.lit(e), F.lit(s)), G.point(F.lit(e), F.lit(n)), G.point(F.lit(w), F.lit(n)), G.point(F.lit(w), F.lit(s)))
     spot = G.geometry("Point", F.array(F.array(F.array(G.point(F.col("id") * 0.1, F.lit(0.5))))))
