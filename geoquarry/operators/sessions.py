@@ -36,17 +36,17 @@ def first_by_either(rows: DataFrame, order: str, keys: tuple[str, str], staging:
     """
     a, b = keys
     every = staging.cut(rows.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b")), "rows")
-    links = None
-    for k in ("a", "b"):  # each row to the first of its key: as many links as rows
-        least = every.groupBy(F.col(k).alias("k")).agg(F.min("o").alias("b"))
-        met = every.select(F.col("o").alias("a"), F.col(k).alias("mine")).join(least.hint("merge"), F.col("mine").eqNullSafe(F.col("k"))).select("a", "b")
-        links = met if links is None else links.unionByName(met)
-    of = components(links, staging).withColumnRenamed("id", "o")
-    small, large = by_size(every.join(of, "o", "left").withColumn("component", F.coalesce("component", "o")), bound)
+    # keys are the nodes and rows the edges, so as many edges as pairs of keys; keys of equal hashes only make a component larger
+    node = lambda i, k: F.xxhash64(F.lit(i), F.col(k))
+    of = components(every.select(node(0, "a").alias("a"), node(1, "b").alias("b")).distinct(), staging)
+    met = every.join(of.hint("merge"), node(0, "a") == F.col("id"), "left")
+    placed = staging.cut(met.select("o", "a", "b", F.coalesce("component", node(0, "a")).alias("component")), "placed")
+    small, large = by_size(placed, bound)
     field = every.schema["o"]
-    stay = small.groupBy("component").applyInArrow(_walk(_arrow(field.dataType)), f"o {field.dataType.simpleString()}")
     large = staging.cut(large.select("o", "a", "b"), "undecided")
-    if not large.isEmpty():
+    some = not large.isEmpty()
+    stay = (small if some else placed).groupBy("component").applyInArrow(_walk(_arrow(field.dataType)), f"o {field.dataType.simpleString()}")
+    if some:
         stay = stay.unionByName(_in_rounds(large, staging))
     return stay.select(F.col("o").alias(order))
 

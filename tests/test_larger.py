@@ -5,8 +5,10 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G
-from geoquarry.operators import spatial
+from geoquarry.operators import sessions, spatial
+from geoquarry.operators.components import components
 from geoquarry.plans import hub
+from geoquarry.plans.staging import Staging
 from geoquarry.sources import binary
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +46,11 @@ def test_territory_candidates_are_dealt_before_rings_are_tested(spark):
     lines = plan_of(met)
     first = lambda kind: next(i for i, x in enumerate(lines) if kind in x)
     assert first("RepartitionByExpression") < first("Join")
+
+
+def test_links_of_sessions_are_pairs_of_keys_and_not_rows(spark, monkeypatch):
+    df = spark.range(600).select("id", F.concat(F.lit("a"), F.col("id") % 3).alias("a"), F.when(F.col("id") % 2 == 0, "b").alias("b"))
+    seen = []
+    monkeypatch.setattr(sessions, "components", lambda edges, staging: seen.append(edges.count()) or components(edges, staging))
+    stay = sessions.first_by_either(df, "id", ("a", "b"), Staging(spark, "t"))
+    assert sorted(r.id for r in stay.collect()) == [0, 1] and seen == [6]
