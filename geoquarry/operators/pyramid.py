@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from geoquarry.functions import geometries as G, tiles
-from geoquarry.operators.shapes import off_base
+from geoquarry.operators import shapes
 
 WEIGHTS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 
@@ -29,37 +30,26 @@ def lod_tolerance(zoom: int, max_zoom: int, base: float = 2.0) -> float:
 
 def significance(pts: np.ndarray) -> np.ndarray:
     """For each position of a line the tolerance below which simplification keeps it; ends stay at any."""
-    out = np.zeros(len(pts))
-    out[[0, -1]] = np.inf
-    todo = [(0, len(pts) - 1, np.inf)]
-    while todo:
-        a, b, cap = todo.pop()
-        if b - a < 2:
-            continue
-        off = off_base(pts, a, b)
-        k = int(off.argmax())
-        held = min(cap, off[k])  # a vertex stays only if the splits above it are made
-        if held > 0:
-            out[a + 1 + k] = held
-            todo += [(a, a + 1 + k, held), (a + 1 + k, b, held)]
-    return out
+    return shapes.significances(pts, np.array([len(pts)]), np.zeros(1))
 
 
 @F.arrow_udf(WEIGHTS)
 def _weights(parts: pa.Array, drawn: pa.Array) -> pa.Array:
-    def of(line, is_drawn):
-        if not is_drawn or len(line) <= 2:
-            return [float("inf")] * len(line)
-        return significance(np.array(line, float)).tolist()
-
-    rows = zip(parts.to_pylist(), drawn.to_pylist(), strict=True)
-    return pa.array([None if ps is None else [[of(line, d) for line in part] for part in ps] for ps, d in rows], pa.list_(pa.list_(pa.list_(pa.float64()))))
+    lines = parts.flatten()
+    paths = lines.flatten()
+    places = paths.flatten()
+    n_lines, n_paths, n_places = shapes.lengths(parts), shapes.lengths(lines), shapes.lengths(paths)
+    pts = np.stack([pc.struct_field(places, name).to_numpy(zero_copy_only=False).astype(float) for name in ("lon", "lat")], 1)
+    simple = ~pc.fill_null(drawn, False).to_numpy(zero_copy_only=False).astype(bool)
+    simple = np.repeat(np.repeat(simple, n_lines), n_paths)
+    w = shapes.significances(pts, n_places, np.where(simple, np.inf, 0.0))
+    w[np.repeat(simple, n_places)] = np.inf
+    return shapes.listed(shapes.listed(shapes.listed(pa.array(w, pa.float64()), n_places, paths.is_null()), n_paths, lines.is_null()), n_lines, parts.is_null())
 
 
 def weights(g: Column) -> Column:
     """Significance of each position of a geometry, nested as its parts; points and lines of two positions are never simplified.  Null gives null."""
-    numbers = F.transform(g["parts"], lambda part: F.transform(part, lambda line: F.transform(line, lambda p: F.array(p["lon"], p["lat"]))))
-    return _weights(numbers, G.is_area(g) | G.is_line(g))
+    return _weights(g["parts"], G.is_area(g) | G.is_line(g))
 
 
 def simplified(g: Column, weight: Column, tolerance: Column | float) -> Column:

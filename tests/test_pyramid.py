@@ -54,3 +54,24 @@ def test_tiles_of_simplified_geometry(spark):
     assert all(by[k].same == by[k].g for k in lines)
     assert [(p.lon, p.lat) for p in by[1].s.parts[0][0]] == [tuple(p) for p in shapes.simplified(np.array(lines[1][1][0][0]), 50.0).tolist()]
     assert by[3].s == by[3].g and by[6].s is None
+
+
+def test_lines_split_together_are_as_split_alone(monkeypatch):
+    monkeypatch.setattr(shapes, "TOGETHER", 100)  # several groups, lines longer than one
+    lines = [np.array(wiggle(n, n, closed=n % 3 == 0)) for n in (1, 2, 3, 70, 5, 240, 9, 1, 33)] + [np.array([[1.0, 1.0]] * 5), np.array(wiggle(40, 1)).round(3)]
+    pts, sizes = np.concatenate(lines), np.array([len(x) for x in lines])
+    weight = shapes.significances(pts, sizes, np.zeros(len(lines)))
+    for tolerance in (0.5, 10, 77.7, 1e4):
+        want = np.concatenate([shapes.simplified(x, tolerance) for x in lines])
+        assert (pts[weight > tolerance] == want).all()
+        assert (pts[shapes.significances(pts, sizes, np.full(len(lines), tolerance)) > 0] == want).all()
+    assert len(shapes.significances(pts[:0], sizes[:0], np.zeros(0))) == 0
+
+
+def test_weights_follow_the_nesting_with_its_nulls(spark):
+    at = [{"lon": x, "lat": y} for x, y in wiggle(6, 9)]
+    rows = [(1, "Polygon", [[at, []], []]), (2, "LineString", [[None, at[:2]], None]), (3, "MultiPoint", [[at[:1]], [at[1:3]]]), (4, "LineString", None), (5, None, [[at]])]
+    f = spark.createDataFrame(rows, "id long, t string, parts array<array<array<struct<lon:double,lat:double>>>>").select("id", G.geometry(F.col("t"), F.col("parts")).alias("g"))
+    got = {r.id: r.w for r in f.coalesce(1).select("id", pyramid.weights(F.col("g")).alias("w")).collect()}
+    inf, six = math.inf, pyramid.significance(np.array(wiggle(6, 9))).tolist()
+    assert got == {1: [[six, []], []], 2: [[None, [inf, inf]], None], 3: [[[inf]], [[inf, inf]]], 4: None, 5: [[[inf] * 6]]}
