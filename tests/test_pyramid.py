@@ -75,3 +75,10 @@ def test_weights_follow_the_nesting_with_its_nulls(spark):
     got = {r.id: r.w for r in f.coalesce(1).select("id", pyramid.weights(F.col("g")).alias("w")).collect()}
     inf, six = math.inf, pyramid.significance(np.array(wiggle(6, 9))).tolist()
     assert got == {1: [[six, []], []], 2: [[None, [inf, inf]], None], 3: [[[inf]], [[inf, inf]]], 4: None, 5: [[[inf] * 6]]}
+
+
+def test_simplify_keeps_nulls_and_whole_lines(spark):
+    line = [list(p) for p in wiggle(8, 4)]
+    df = spark.createDataFrame([(1, line, 0.0), (2, None, 5.0), (3, [], 5.0), (4, line[:1], 5.0), (5, [[*p, 7.0] for p in line], None), (6, line, 60.0)], "id long, l array<array<double>>, t double").coalesce(1)
+    got = {r.id: r.s for r in df.select("id", shapes.simplify("l", "t").alias("s")).collect()}
+    assert got == {1: line, 2: None, 3: None, 4: line[:1], 5: line, 6: shapes.simplified(np.array(line), 60.0).tolist()}
