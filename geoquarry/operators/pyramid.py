@@ -5,9 +5,11 @@ tolerance; only how far it goes depends on it.  So one pass gives every vertex
 the largest tolerance at which it still stays, and each zoom is a filter of the
 same vertices.  Features are held once, with a weight for each vertex.
 
-At scale: weights are made row by row where the geometry lies.  Tiles are counted
-by a partial aggregation over (zoom, x, y), so a low zoom, whose one tile all
-vertices touch, costs a row for each task.
+At scale: weights are made batch by batch where the geometry lies.  A vertex is
+counted once, in its tile of the largest zoom and with the first zoom at which it
+stays; zooms are made of these counts, not of vertices.  Partial aggregations go
+before both shuffles, so a low zoom, whose one tile all vertices touch, costs a row
+for each task.
 """
 
 from __future__ import annotations
@@ -65,6 +67,12 @@ def vertices(features: DataFrame, key: str) -> DataFrame:
     return features.withColumn("w", weights(F.col("g"))).select(key, F.inline(flat).alias("p", "weight")).select(key, "p.lon", "p.lat", "weight")
 
 
+def first_zoom(weight: Column, min_zoom: int, max_zoom: int, base: float = 2.0) -> Column:
+    """The least zoom at which a position stays, as it then does at all above; null if it never does."""
+    tolerances = [(z, lod_tolerance(z, max_zoom, base)) for z in range(min_zoom, max_zoom + 1)]
+    return F.coalesce(*[F.when((weight > t) | F.lit(t <= 0), F.lit(z)) for z, t in tolerances])
+
+
 def levels(features: DataFrame, min_zoom: int, max_zoom: int, base: float = 2.0, key: str = "id") -> DataFrame:
     """zoom, x, y, tolerance_m, vertices: the tiles that the geometries ``g`` cover when simplified for each zoom.
 
@@ -74,10 +82,11 @@ def levels(features: DataFrame, min_zoom: int, max_zoom: int, base: float = 2.0,
     """
     if not 0 <= min_zoom <= max_zoom:
         raise ValueError("zooms go from 0 up")
-    def at(z):
-        t = lod_tolerance(z, max_zoom, base)
-        tile = F.struct(F.lit(z).alias("zoom"), tiles.tile_x(F.col("lon"), z).alias("x"), tiles.tile_y(F.col("lat"), z).alias("y"), F.lit(t).alias("tolerance_m"))
-        return F.when((F.col("weight") > t) | F.lit(t <= 0), tile)
-
-    v = vertices(features, key).select(F.inline(F.array_compact(F.array(*[at(z) for z in range(min_zoom, max_zoom + 1)]))))
-    return v.groupBy("zoom", "x", "y", "tolerance_m").agg(F.count(F.lit(1)).alias("vertices"))
+    zoom = F.col("zoom")
+    x, y = tiles.tile_x(F.col("lon"), max_zoom).alias("x"), tiles.tile_y(F.col("lat"), max_zoom).alias("y")
+    v = vertices(features, key).select(x, y, first_zoom(F.col("weight"), min_zoom, max_zoom, base).alias("first")).where("first IS NOT NULL")
+    held = v.groupBy("x", "y", "first").agg(F.count(F.lit(1)).alias("n"))
+    above = held.select("x", "y", "n", F.explode(F.sequence("first", F.lit(max_zoom))).alias("zoom"))
+    tile = [F.call_function("shiftright", F.col(c), F.lit(max_zoom) - zoom).alias(c) for c in "xy"]  # a tile's parent is half of it, the clamped ones' too
+    tolerance = F.get(F.array(*[F.lit(lod_tolerance(z, max_zoom, base)) for z in range(max_zoom + 1)]), zoom)
+    return above.select("zoom", *tile, tolerance.alias("tolerance_m"), "n").groupBy("zoom", "x", "y", "tolerance_m").agg(F.sum("n").alias("vertices"))

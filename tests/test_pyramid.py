@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G
 from geoquarry.operators import pyramid, shapes
+from geoquarry.plans.registry import QUERIES
 
 
 def wiggle(n, seed, closed=False):
@@ -77,6 +78,14 @@ def test_weights_follow_the_nesting_with_its_nulls(spark):
     assert got == {1: [[six, []], []], 2: [[None, [inf, inf]], None], 3: [[[inf]], [[inf, inf]]], 4: None, 5: [[[inf] * 6]]}
 
 
+def test_zooms_are_made_of_counts_and_not_of_vertices(spark):
+    for name in ("tp6_pyramid_levels",):
+        df = QUERIES[name].run(spark, "/root/testdata/sf0.001")
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        zooms = next(i for i, x in enumerate(lines) if "Generate explode" in x or "Generate inline" in x)
+        assert any("Aggregate [" in x and "first" in x for x in lines[zooms:]), name
+
+
 def test_simplify_keeps_nulls_and_whole_lines(spark):
     line = [list(p) for p in wiggle(8, 4)]
     df = spark.createDataFrame([(1, line, 0.0), (2, None, 5.0), (3, [], 5.0), (4, line[:1], 5.0), (5, [[*p, 7.0] for p in line], None), (6, line, 60.0)], "id long, l array<array<double>>, t double").coalesce(1)
