@@ -79,7 +79,7 @@ def test_weights_follow_the_nesting_with_its_nulls(spark):
 
 
 def test_zooms_are_made_of_counts_and_not_of_vertices(spark):
-    for name in ("tp6_pyramid_levels",):
+    for name in ("tp6_pyramid_levels", "sf33_lod_tolerance"):
         df = QUERIES[name].run(spark, "/root/testdata/sf0.001")
         lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         zooms = next(i for i, x in enumerate(lines) if "Generate explode" in x or "Generate inline" in x)
