@@ -26,3 +26,8 @@ def test_as_many_names_as_geometries(spark, tmp_path):
     spark.range(300_000).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     one = QUERIES["sf22_geometry_identities"].run(spark, str(tmp_path)).first()
     assert one.ids == one.features > 100_000
+
+
+def test_territory_is_worked_out_once(spark):
+    cut = str(G.in_territory(F.col("figure"), F.col("outline")))
+    assert cut.count("outline") == 2  # its box and its edges, not at each test of a point
