@@ -31,3 +31,8 @@ def test_as_many_names_as_geometries(spark, tmp_path):
 def test_territory_is_worked_out_once(spark):
     cut = str(G.in_territory(F.col("figure"), F.col("outline")))
     assert cut.count("outline") == 2  # its box and its edges, not at each test of a point
+
+
+def test_half_chords_are_worked_out_once(spark):
+    metres = str(rings.length(F.col("line")))
+    assert metres.lower().count("cos(") == 2  # of both latitudes; the squared half chord was written out twice
