@@ -89,15 +89,15 @@ def _ring_area(r):
 )
 def measures(spark, sf_dir):
     """Length, area less holes, the measures that are 0 for other types, box, centroid and reference point."""
-    g = F.col("g")
-    return figures(spark, sf_dir).select(
+    g, m = F.col("g"), F.col("m")
+    return figures(spark, sf_dir).select("id", "g", G.length(g).alias("m"), G.bbox(g).alias("box")).select(
         "id",
         "g.type",
-        F.round(G.length(g), 3).alias("length_m"),
+        F.round(m, 3).alias("length_m"),
         F.round(G.area(g), 1).alias("area_m2"),
-        F.round(G.line_length(g), 3).alias("line_m"),
-        G.bbox(g)["west"].alias("west"),
-        G.bbox(g)["north"].alias("north"),
+        F.round(G.line_length(g, m), 3).alias("line_m"),
+        F.col("box.west").alias("west"),
+        F.col("box.north").alias("north"),
         F.round(G.centroid(g)["lon"], 7).alias("centroid_lon"),
         F.round(G.reference_point(g)["lat"], 7).alias("reference_lat"),
     )

@@ -36,3 +36,8 @@ def test_territory_is_worked_out_once(spark):
 def test_half_chords_are_worked_out_once(spark):
     metres = str(rings.length(F.col("line")))
     assert metres.lower().count("cos(") == 2  # of both latitudes; the squared half chord was written out twice
+
+
+def test_lengths_of_figures_are_worked_out_once(spark):
+    plan = QUERIES["ge4_ge5_figure_measures"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("atan2(") == 1
