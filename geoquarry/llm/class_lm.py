@@ -5,20 +5,21 @@ seen ``LEAST`` times or more is a unit that moves by its own contexts.  Rarer wo
 and words never seen share the class of their family (their last two bytes).
 Emission uses every word's own count, however rare.
 
-At scale: texts are turned into word codes once, in a written table.  The
-``HEAD`` most frequent words (of ``HEAD_BYTES`` at most) are coded by a broadcast
-table; all others get their code and count by a merge join.  Classes are a byte a
+At scale: texts are turned into word codes once, in a written table.  Words are
+numbered by Arrow, a pack of texts at a time (``number_words``), and looked up once a
+pack: the ``HEAD`` most frequent words (of ``HEAD_BYTES`` at most) in a broadcast
+list; all others get their code and count by a merge join.  Classes are a byte a
 unit, broadcast for the first ``UNITS`` of them; those of further ones are a table
 that is joined (``exchange.Far``), with the same result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from geoquarry.llm.exchange import Far, classes_at, cluster, flat
@@ -33,36 +34,46 @@ HEAD_BYTES, UNITS = 64, 1 << 25
 SWEEPS = 3
 #: Smoothing of unigrams (base and emission) and of class transitions.
 ADD, ADD_CLASS = 0.1, 0.05
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 100_000
+#: Bytes of the texts whose words are counted, or coded, together; a longer text is alone.
+COUNTED, PACK = 8 << 20, 2 << 20
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words of a text (A-Z lower-cased, split at ASCII white space), then the end."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), b"\n"]
+def packs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that are ``most`` bytes of text together, or one row."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), "right")))
+        yield lo, hi
+        lo = hi
 
 
-def _word(b: bytes) -> str:
-    return b.decode("utf-8", "surrogatepass")
+def number_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of all tokens of texts, where each text starts (and the last ends), and the words that have the numbers.
+
+    Tokens are words (A-Z lower-cased, split at ASCII white space), then the end, which is
+    the last number.  A number of the empty word may be there that no token has.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = lists.flatten().dictionary_encode()
+    words, at, rows = found.dictionary, found.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    real = at != pc.index(words, "").as_py()  # white space at an end of a text leaves an empty word
+    starts = np.concatenate([[0], np.cumsum(real)])[rows - rows[0]] + np.arange(len(rows))
+    out, ends = np.full(starts[-1], len(words), np.int32), np.zeros(starts[-1], bool)
+    ends[starts[1:] - 1] = True
+    out[~ends] = at[real]
+    return out, starts, pa.concat_arrays([words, pa.array(["\n"], words.type)])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n over the column ``text`` of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(map(_word, counts)), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
         for b in batches:
-            for t in b.column(0):
-                counts.update(tokens(t.as_py()))
-                if len(counts) > FLUSH:
-                    yield flush()
-        yield flush()
+            for lo, hi in packs(b.column(0), COUNTED):
+                at, _, words = number_words(b.column(0).slice(lo, hi - lo))
+                n = np.bincount(at, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words.filter(pa.array(n > 0)), pa.array(n[n > 0])], names=["word", "n"])
 
     return texts.select(whole()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -73,6 +84,16 @@ def family(word: bytes) -> int:
     return (tail[0] * 131 + tail[-1]) % FAMILIES
 
 
+def families(words: pa.Array) -> np.ndarray:
+    """Families of many words, none of them empty."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, offsets, data = words.cast(pa.binary()).buffers()
+    at, data = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64), np.frombuffer(data, np.uint8)
+    last = at[1:] - 1
+    return (data[np.maximum(last - 1, at[:-1])].astype(np.int64) * 131 + data[last]) % FAMILIES
+
+
 def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, own: int = OWN, sweeps: int = SWEEPS, least: int = LEAST, most: int = UNITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row of ``docs``.
 
@@ -97,11 +118,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
     known_codes = n_head + FAMILIES
     unit_head = np.array([i if i < own or r["n"] >= least else n_head + family(w) for i, (r, w) in enumerate(zip(top, listed_words, strict=True))] + list(range(n_head, known_codes)), np.int64)
 
-    # codes of all other words: the family's, or for a unit of its own one behind those
-    tail = F.encode("word", "utf-8")
-    byte = lambda i: F.conv(F.hex(F.substring(tail, i, 1)), 16, 10).cast("long")
-    first = F.when(F.length(tail) > 1, byte(-2)).otherwise(byte(-1))
-    of_family = ((first * 131 + byte(-1)) % FAMILIES + n_head).cast("long")
+    # codes of all other words: of a unit of its own one behind the families', else none here, as the family's follows from the word
     listed = spark.createDataFrame([(r["word"],) for r in top], "word string")
     rest = counts.join(F.broadcast(listed), "word", "left_anti")
     numbered = staging.cut(rest.where(F.col("n") >= least).withColumn("at", F.monotonically_increasing_id()), "units")
@@ -109,58 +126,58 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
     starts = spark.createDataFrame([(r["p"], known_codes + sum(x["n"] for x in per[:i])) for i, r in enumerate(per)], "p long, start long")
     n_units = known_codes + sum(r["n"] for r in per)
     units = numbered.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("p")).select("word", "n", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("code"))
-    vocabulary = staging.cut(units.unionByName(rest.where(F.col("n") < least).select("word", "n", of_family.alias("code"))), "vocabulary")
+    vocabulary = staging.cut(units.unionByName(rest.where(F.col("n") < least).select("word", "n", F.lit(None).cast("long").alias("code"))), "vocabulary")
     staging.drop(counts, numbered)
-    code_of = spark.sparkContext.broadcast({w: i for i, w in enumerate(listed_words)})
+    head_words = spark.sparkContext.broadcast(pa.array([r["word"] for r in top], pa.string()))
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    row_type = f"row struct<doc_id:{doc_type},row:bigint>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = code_of.value
         for b in batches:
-            ids, words, tail_at = [], [], []
-            for t in b.column(2):
-                ws = tokens(t.as_py())
-                at = [known.get(w, -1) for w in ws]
-                rare: dict[bytes, int] = {}
-                times: list[int] = []
-                for i, a in enumerate(at):
-                    if a < 0:
-                        j = rare.setdefault(ws[i], len(rare))
-                        if j == len(times):
-                            times.append(0)
-                        times[j] += 1
-                        at[i] = -1 - j  # replaced when the word has its code
-                ids.append(np.array(at, np.int32).tobytes())
-                words.append(list(map(_word, rare)))
-                tail_at.append(times)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(tail_at, pa.list_(pa.int32()))], names=["row", "train", "codes", "rare", "times"])
+            for lo, hi in packs(b.column(2), PACK):
+                at, starts, words = number_words(b.column(2).slice(lo, hi - lo))
+                code = pc.index_in(words, head_words.value).fill_null(-1).to_numpy().copy()
+                rare = np.flatnonzero((code < 0) & (np.bincount(at, minlength=len(words)) > 0))
+                code[rare] = -1 - np.arange(len(rare))  # replaced when the word has its code
+                rare = words.take(pa.array(rare))
+                whole_pack = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(i).slice(lo, hi - lo)) for i in (0, 1)]
+                first = b.column(0).slice(lo, 1).field(1)
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (starts, code[at], families(rare).astype(np.uint16))]
+                listed = pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), rare)
+                yield pa.RecordBatch.from_arrays([first, *whole_pack, *packed, listed], names=["pack", "rows", "train", "starts", "codes", "families", "rare"])
 
     ids = docs.select("doc_id", held.alias("held_out"), whole().alias("text")).withColumn("row", F.monotonically_increasing_id())
-    schema = "row struct<doc_id:{},row:bigint>, train boolean, codes binary, rare array<string>, times array<int>".format(docs.schema["doc_id"].dataType.simpleString())
+    schema = f"pack long, rows array<struct<doc_id:{doc_type},row:bigint>>, train array<boolean>, starts binary, codes binary, families binary, rare array<string>"
     begun = staging.cut(ids.select(F.struct("doc_id", "row").alias("row"), (~F.col("held_out")).alias("train"), "text").mapInArrow(encode, schema), "begun")
-    rare = begun.select(F.col("row.row").alias("r"), F.posexplode(F.arrays_zip("rare", "times")).alias("i", "x")).select("r", "i", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    joined = rare.join(vocabulary.hint("merge"), "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    rares = joined.groupBy("r").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.col("c") + ADD)).alias("rare_log"),
-        F.sort_array(F.collect_list(F.struct("i", F.coalesce("code", of_family).cast("int").alias("code")))).alias("got"),
-    )
+    rare = begun.select(F.col("pack").alias("p"), F.posexplode("rare").alias("i", "word"))
+    joined = rare.join(vocabulary.hint("merge"), "word", "left")
+    found = joined.select("p", "i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("code", F.lit(-1)).cast("int").alias("code"))
+    rares = found.repartition("p").groupBy("p").agg(F.collect_list(F.struct("i", "n", "code")).alias("got"))  # a pack's words, which PACK bounds
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = []
-            for packed, got in zip(b.column(2), b.column(5), strict=True):
-                u = np.frombuffer(packed.as_py(), np.int32)
-                if got.is_valid:
-                    codes = got.values.to_numpy()
-                    u = np.where(u < 0, codes[np.maximum(-1 - u, 0)], u).astype(np.int32)
-                done.append(u.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(done, pa.binary()), b.column(3), b.column(4)], names=["row", "train", "codes", "rare_known", "rare_log"])
-
-    met = begun.select("row", "train", "codes").join(rares.hint("merge"), F.col("row.row") == F.col("r"), "left")
-    row_type = "row struct<doc_id:{},row:bigint>".format(docs.schema["doc_id"].dataType.simpleString())
-    encoded = staging.cut(met.select("row", "train", "codes", "rare_known", "rare_log", F.col("got.code").alias("got")).mapInArrow(finish, f"{row_type}, train boolean, codes binary, rare_known long, rare_log double"), "encoded")
+            for i in range(b.num_rows):
+                rows, train = b.column(0)[i].values, b.column(1)[i].values
+                starts, u, of = (np.frombuffer(b.column(j)[i].as_py(), kind) for j, kind in ((2, np.int64), (3, np.int32), (4, np.uint16)))
+                known, logs = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+                if len(of):
+                    got = b.column(5)[i].values
+                    order = np.argsort(got.field(0).to_numpy())
+                    n, code = got.field(1).to_numpy()[order], got.field(2).to_numpy()[order]
+                    code = np.where(code < 0, of.astype(np.int32) + n_head, code)
+                    at = np.flatnonzero(u < 0)
+                    j, text = -1 - u[at], np.searchsorted(starts, at, "right") - 1
+                    u = u.copy()
+                    u[at] = code[j]
+                    known = np.bincount(text, n[j] > 0, len(rows)).astype(np.int64)
+                    logs = np.bincount(text, np.log10(n + ADD)[j], len(rows))
+                codes = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(u)])
+                yield pa.RecordBatch.from_arrays([rows, train, codes, pa.array(known), pa.array(logs)], names=["row", "train", "codes", "rare_known", "rare_log"])
+
+    met = begun.drop("rare").join(rares.hint("merge"), F.col("pack") == F.col("p"), "left")
+    encoded = staging.cut(met.select("rows", "train", "starts", "codes", "families", "got").mapInArrow(finish, f"{row_type}, train boolean, codes binary, rare_known long, rare_log double"), "encoded")
     staging.drop(begun)
-    code_of.destroy()
+    head_words.destroy()
     staging.release()  # shuffles of the codes
     near, far, texts = max(most, known_codes), None, encoded.withColumn("r", F.col("row.row"))
     if n_units > near:
@@ -173,14 +190,18 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
     def of_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(classes), np.zeros(classes)
         for b in batches:
-            c = shared.value[np.minimum(b.column(1).to_numpy(), len(shared.value) - 1)]
-            if b.num_columns > 2:  # null for the codes below
-                c = np.where(b.column(2).is_null(), c, b.column(2).fill_null(0).to_numpy()).astype(np.int64)
+            tail, code = b.column(2), b.column(1).fill_null(-1).to_numpy()
+            code = np.where(code < 0, n_head + families(tail), code)  # rare words are in their family
+            c = shared.value[np.minimum(code, len(shared.value) - 1)]
+            if b.num_columns > 3:  # null for the codes below
+                c = np.where(b.column(3).is_null(), c, b.column(3).fill_null(0).to_numpy()).astype(np.int64)
             n += np.bincount(c, b.column(0).to_numpy(), classes)
             v += np.bincount(c, minlength=classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes), pa.int64()), pa.array(n.astype(np.int64)), pa.array(v.astype(np.int64))], names=["class", "n", "v"])
 
-    words = vocabulary.select("n", "code") if far is None else vocabulary.join(far.classes.hint("merge"), "code", "left").select("n", "code", "class")
+    words = vocabulary.select("n", "code", F.substring(F.col("word").cast("binary"), -2, 2).alias("tail"))
+    if far is not None:
+        words = words.join(far.classes.hint("merge"), "code", "left").select("n", "code", "tail", "class")
     of_class = words.mapInArrow(of_classes, "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     shared.destroy()
     n_class, v_class = np.zeros(classes), np.zeros(classes)

@@ -178,8 +178,9 @@ def beside(encoded: DataFrame, class_of, unit_head, k: int, parts: int, turn: in
             codes, starts, c = _coded(b, of)
             if len(codes) < 2:
                 continue
-            u = codes.copy()
+            u = codes
             if len(head):
+                u = codes.copy()
                 np.copyto(u, head[np.minimum(codes, len(head) - 1)], where=codes < len(head), casting="same_kind")
             follows = np.ones(len(u), bool)  # a word that starts a text has none before it
             follows[starts[:-1]] = False
@@ -201,20 +202,22 @@ def beside(encoded: DataFrame, class_of, unit_head, k: int, parts: int, turn: in
     return encoded.mapInArrow(run, COUNTS)
 
 
-def _where(out: np.ndarray, cells: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> None:
-    """Adds F(x + plus - minus) + F(x) - F(x + plus) - F(x - minus) where both counts are there (else it is 0)."""
+def _where(out: np.ndarray, cells: np.ndarray, row: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> None:
+    """Adds F(x + plus - minus) + F(x) - F(x + plus) - F(x - minus) of the rows' cells where both counts are there (else it is 0)."""
     f = lambda x: _f(np.maximum(x, 0))
-    at = np.nonzero((plus > 0) & (minus > 0))
-    x, p, m = cells[at], plus[at], minus[at]
-    out[at] += f(x + p - m) + f(x) - f(x + p) - f(x - m)
+    some = np.flatnonzero(plus > 0)
+    i, j = np.nonzero(minus[some] > 0)
+    i = some[i]
+    x, p, m = cells[row[i], j], plus[i], minus[i, j]
+    out[i, j] += f(x + p - m) + f(x) - f(x + p) - f(x - m)
 
 
 def _shared_cells(pairs: np.ndarray, owner: np.ndarray, behind: np.ndarray, ahead: np.ndarray) -> np.ndarray:
     """What the gains summed slot by slot lack, where a move changes one pair of classes by two slots."""
     f, out, line = lambda x: _f(np.maximum(x, 0)), np.zeros_like(behind), np.arange(len(owner))
     b, a, own = behind[line, owner], ahead[line, owner], np.diag(pairs)[owner]
-    _where(out, pairs[owner], np.broadcast_to(b[:, None], out.shape), ahead)
-    _where(out, pairs[:, owner].T, np.broadcast_to(a[:, None], out.shape), behind)
+    _where(out, pairs, owner, b, ahead)
+    _where(out, pairs.T, owner, a, behind)
     at = np.nonzero((behind > 0) & (ahead > 0))
     d, x, y = np.diag(pairs)[at[1]], behind[at], ahead[at]
     out[at] += f(d + x + y) - f(d + x) - f(d + y) + f(d)
@@ -237,6 +240,13 @@ class Gains:
         out[big] = _f(self.rows[row[big]] + n[big, None]) - self.have[row[big]]
         return out
 
+    def of(self, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A table of the gains in every column, and for each (row, count) its line there."""
+        big = np.flatnonzero(n >= SMALL)
+        at = np.minimum(n, SMALL - 1) * len(self.rows) + row
+        at[big] = SMALL * len(self.rows) + np.arange(len(big))
+        return np.concatenate([self.more.reshape(-1, self.rows.shape[1]), self.added(row[big], n[big])]), at
+
     def taken(self, row: np.ndarray, column: np.ndarray, n: np.ndarray) -> np.ndarray:
         """For each (row, column, count), what that column loses."""
         out = self.less[np.minimum(n, SMALL - 1), row, column]
@@ -246,6 +256,18 @@ class Gains:
         return out
 
 
+def _summed(table: np.ndarray, at: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each range of ``at`` the sum of those lines of the table; the n-th lines of all ranges are added together."""
+    length = ends - first
+    order = np.argsort(-length, kind="stable")
+    out, begin, more = np.zeros((len(first), table.shape[1])), first[order], np.cumsum(np.bincount(length)[::-1])[::-1]
+    for i, c in enumerate(more[1:]):  # so many ranges are longer than i
+        out[:c] += table[at[begin[:c] + i]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def best_classes(at: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Units of the keys ``at``, and for each the class under which the objective is largest; a unit stays unless another is better."""
     k, pairs = len(pairs), pairs.astype(np.float64)
@@ -254,16 +276,15 @@ def best_classes(at: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarra
     unit, slot = at // (2 * k), at % (2 * k)
     first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     ends, units, best = np.append(first[1:], len(unit)), unit[first], np.empty(len(first), np.uint8)
+    table, line_of = cells.of(slot, n)
     lo = 0
     while lo < len(first):
         hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + DENSE, "right")))
         i, j = first[lo], ends[hi - 1]
         s, m, owner, line = slot[i:j], n[i:j], of[units[lo:hi]].astype(np.int64), np.arange(hi - lo)
         unit_of = np.repeat(line, ends[lo:hi] - first[lo:hi])
-        own = owner[unit_of]
-        gain = cells.added(s, m)
-        gain[np.arange(len(s)), own] = cells.taken(s, own, m)
-        gain = np.add.reduceat(gain, first[lo:hi] - i, axis=0)
+        gain = _summed(table, line_of[i:j], first[lo:hi] - i, ends[lo:hi] - i)
+        gain[line, owner] = np.bincount(unit_of, cells.taken(s, owner[unit_of], m), hi - lo)
         dense = np.zeros((hi - lo, 2 * k))
         dense[unit_of, s] = m
         gain += _shared_cells(pairs, owner, dense[:, :k], dense[:, k:])
@@ -349,7 +370,8 @@ def cluster(encoded: DataFrame, unit_head: np.ndarray, n_units: int, n_tokens: i
     if k > 256:
         raise ValueError("a class is one byte")
     parts, staging = 1 + n_tokens // PART, Staging(encoded.sparkSession, "exchange")
-    heads = spark.broadcast(unit_head.astype(np.int32))
+    own_units = (unit_head == np.arange(len(unit_head))).all()
+    heads = spark.broadcast(unit_head[: 0 if own_units else None].astype(np.int32))
 
     def spread(class_of: np.ndarray) -> np.ndarray:
         """Head words that are no units have their family's class."""

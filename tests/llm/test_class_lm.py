@@ -3,7 +3,11 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+
+from geoquarry.llm import class_lm
 from geoquarry.llm.class_lm import score_documents
+from geoquarry.plans.staging import Staging
 
 SCHEMA = "doc_id long, text string, n int, word string"
 
@@ -85,3 +89,41 @@ def test_units_beyond_those_broadcast_keep_their_classes(spark):
     few = sorted(score_documents(df, classes=8, head=2, own=1, most=600).collect(), key=key)  # 240 words are units, all but 86 far
     assert [r.doc_id for r in few] == [r.doc_id for r in whole]
     assert all(abs(a.score - b.score) < 1e-9 * abs(a.score) for a, b in zip(whole, few, strict=True))
+
+
+def test_words_are_numbered_as_split():
+    odd = ["", " ", "\n\t", "A b  a\x0bB\x0c", " É é\xa0É \x1c \x85x ", "a" * 5000, "\x00 \x00", "zz " * 50, "\U0001f600 Z"]
+    for texts in (odd, ["", ""], [" "], ["one"], odd[3:4] * 7):
+        column = pa.array(["cut off", *texts]).slice(1)
+        at, starts, listed = class_lm.number_words(column)
+        listed = [w.encode() for w in listed.to_pylist()]
+        assert [[listed[i] for i in at[a:b]] for a, b in zip(starts, starts[1:], strict=False)] == [words(t) for t in texts]
+        assert len(set(listed)) == len(listed)
+        for most in (1, 20, 10**6):
+            ranges = list(class_lm.packs(column, most))
+            assert [i for lo, hi in ranges for i in range(lo, hi)] == list(range(len(texts)))
+            assert all(hi == lo + 1 or sum(len(t.encode()) for t in texts[lo:hi]) <= most for lo, hi in ranges)
+    some = ["a", "zz", "É", "\U0001f600", "ab\x00"]
+    assert class_lm.families(pa.array(["cut", *some]).slice(1)).tolist() == [class_lm.family(w.encode()) for w in some]
+
+
+def test_a_pack_asks_for_a_word_once(spark, monkeypatch):
+    seen, cut = {}, Staging.cut
+
+    def counted(self, df, name="part"):
+        out = cut(self, df, name)
+        if name == "begun":
+            seen["words"] = sum(len(r.rare) for r in out.select("rare").collect())
+        return out
+
+    monkeypatch.setattr(Staging, "cut", counted)
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7, 60)), 1, "w") for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    whole = {r.doc_id: r for r in score_documents(df, classes=4, head=10, own=5).collect()}
+    assert seen["words"] <= 60  # not once a document
+    monkeypatch.setattr(class_lm, "PACK", 1)
+    few = {r.doc_id: r for r in score_documents(df, classes=4, head=10, own=5).collect()}
+    assert whole.keys() == few.keys()
+    for d, r in whole.items():
+        assert (r.n_tokens, r.n_known) == (few[d].n_tokens, few[d].n_known)
+        assert abs(r.score - few[d].score) < 1e-9 * abs(r.score) and abs(r.base_score - few[d].base_score) < 1e-9 * abs(r.base_score)
