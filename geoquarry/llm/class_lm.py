@@ -34,8 +34,8 @@ HEAD_BYTES, UNITS = 64, 1 << 25
 SWEEPS = 3
 #: Smoothing of unigrams (base and emission) and of class transitions.
 ADD, ADD_CLASS = 0.1, 0.05
-#: Bytes of the texts whose words are counted, or coded, together; a longer text is alone.
-COUNTED, PACK = 8 << 20, 2 << 20
+#: Bytes of the texts whose words are counted together, looked up together, and one row of the coded table; a longer text is alone.
+COUNTED, LOOKED_UP, PACK = 4 << 20, 2 << 20, 1 << 18
 
 
 def packs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -134,17 +134,20 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, o
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in packs(b.column(2), PACK):
-                at, starts, words = number_words(b.column(2).slice(lo, hi - lo))
-                code = pc.index_in(words, head_words.value).fill_null(-1).to_numpy().copy()
-                rare = np.flatnonzero((code < 0) & (np.bincount(at, minlength=len(words)) > 0))
-                code[rare] = -1 - np.arange(len(rare))  # replaced when the word has its code
-                rare = words.take(pa.array(rare))
-                whole_pack = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(i).slice(lo, hi - lo)) for i in (0, 1)]
-                first = b.column(0).slice(lo, 1).field(1)
-                packed = [pa.array([x.tobytes()], pa.binary()) for x in (starts, code[at], families(rare).astype(np.uint16))]
-                listed = pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), rare)
-                yield pa.RecordBatch.from_arrays([first, *whole_pack, *packed, listed], names=["pack", "rows", "train", "starts", "codes", "families", "rare"])
+            for begin, end in packs(b.column(2), LOOKED_UP):
+                texts = b.column(2).slice(begin, end - begin)
+                at, starts, words = number_words(texts)
+                code = pc.index_in(words, head_words.value).fill_null(-1).to_numpy()[at]
+                for lo, hi in packs(texts, PACK):
+                    u = code[starts[lo] : starts[hi]]
+                    where = np.flatnonzero(u < 0)
+                    listed, j = np.unique(at[starts[lo] : starts[hi]][where], return_inverse=True)
+                    u[where] = -1 - j  # replaced when the word has its code
+                    rare, bounds = words.take(pa.array(listed)), pa.array([0, hi - lo], pa.int32())
+                    rows, train = (b.column(i).slice(begin + lo, hi - lo) for i in (0, 1))
+                    packed = [pa.array([x.tobytes()], pa.binary()) for x in (starts[lo : hi + 1] - starts[lo], u, families(rare).astype(np.uint16))]
+                    lists = [pa.ListArray.from_arrays(bounds, rows), pa.ListArray.from_arrays(bounds, train), *packed, pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), rare)]
+                    yield pa.RecordBatch.from_arrays([rows.slice(0, 1).field(1), *lists], names=["pack", "rows", "train", "starts", "codes", "families", "rare"])
 
     ids = docs.select("doc_id", held.alias("held_out"), whole().alias("text")).withColumn("row", F.monotonically_increasing_id())
     schema = f"pack long, rows array<struct<doc_id:{doc_type},row:bigint>>, train array<boolean>, starts binary, codes binary, families binary, rare array<string>"
