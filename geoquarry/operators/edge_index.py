@@ -11,9 +11,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from geoquarry.functions import geometries as G, rings
 from geoquarry.operators import spatial
+from geoquarry.plans.staging import Staging
+from geoquarry.sources.tables import spread
 
 EDGE = ("x1", "y1", "x2", "y2")
 
@@ -97,3 +100,35 @@ def self_crossings(edges: DataFrame) -> DataFrame:
     t, size = from_a / F.nullif(from_a - to_a, F.lit(0.0)), F.pow(F.lit(2.0), F.col("at.z"))
     here = (F.col("at.x") == spatial.cell(a["x1"] + t * (a["x2"] - a["x1"]), size)) & (F.col("at.y") == spatial.cell(a["y1"] + t * (a["y2"] - a["y1"]), size))
     return met.where(~shares & proper & here).select("key", "i", "j")
+
+
+#: Edges are summed up in spans of 2^16 numbers, so no window is longer than a few of these.
+SPAN_BITS = 16
+
+
+def later_crossings(edges: DataFrame, staging: Staging) -> DataFrame:
+    """key, i, crossings, first, last of the edges that later ones of their line properly cross: how many, and the first and last of them; ``edges`` as for ``self_crossings``.
+
+    A line that goes one way again and again crosses itself with the square of its rounds.
+    Equal edges cross the same others, so crossings are looked for among different edges
+    alone, each known by its first number, and no pair of repeated ones is made: to each different
+    edge come the numbers of those that cross it, and these are summed up from the last to
+    the first, span by span and then within a span.  A row that repeats counts as often.
+    """
+    edges = staging.cut(edges.groupBy("key", "n", *EDGE).agg(F.count(F.lit(1)).alias("times")), "edges")
+    ways = staging.cut(spread(edges.groupBy("key", *EDGE).agg(F.min("n").alias("way")), "key", "way"), "ways")
+    met = staging.cut(self_crossings(ways.withColumnRenamed("way", "n")), "met")
+    of = staging.cut(edges.join(ways.hint("merge"), ["key", *EDGE]).select("key", "way", F.col("n").cast("long").alias("n"), "times"), "of")
+    both = met.toDF("key", "way", "other").unionByName(met.toDF("key", "other", "way"))
+    hits = both.join(of.withColumnRenamed("way", "other").hint("merge"), ["key", "other"]).where("n > way")  # none before crosses later
+
+    nothing, null = F.lit(0).cast("long"), F.lit(None).cast("long")
+    own = of.select("key", "way", "n", F.col("times").alias("own"), nothing.alias("crossings"), null.alias("first"), null.alias("last"))
+    marks = own.unionByName(hits.select("key", "way", "n", nothing.alias("own"), F.col("times").alias("crossings"), F.col("n").alias("first"), F.col("n").alias("last")))
+    marks = staging.cut(marks.withColumn("span", F.shiftright("n", SPAN_BITS)), "marks")
+    sums = lambda over: [f(c).over(over).alias(c) for f, c in ((F.sum, "crossings"), (F.min, "first"), (F.max, "last"))]
+    spans = marks.groupBy("key", "way", "span").agg(F.sum("crossings").alias("crossings"), F.min("first").alias("first"), F.max("last").alias("last"))
+    behind = spans.select("key", "way", "span", null.alias("n"), nothing.alias("own"), *sums(W.partitionBy("key", "way").orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)))
+    line = W.partitionBy("key", "way", "span").orderBy(F.desc_nulls_first("n"), F.desc("own")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = marks.unionByName(behind.where("crossings > 0")).select("key", F.col("n").alias("i"), "own", *sums(line))
+    return summed.where("own > 0 AND crossings > 0").select("key", "i", (F.col("own") * F.col("crossings")).alias("crossings"), "first", "last")

@@ -8,6 +8,7 @@ from geoquarry.functions import geo, geometries as G, rings
 from geoquarry.operators import edge_index, spatial
 from geoquarry.plans import fixtures
 from geoquarry.plans.catalog import query
+from geoquarry.plans.staging import Staging
 from geoquarry.sources.tables import spread, table
 
 RING = ((0, 0), (4, 0), (6, 3), (3, 6), (0, 4), (0, 0))
@@ -290,7 +291,7 @@ def long_line(spark, sf_dir):
     p = spread(fixtures.poi(spark, sf_dir).select("poi_id", "lon", "lat"), "poi_id")
     q = p.select((F.col("poi_id") - 1).alias("poi_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
     e = p.join(q, "poi_id").select(F.lit(0).alias("key"), F.col("poi_id").alias("n"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
-    return edge_index.self_crossings(e).groupBy("i").agg(F.count(F.lit(1)).alias("crossings"), F.min("j").alias("first"), F.max("j").alias("last"))
+    return edge_index.later_crossings(e, Staging(spark, "line")).select("i", "crossings", "first", "last")
 
 
 def pairs_of(spark, sf_dir):

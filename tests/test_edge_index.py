@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import geometries as G
 from geoquarry.operators import edge_index
+from geoquarry.plans import figures
+from geoquarry.plans.staging import Staging
 
 
 def star(n, dx=0.0, turns=1):
@@ -62,3 +64,31 @@ def test_long_edges_among_short_ones_meet_along_their_way(spark):
     assert len(got) == len(set(got)) and {(i, j) for i, j in got if edges[i] in jumps or edges[j] in jumps} == want
     cells = df.select(F.struct("x1", "y1", "x2", "y2").alias("e")).select(F.size(edge_index._passed(F.col("e"), F.lit(-8))).alias("n"))
     assert cells.agg(F.sum("n")).first()[0] < 5 * len(edges)
+
+
+def test_a_line_that_repeats_its_way_makes_no_pairs_of_repeats(spark, tmp_path, monkeypatch):
+    """Crossings grow with the square of the rounds; edges that are looked at do not grow with them at all."""
+    rnd, seen, crossings = random.Random(9), [], edge_index.self_crossings
+    monkeypatch.setattr(edge_index, "self_crossings", lambda e: (seen.append(e.count()), crossings(e))[1])
+    monkeypatch.setattr(edge_index, "SPAN_BITS", 3)  # sums go over many spans
+    way = [(rnd.randrange(40) * 0.125, rnd.randrange(40) * 0.125) for _ in range(12)]
+    line = [*way, *way, (7.0, 1.0), *way[:5], (-1.0, -1.0), *way * 9]
+    edges = [(7, n, *line[n], *line[n + 1]) for n in range(len(line) - 1)]
+    edges += [*edges[20:23], *[(8, n, *way[n], *way[n + 1]) for n in range(11)], (9, 0, None, 0.0, 1.0, 1.0)]
+    side = lambda e, x, y: (e[4] - e[2]) * (y - e[3]) - (e[5] - e[3]) * (x - e[2])
+    cross = lambda a, b: side(a, b[2], b[3]) * side(a, b[4], b[5]) < 0 and side(b, a[2], a[3]) * side(b, a[4], a[5]) < 0
+    want = {}
+    for a in edges[:-1]:
+        for b in edges[:-1]:
+            if a[0] == b[0] and a[1] + 1 < b[1] and cross(a, b):
+                n, first, last = want.get(a[:2], (0, b[1], b[1]))
+                want[a[:2]] = (n + 1, min(first, b[1]), max(last, b[1]))
+    df = spark.createDataFrame(edges, "key int, n long, x1 double, y1 double, x2 double, y2 double")
+    found = edge_index.later_crossings(df, Staging(spark, "test")).collect()
+    assert len(found) == len(want) > 100 and {(r.key, r.i): (r.crossings, r["first"], r["last"]) for r in found} == want
+    assert seen == [len({(e[0], *e[2:]) for e in edges})]
+    customers = spark.range(4 * 211 * 197, 4 * 211 * 197 + 300).union(spark.range(300)).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    twice = {r.i: r.crossings for r in figures.long_line(spark, str(tmp_path)).collect()}
+    assert seen[1] == 299 and twice  # of 598 edges
+    assert all(twice[i] >= twice[i + 4 * 211 * 197] for i in twice if i + 4 * 211 * 197 in twice)
