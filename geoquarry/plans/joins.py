@@ -24,14 +24,10 @@ PAIRS_SQL = (
 )
 
 
-def pairs(spark, sf_dir):
-    return spatial.overlap_pairs(fixtures.candidates(spark, sf_dir), "ordinal", 0.45)
-
-
 @query("jn1_overlap_pairs", PAIRS_SQL + " SELECT a, b, round(ratio, 6) AS ratio FROM pairs")
 def jn1(spark, sf_dir):
-    return pairs(spark, sf_dir).select("a", "b", F.round("ratio", 6).alias("ratio"))
-
+    met = spatial.overlapping(fixtures.candidates(spark, sf_dir), "ordinal", 0.45, Staging(spark, "overlaps"))
+    return spatial.each_pair(met.withColumn("ratio", F.round("ratio", 6)))  # rounded before pairs are listed
 
 
 def grouped(spark, sf_dir):
